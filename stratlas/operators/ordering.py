@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-BUCKETS = 64
+BUCKETS = 32
 
 
 def range_bounds(df: DataFrame, group: str, value: str, buckets: int = BUCKETS) -> dict[str, list[float]]:
