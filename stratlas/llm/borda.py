@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stratlas.operators.ordering import bucket_of, range_bounds
+from stratlas.session import materialise
 
 HOT = 256
 SIGNALS = ("stars", "dependents", "pagerank_ratio", "stars_90d")
@@ -36,12 +37,8 @@ def value_points(long: DataFrame, signals: dict[str, float]) -> DataFrame:
 
     Missing scores (value null) take the mid-rank of all records, as if tied with everyone.
     """
-    counts = long.groupBy("signal", "value").agg(F.count(F.lit(1)).alias("n"))
-    counts = counts.persist()
-    try:
-        bounds = range_bounds(counts.where("value is not null"), "signal", "value")
-    finally:
-        counts.unpersist()
+    counts = materialise(long.groupBy("signal", "value").agg(F.count(F.lit(1)).alias("n")), "borda-values")
+    bounds = range_bounds(counts.where("value is not null"), "signal", "value")
     present = counts.where("value is not null").withColumn("bucket", bucket_of(F.col("signal"), F.col("value"), bounds))
     per_bucket = present.groupBy("signal", "bucket").agg(F.sum("n").alias("size"))
     before = W.partitionBy("signal").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)

@@ -118,7 +118,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
         h, m, k = half[todo], mask[todo], key[todo].astype(np.uint64)
         left, right = value[todo] >> h, value[todo] & m
         for r in range(4):
-            x = (right + k + np.uint64(r) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (right + k + np.uint64(r * 0x9E3779B97F4A7C15 % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
             x ^= x >> np.uint64(29)
             x *= np.uint64(0x94D049BB133111EB)
             left, right = right, left ^ ((x >> np.uint64(32)) & m)

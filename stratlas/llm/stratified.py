@@ -68,12 +68,29 @@ def rake(cells: dict[tuple, float], margins: list[dict], rounds: int = 200, tole
     return {k: float(f / m) for k, f, m in zip(keys, fitted, mass) if m}
 
 
+def fill_up(given: dict[str, int], have: dict[str, int], share: dict[str, float], size: int) -> None:
+    """Give what short strata leave of the sample to strata with records to spare, in proportion to their shares."""
+    while (left := size - sum(given.values())) > 0:
+        spare = sorted(k for k in given if have.get(k, 0) > given[k] and share[k] > 0)
+        if not spare:
+            return
+        total = sum(share[k] for k in spare)
+        exact = {k: min(left * share[k] / total, have[k] - given[k]) for k in spare}
+        whole = {k: int(exact[k]) for k in spare}
+        if not any(whole.values()):  # fewer left than strata: the largest remainders get one each
+            for k in sorted(spare, key=lambda k: (-exact[k], k))[:left]:
+                whole[k] = 1
+        for k in spare:
+            given[k] += whole[k]
+
+
 def allocation_table(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """``(stratum_key, wanted, available, allocation, gap, weight, …)`` of every targeted stratum.
 
     ``wanted`` is the larger of ``min_count`` and the rounded share; the allocation is raked: the cells' joint
     targets give the margins (stars, domain, activity), raked record weights give each cell's expected
-    count, and the repair moves it to what is wanted, as far as records are there. ``gap`` is what is missing.
+    count, and the repair moves it to what is wanted, as far as records are there. ``gap`` is what is missing; its
+    place in the sample goes to strata with records to spare, so that the sample keeps its size.
     The table has a row per target (a control table), so it is worked out on the driver.
     """
     spark = rows.sparkSession
@@ -89,13 +106,15 @@ def allocation_table(rows: DataFrame, targets: DataFrame) -> DataFrame:
         for i, name in enumerate(parts[r["stratum_key"]]):
             margins[i][name] = margins[i].get(name, 0.0) + r["share"]
     weights = rake({parts[k]: n for k, n in have.items() if len(parts[k]) == width}, margins)
+    size = max((r["size"] or 0 for r in goal), default=0)
+    given = {r["stratum_key"]: min(have.get(r["stratum_key"], 0), r["wanted"] or 0) for r in goal}
+    fill_up(given, have, {r["stratum_key"]: r["share"] for r in goal}, size)
     out = []
     for r in goal:
         k = r["stratum_key"]
         available, weight = have.get(k, 0), weights.get(parts[k], 0.0)
-        expected = weight * available * (r["size"] or 0)
-        allocation = min(available, r["wanted"] or 0)
-        out.append((k, r["share"], r["wanted"], available, expected, allocation, (r["wanted"] or 0) - allocation, weight))
+        gap = max(0, (r["wanted"] or 0) - given[k])
+        out.append((k, r["share"], r["wanted"], available, weight * available * size, given[k], gap, weight))
     schema = "stratum_key string, target_share double, wanted long, available long, raked double, allocation long, gap long, weight double"
     return spark.createDataFrame(out, schema)
 
