@@ -37,10 +37,10 @@ select id as repo_id, points::double as points, row_number() over (order by poin
 """
 
 STRATA = """
-select r.id, 's' || ((stars >= 10)::int + (stars >= 50)::int + (stars >= 200)::int + (stars >= 1000)::int
-       + (stars >= 5000)::int + (stars >= 25000)::int) || '_d' || lpad(domain::varchar, 2, '0') || '_a'
+select r.id, 's' || ((coalesce(r.stars, 0) >= 10)::int + (coalesce(r.stars, 0) >= 50)::int + (coalesce(r.stars, 0) >= 200)::int + (coalesce(r.stars, 0) >= 1000)::int
+       + (coalesce(r.stars, 0) >= 5000)::int + (coalesce(r.stars, 0) >= 25000)::int) || '_d' || lpad(domain::varchar, 2, '0') || '_a'
        || ((days >= 30)::int + (days >= 180)::int + (days >= 730)::int) as stratum_key
-from (select id, coalesce(stars, 0) stars,
+from (select id, stars,
              coalesce(date_diff('microsecond', pushed_at, timestamp '2026-01-01') / 86400000000.0, 3650) as days from repo) r
 join world w on w.repo_id = r.id where w.domain is not null
 """
