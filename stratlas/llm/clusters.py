@@ -255,6 +255,45 @@ def cluster_report(world: DataFrame, angle: float = 0.001, typical: int = 3, id_
     return total.join(ids, "centre").select("cluster_key", "size", "radius", "typical_ids")
 
 
+def isolated_cliques(points: np.ndarray, n: np.ndarray, reach: float, least: int) -> np.ndarray:
+    """For each point the index of its clique's first point, or -1: cliques are all within ``reach``, with no other point so near.
+
+    Leaders are taken in turn; all points near a leader share its fate, for they are connected to it. Leaders lie
+    more than ``reach`` apart, so there are few however many points there are, and no list of pairs is made.
+    """
+    label = np.full(len(points), -1)
+    state = np.zeros(len(points), np.int8)  # 1: settled
+    for lead in range(len(points)):
+        if state[lead]:
+            continue
+        away = np.linalg.norm(points - points[lead], axis=1)
+        near = away <= reach
+        good = not state[near].any() and n[near].sum() >= least  # near a settled point that left it out: no clique
+        if good:
+            group = points[near]
+            middle = group.mean(0)
+            out = np.linalg.norm(group - middle, axis=1)
+            good = not any_apart(group[out > reach / 2], group, reach)
+        if good:
+            others = points[(away > reach) & (away <= 2 * reach)]
+            others = others[np.linalg.norm(others - middle, axis=1) <= reach + out.max()]
+            good = not any_within(others, group, reach)
+        state[near] = 1
+        if good:
+            label[near] = lead
+    return label
+
+
+def any_apart(some: np.ndarray, others: np.ndarray, reach: float, step: int = 200) -> bool:
+    """Whether any two of two sets lie more than ``reach`` apart; a few rows of distances at a time."""
+    return any((np.linalg.norm(some[i : i + step, None] - others[None], axis=2) > reach).any() for i in range(0, len(some), step))
+
+
+def any_within(some: np.ndarray, others: np.ndarray, reach: float, step: int = 200) -> bool:
+    """Whether any two of two sets lie at most ``reach`` apart."""
+    return any((np.linalg.norm(some[i : i + step, None] - others[None], axis=2) <= reach).any() for i in range(0, len(some), step))
+
+
 def cliques(world: DataFrame, angle: float = 0.001, least: int = 5, id_col: str = "repo_id") -> DataFrame:
     """``(repo_id, cluster_key)`` of groups of at least ``least`` records all within ``angle`` of one another and of no other record.
 
@@ -268,27 +307,14 @@ def cliques(world: DataFrame, angle: float = 0.001, least: int = 5, id_col: str
     chord = 2 * np.sin(angle / 2)
 
     def check(group: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"x": [], "y": [], "z": [], "cluster_key": []}).astype({"cluster_key": "int64"})
         if group["n"].sum() < least:
-            return empty
+            return pd.DataFrame({"x": [], "y": [], "z": [], "cluster_key": []}).astype({"cluster_key": "int64"})
         group = group.sort_values("least_id")
         xyz, n, ids = group[["x", "y", "z"]].to_numpy(), group["n"].to_numpy(), group["least_id"].to_numpy()
-        pairs = neighbour_pairs(xyz, chord)
-        degree = n.copy()
-        np.add.at(degree, pairs[:, 0], n[pairs[:, 1]])
-        np.add.at(degree, pairs[:, 1], n[pairs[:, 0]])
-        # an isolated clique: each member is similar to as many records as the group has, and to none of another group
-        low = np.arange(len(n))
-        np.minimum.at(low, pairs[:, 1], pairs[:, 0])
-        size = np.bincount(low, weights=n, minlength=len(n))
-        good = np.bincount(low, weights=n * (degree == size[low]), minlength=len(n))
-        whole = (good == size) & (size >= least)
-        whole[low != np.arange(len(n))] = False
-        crossing = pairs[low[pairs[:, 0]] != low[pairs[:, 1]]]
-        whole[low[crossing].ravel()] = False
-        far = np.bincount(low, weights=(group["gap"].to_numpy() > 2.2 * angle), minlength=len(n))
-        chosen = (whole & (far == 0))[low]
-        return pd.DataFrame({"x": xyz[chosen, 0], "y": xyz[chosen, 1], "z": xyz[chosen, 2], "cluster_key": ids[low][chosen]})
+        label = isolated_cliques(xyz, n, chord, least)
+        far = np.unique(label[group["gap"].to_numpy() > 2.2 * angle])  # these may not be seen whole from this centre
+        chosen = (label >= 0) & ~np.isin(label, far)
+        return pd.DataFrame({"x": xyz[chosen, 0], "y": xyz[chosen, 1], "z": xyz[chosen, 2], "cluster_key": ids[label[chosen]]})
 
     found = around.select("centre", "x", "y", "z", "n", "least_id", "gap").groupBy("centre").applyInPandas(
         check, "x double, y double, z double, cluster_key long"
