@@ -7,11 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratlas.llm import borda, clusters, encode, mixing, spans, stratified
+from stratlas.llm import borda, clusters, encode, language, markup, mixing, residue, spans, stratified
 from stratlas.operators.ordering import global_positions
 from stratlas.session import read
 
 
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return language.found(spark, sf)
+
+
+def p1_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return language.segment_table(language.languages(read(spark, sf, "repo"), read(spark, sf, "documents")))
+
+
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.cliques(read(spark, sf, "world"))
 
@@ -29,6 +37,22 @@ def p3_ranking(spark: SparkSession, sf: str) -> DataFrame:
     return global_positions(points, "points", F.col("id")).select(F.col("id").alias("repo_id"), "points", "position")
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.found(spark, sf)
+
+
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    return residue.residue_groups(residue.signatures(residue.texts_of(read(spark, sf, "repo"), read(spark, sf, "documents"))))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.found(spark, sf)
+
+
+def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
+    return markup.cleaned(read(spark, sf, "repo"), read(spark, sf, "documents"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = stratified.strata(read(spark, sf, "repo"), read(spark, sf, "world"))
     return stratified.allocation_table(rows, read(spark, sf, "stratum_target")).where("gap > 0").select("stratum_key")
