@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from stratlas.plans import graph_queries, incremental_queries, relational_queries  # noqa: F401
+from stratlas.plans import graph_queries, incremental_queries, relational_queries, scoring_queries, vector_queries  # noqa: F401
 from stratlas.plans.registry import QUERIES, SQL
 
 QUERIES.update(incremental_queries.QUERIES)
