@@ -196,11 +196,17 @@ def letter_count(text: str, enough: int = 20) -> int:
 
 
 def sample_model(documents: DataFrame, bound: int = 4000) -> WordModel:
-    """The word model of the ``bound`` labelled documents with the smallest id hashes: all the driver ever holds."""
-    rows = documents.select(
-        "doc_id", F.col("text").cast("string").alias("text"), label_code(F.col("lang")).alias("label"), F.coalesce("full_name", F.lit("")).alias("owner")
-    ).where("label is not null and length(text) > 40")
-    taken = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound).collect()
+    """The word model of about ``bound`` labelled documents, the ones of smallest id hash: all the driver ever holds.
+
+    Their number gives the share of the hash range that holds 1.2 times ``bound`` of them, so that neither a task nor the
+    shuffle carries more texts than that, whatever the corpus's size.
+    """
+    labels = documents.select("doc_id", "text", label_code(F.col("lang")).alias("label"), F.coalesce("full_name", F.lit("")).alias("owner"))
+    labels = labels.where("label is not null")
+    share = min(1.0, 1.2 * bound / max(1, labels.count()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    rows = labels.where(place < F.lit(int(share * (1 << 40)) + 1)).where(F.length(F.col("text").cast("string")) > 40)
+    taken = rows.orderBy(place, "doc_id").limit(bound).collect()
     return fit([(r["text"], r["label"], r["owner"]) for r in taken])
 
 
