@@ -2,7 +2,16 @@
 
 from __future__ import annotations
 
-from stratlas.plans import graph_queries, incremental_queries, relational_queries, scoring_queries, vector_queries  # noqa: F401
+from stratlas.plans import (  # noqa: F401
+    graph_queries,
+    incremental_queries,
+    learn_queries,
+    relational_queries,
+    scoring_queries,
+    source_queries,
+    text_queries,
+    vector_queries,
+)
 from stratlas.plans.registry import QUERIES, SQL
 
 QUERIES.update(incremental_queries.QUERIES)
