@@ -1,6 +1,6 @@
 """Processing only new or changed records (problem 4): versioned key and content-hash state.
 
-A state version is a Parquet folder ``state/v=<n>`` of ``(key, as_of, hash)``; the file ``CURRENT`` names the version in
+A state version is a Parquet folder ``state/v=<n>`` of ``(key, as_of, tie, hash)``; the file ``CURRENT`` names the version in
 force and is replaced by a rename. A run that dies before the rename leaves the old version in force, so
 its records are taken up again by the next; one that dies after it has taken them up for good.
 """
@@ -31,10 +31,10 @@ class Take:
 
 
 class StateStore:
-    """Versions of ``(key, as_of, hash)`` in a folder of any Hadoop file system."""
+    """Versions of ``(key, as_of, tie, hash)`` in a folder of any Hadoop file system."""
 
     SCHEMA = T.StructType(
-        [T.StructField("key", T.LongType()), T.StructField("as_of", T.TimestampNTZType()), T.StructField("hash", T.StringType())]
+        [T.StructField("key", T.LongType()), T.StructField("as_of", T.TimestampNTZType()), T.StructField("tie", T.LongType()), T.StructField("hash", T.StringType())]
     )
 
     def __init__(self, spark: SparkSession, path: str):
@@ -62,7 +62,7 @@ class StateStore:
         return self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/state/v={version}")
 
     def write(self, version: int, state: DataFrame) -> None:
-        state.select("key", "as_of", "hash").write.mode("overwrite").parquet(f"{self.path}/state/v={version}")
+        state.select("key", "as_of", "tie", "hash").write.mode("overwrite").parquet(f"{self.path}/state/v={version}")
 
     def swap(self, version: int, horizon: str) -> None:
         """Put ``version`` in force: the new pointer is written beside the old one and renamed over it."""
@@ -106,22 +106,19 @@ def run_once(
         rows = rows.where(F.col(landed_at) > F.lit(horizon).cast("timestamp_ntz"))
     # the texts are hashed in the scan: they are never shuffled
     hashed = rows.select(
-        F.col(key).cast("long").alias("key"), F.col(taken_at).cast("timestamp_ntz").alias("as_of"), F.col(tie).alias("tie"),
+        F.col(key).cast("long").alias("key"), F.col(taken_at).cast("timestamp_ntz").alias("as_of"), F.col(tie).cast("long").alias("tie"),
         content_hash(*content).alias("hash"),
     )
     order = F.struct(F.coalesce("as_of", F.lit("0001-01-01").cast("timestamp_ntz")).alias("at"), "tie", "hash")
-    latest = hashed.groupBy("key").agg(F.max_by(F.struct("as_of", "hash"), order).alias("new"))
-    before = store.read(version).select("key", F.col("as_of").alias("old_as_of"), F.col("hash").alias("old_hash"))
+    latest = hashed.groupBy("key").agg(F.max_by(F.struct("as_of", "tie", "hash"), order).alias("new"))
+    before = store.read(version).select("key", F.col("as_of").alias("old_as_of"), F.col("tie").alias("old_tie"), F.col("hash").alias("old_hash"))
     both = latest.join(before, "key", "full")
     floor = F.lit("0001-01-01").cast("timestamp_ntz")
-    newer = F.col("new").isNotNull() & (
-        F.col("old_hash").isNull() | (F.coalesce("new.as_of", floor) >= F.coalesce("old_as_of", floor))
-    )
+    rank = lambda at, n: F.struct(F.coalesce(at, floor).alias("at"), F.coalesce(n, F.lit(-(2**63))).alias("tie"))
+    newer = F.col("new").isNotNull() & (F.col("old_hash").isNull() | (rank("new.as_of", "new.tie") >= rank("old_as_of", "old_tie")))
     changed = newer & ~F.col("new.hash").eqNullSafe(F.col("old_hash"))
-    state = both.select(
-        "key", F.when(newer, F.col("new.as_of")).otherwise(F.col("old_as_of")).alias("as_of"),
-        F.when(newer, F.col("new.hash")).otherwise(F.col("old_hash")).alias("hash"), changed.alias("changed"),
-    )
+    kept = [F.when(newer, F.col(f"new.{c}")).otherwise(F.col(f"old_{c}")).alias(c) for c in ("as_of", "tie", "hash")]
+    state = both.select("key", *kept, changed.alias("changed"))
     number = version + 1
     staged = f"{store.path}/staged/v={number}"
     state.write.mode("overwrite").parquet(staged)  # one pass gives both the state and the rows to process
