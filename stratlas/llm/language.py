@@ -37,6 +37,8 @@ SEEDS = {
 CYRILLIC, KANA, HAN = re.compile(r"[\u0400-\u04ff]"), re.compile(r"[\u3040-\u30ff]"), re.compile(r"[\u3400-\u9fff]")
 WIDE = re.compile(r"[\u0400-\u9fff]")
 RU, ZH, JA = LANGS.index("ru"), LANGS.index("zh"), LANGS.index("ja")
+FLOOR = 5e-4  # share of a language's sentences that a word it never had is taken to be in
+NO_SCRIPT = 12.0  # nats against a language of another script in a sentence without a letter of that script
 SWITCH = 6.0  # nats that a change of language between sentences must be worth
 CLEAR = 2.0  # nats by which a sentence's best language must lead to count as evidence of a change
 HOST_ROWS = 10.0  # rows that a parent's distribution weighs when its child's is smoothed
@@ -86,7 +88,10 @@ class WordModel:
             sums = np.vstack([np.zeros((1, len(LANGS))), sums])
             at = np.array(ends)
             total += (sums[at] - sums[np.r_[0, at[:-1]]]).astype(np.float32)
+        total[:, [RU, ZH, JA]] -= NO_SCRIPT
         for r, cyrillic, kana, han in extra:
+            total[r, RU] += NO_SCRIPT * (cyrillic > 0)
+            total[r, [ZH, JA]] += NO_SCRIPT * (kana + han > 0)
             add = np.full(len(LANGS), -0.7 * (cyrillic + kana + han), np.float32)
             add[RU] = 0.0 if cyrillic else add[RU]
             add[JA] = -0.1 * han if kana else -0.35 * han
@@ -126,8 +131,8 @@ def fit(labelled: list[tuple[str, str | None, str]], rounds: int = 2) -> WordMod
             sizes[LANGS.index(code)] += 6
 
     def table() -> np.ndarray:
-        share = (counts + 0.02) / (sizes + 1.0)
-        return np.log(np.minimum(share, 0.9)).astype(np.float32)
+        # one floor for all: a language of few sentences must not gain from words it never had
+        return np.log(np.clip(counts / (sizes + 5.0), FLOOR, 0.9)).astype(np.float32)
 
     seeded()
     for bags, _, label, _ in docs:

@@ -155,16 +155,27 @@ def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def two_means(values: np.ndarray, rounds: int = 20) -> float:
+    """Midway between the means of the two clusters that the values fall into."""
+    low, high = float(values.min()), float(values.max())
+    for _ in range(rounds):
+        upper = values > (low + high) / 2
+        if upper.all() or not upper.any():
+            break
+        low, high = float(values[~upper].mean()), float(values[upper].mean())
+    return (low + high) / 2
+
+
 def content_regions(lines: list[list]) -> list[str]:
     """The lines of content: those whose smoothed text-to-tag ratio reaches the threshold, and all structural ones.
 
-    The threshold is a quarter of the ratios' standard deviation. Only lines of several tags and little text can
-    fall under it; a sentence never falls away.
+    The smoothed ratios are clustered in two, and the threshold lies midway between the clusters' means. Only lines of
+    several tags and little text can fall under it; a sentence never falls away.
     """
     texts = [t for t, _, _ in lines]
     ratio = np.array([len(t.strip()) / max(1, n) for t, n, _ in lines], float)
     soft = smoothed(ratio)
-    least = soft.std() / 4
+    least = two_means(soft)
     keep = []
     for (text, tags, structural), r in zip(lines, soft):
         bare = text.strip()
