@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stratlas.operators.ordering import quantiles
+
 
 def quality_report(repo: DataFrame) -> DataFrame:
     """One row: how much of the catalogue has text, and how good it is."""
@@ -26,7 +28,9 @@ def quality_verdict(report: DataFrame) -> DataFrame:
 def star_distribution(repo: DataFrame) -> DataFrame:
     """Smallest, largest and discrete median stars, and how many reach each threshold."""
     at_least = [F.count_if(F.col("stars") >= t).alias(f"ge_{t}") for t in (10, 100, 1000, 10000)]
-    return repo.agg(F.min("stars").alias("min_stars"), F.max("stars").alias("max_stars"), F.expr("percentile_disc(0.5) within group (order by stars)").cast("long").alias("median_stars"), *at_least)
+    one = repo.agg(F.lit("").alias("g"), F.min("stars").alias("min_stars"), F.max("stars").alias("max_stars"), *at_least)
+    middle = quantiles(repo, "stars", [0.5], discrete=True).select("g", F.col("q")[0].cast("long").alias("median_stars"))
+    return one.join(F.broadcast(middle), "g", "left").drop("g")
 
 
 def top_values(rows: DataFrame, column: str, k: int, none: str = "(none)") -> DataFrame:
@@ -93,17 +97,18 @@ def degrees(edge: DataFrame) -> DataFrame:
 
 def weight_statistics(edge: DataFrame) -> DataFrame:
     """Count, smallest, median, 99th percentile and largest weight per kind (linear interpolation), rounded to 3."""
-    p = F.percentile("weight", F.array(F.lit(0.5), F.lit(0.99)))
-    rows = edge.where("weight is not null").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("lo"), p.alias("p"), F.max("weight").alias("hi"))
-    return rows.select("kind", "n", F.round("lo", 3).alias("min"), F.round(F.col("p")[0], 3).alias("median"), F.round(F.col("p")[1], 3).alias("p99"), F.round("hi", 3).alias("max"))
+    rows = edge.where("weight is not null").groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.min("weight").alias("lo"), F.max("weight").alias("hi"))
+    middle = quantiles(edge, "weight", [0.5, 0.99], F.col("kind"))  # a row per kind
+    rows = rows.join(F.broadcast(middle), F.col("kind").cast("string") == F.col("g"), "left")
+    return rows.select("kind", "n", F.round("lo", 3).alias("min"), F.round(F.col("q")[0], 3).alias("median"), F.round(F.col("q")[1], 3).alias("p99"), F.round("hi", 3).alias("max"))
 
 
 def degree_statistics(nodes: DataFrame, degree: DataFrame, column: str) -> DataFrame:
     """Mean, median, 99th percentile, largest and number of zeros of a degree over all nodes."""
     rows = nodes.select("id").join(degree.select("id", column), "id", "left").select(F.coalesce(column, F.lit(0)).alias("d"))
-    p = F.percentile("d", F.array(F.lit(0.5), F.lit(0.99)))
-    stats = rows.agg(F.avg("d").alias("m"), p.alias("p"), F.max("d").alias("hi"), F.count_if(F.col("d") == 0).alias("zero"))
-    return stats.select(F.round("m", 3).alias("mean"), F.floor(F.col("p")[0]).cast("int").alias("median"), F.floor(F.col("p")[1]).cast("int").alias("p99"), F.col("hi").cast("long").alias("max"), "zero")
+    stats = rows.agg(F.lit("").alias("g"), F.avg("d").alias("m"), F.max("d").alias("hi"), F.count_if(F.col("d") == 0).alias("zero"))
+    stats = stats.join(F.broadcast(quantiles(rows, "d", [0.5, 0.99])), "g", "left")
+    return stats.select(F.round("m", 3).alias("mean"), F.floor(F.col("q")[0]).cast("int").alias("median"), F.floor(F.col("q")[1]).cast("int").alias("p99"), F.col("hi").cast("long").alias("max"), "zero")
 
 
 def modal(rows: DataFrame, key: str, value: str) -> DataFrame:
@@ -151,9 +156,10 @@ def flag_counts(rows: DataFrame, column: str) -> DataFrame:
 
 def interval_statistics(rows: DataFrame, column: str, budget: float) -> DataFrame:
     """Nearest-rank median and 99th percentile of intervals, and how many pass ``budget``."""
-    at = lambda p: F.expr(f"percentile_disc({p}) within group (order by {column})")
     over = F.count_if(F.col(column) > budget)
-    return rows.agg(at(0.5).alias("p50"), at(0.99).alias("p99"), over.alias("dropped"), F.round(over / F.greatest(F.count(column), F.lit(1)), 6).alias("drop_ratio"))
+    one = rows.agg(F.lit("").alias("g"), over.alias("dropped"), F.round(over / F.greatest(F.count(column), F.lit(1)), 6).alias("drop_ratio"))
+    one = one.join(F.broadcast(quantiles(rows, column, [0.5, 0.99], discrete=True)), "g", "left")
+    return one.select(F.col("q")[0].alias("p50"), F.col("q")[1].alias("p99"), "dropped", "drop_ratio")
 
 
 def inner_composition(edge: DataFrame, labels: DataFrame) -> DataFrame:

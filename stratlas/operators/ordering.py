@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stratlas.session import materialise
+
 BUCKETS = 32
 
 
@@ -73,3 +75,29 @@ def global_positions(df: DataFrame, key: str, *tiebreak: Column, out: str = "pos
     inside = W.partitionBy(*parts).orderBy(F.col(key).desc_nulls_last(), *tiebreak)
     numbered = work.withColumn("__r", F.row_number().over(inside)).join(F.broadcast(starts), parts)
     return numbered.withColumn(out, (F.col("__start") + F.col("__r")).cast("long")).drop(*parts, "__r", "__start")
+
+
+def quantiles(df: DataFrame, value: str, shares: list[float], group: Column | None = None, discrete: bool = False, buckets: int = BUCKETS) -> DataFrame:
+    """``(g, q)``: exact quantiles of ``value`` per group (few groups), interpolated or, if ``discrete``, values that occur.
+
+    Distinct values with counts are ranked inside range buckets and the buckets' sizes summed up, so no task ever holds a
+    group's values. Null and NaN values don't count; a group without values has no row.
+    """
+    v = F.col(value).cast("double")
+    rows = df.where(v.isNotNull() & ~F.isnan(v)).select((group if group is not None else F.lit("")).cast("string").alias("g"), v.alias("v"))
+    counts = materialise(rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")), "quantile-values")  # read twice, made once
+    placed = counts.withColumn("b", bucket_of(F.col("g"), F.col("v"), range_bounds(counts, "g", "v", buckets)))
+    sizes = placed.groupBy("g", "b").agg(F.sum("n").alias("size"))
+    ordered = W.partitionBy("g").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("g", "b", F.coalesce(F.sum("size").over(ordered), F.lit(0)).alias("start"), F.sum("size").over(W.partitionBy("g")).alias("all"))
+    inside = W.partitionBy("g", "b").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
+    ranked = placed.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(starts), ["g", "b"])
+    ranked = ranked.select("g", "v", "all", (F.col("start") + F.col("before")).alias("lo"), (F.col("start") + F.col("before") + F.col("n") - 1).alias("hi"))
+    wanted = []
+    for i, p in enumerate(shares):
+        at = F.greatest(F.ceil(F.lit(p) * F.col("all")) - 1, F.lit(0)) if discrete else F.lit(p) * (F.col("all") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        wanted += [F.struct(F.lit(i).alias("i"), low.cast("long").alias("k"), (1 - (at - low)).cast("double").alias("w")), F.struct(F.lit(i).alias("i"), high.cast("long").alias("k"), (at - low).cast("double").alias("w"))]
+    hits = ranked.select("g", "v", "lo", "hi", F.explode(F.array(*wanted)).alias("t")).where("t.k between lo and hi")
+    each = hits.groupBy("g", F.col("t.i").alias("i")).agg(F.sum(F.col("v") * F.col("t.w")).alias("q"))
+    return each.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "q"))), lambda s: s["q"]).alias("q"))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stratlas.operators.ordering import bucket_number, quantiles
+
 #: Rungs of the star ladder, weights of the composite, anchors of the dependents' percentile.
 LADDER = (0, 1, 2, 3, 5, 8, 10, 15, 20, 30, 50, 75, 100, 150, 200, 300, 500, 750, 1000, 1500, 2000, 3000, 5000, 10000, 20000, 50000, 100000, 200000, 400000)
 WEIGHTS = {"stars": 0.25, "dependents": 0.35, "pagerank": 0.20, "criticality": 0.10, "velocity": 0.10}
@@ -103,8 +105,9 @@ def leaderboard(scores: DataFrame, k: int) -> DataFrame:
 
 def summary(scores: DataFrame) -> DataFrame:
     """Best, upper median and worst score."""
-    n = F.count("score")
-    return scores.agg(F.max("score").alias("best"), F.min("score").alias("worst"), n.alias("n"), F.expr("percentile_disc(0.5) within group (order by score desc)").alias("median"))
+    one = scores.agg(F.lit("").alias("g"), F.max("score").alias("best"), F.min("score").alias("worst"), F.count("score").alias("n"))
+    middle = quantiles(scores.select((-F.col("score")).alias("down")), "down", [0.5], discrete=True)
+    return one.join(F.broadcast(middle), "g", "left").select("best", "worst", "n", (-F.col("q")[0]).alias("median"))
 
 
 def display_sizes(ordered: DataFrame) -> DataFrame:
@@ -160,8 +163,6 @@ def describe_rank(spark: SparkSession, stars: int, scale: list[tuple[int, int]],
 
 def percentile_of(ranks: DataFrame, values: DataFrame) -> DataFrame:
     """``(id, percentile)`` of each value among ``ranks``: the share not above it, by range buckets and prefix sums."""
-    from stratlas.operators.ordering import bucket_number
-
     cuts = ranks.agg(F.percentile_approx("rank", [i / 32 for i in range(1, 32)], 1000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     counts = ranks.where("rank is not null").groupBy("rank").agg(F.count(F.lit(1)).alias("n")).withColumn("b", bucket_number(F.col("rank"), cuts))

@@ -6,6 +6,7 @@ from stratlas.plans import (  # noqa: F401
     graph_queries,
     incremental_queries,
     learn_queries,
+    planning_queries,
     relational_queries,
     scoring_queries,
     source_queries,
