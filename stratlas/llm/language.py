@@ -41,6 +41,7 @@ FLOOR = 5e-4  # share of a language's sentences that a word it never had is take
 NO_SCRIPT = 12.0  # nats against a language of another script in a sentence without a letter of that script
 SWITCH = 6.0  # nats that a change of language between sentences must be worth
 CLEAR = 2.0  # nats by which a sentence's best language must lead to count as evidence of a change
+ADDRESS, DECLARED = 1.5, 2.0  # log-odds of a language code in the address, and of one declared in the markup
 HOST_ROWS = 10.0  # rows that a parent's distribution weighs when its child's is smoothed
 
 
@@ -58,6 +59,15 @@ def address_code(column: Column) -> Column:
     return F.when(found != "", found)
 
 
+DECLARES = re.compile(r"<html\b[^>]*\blang\s*=\s*[\"']?([a-zA-Z]{2})", re.I)
+
+
+def markup_language(text: str) -> str | None:
+    """The language that the text's own markup declares."""
+    match = DECLARES.search(text) if "<html" in text or "<HTML" in text else None
+    return match.group(1).lower() if match and match.group(1).lower() in LANGS else None
+
+
 @dataclass
 class WordModel:
     """Log-likelihood of words under each language; words unknown to it say nothing."""
@@ -218,7 +228,7 @@ def sample_model(documents: DataFrame, bound: int = 4000) -> WordModel:
 def readings(texts: DataFrame, model: WordModel) -> DataFrame:
     """One pass over all texts: each one's segments' likelihoods, its letters, and its residue signature if it has one."""
     shared = texts.sparkSession.sparkContext.broadcast((model.index, model.table))  # bounded by the sample's words
-    schema = "origin string, row_id long, source string, owner string, host string, label string, letters int, segs array<array<float>>, rules int, body string"
+    schema = "origin string, row_id long, source string, owner string, host string, label string, address string, declared string, letters int, segs array<array<float>>, rules int, body string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordModel(*shared.value)
@@ -230,13 +240,14 @@ def readings(texts: DataFrame, model: WordModel) -> DataFrame:
                 scores = words.score([sentences(t) for t in rows])
                 marks = [residue.signature(t, n) for t, n in zip(rows, names)]
                 letters = [letter_count(t) for t in rows]
-                keep = [batch.column(batch.schema.get_field_index(c)) for c in ("origin", "row_id", "source", "owner", "host", "label")]
+                keep = [batch.column(batch.schema.get_field_index(c)) for c in ("origin", "row_id", "source", "owner", "host", "label", "address")]
+                declared = [markup_language(t) for t in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *keep, pa.array(letters, pa.int32()), pa.array([segments(s) for s in scores], pa.list_(pa.list_(pa.float32()))),
+                        *keep, pa.array(declared, pa.string()), pa.array(letters, pa.int32()), pa.array([segments(s) for s in scores], pa.list_(pa.list_(pa.float32()))),
                         pa.array([m and m[0] for m in marks], pa.int32()), pa.array([m and m[1] for m in marks], pa.string()),
                     ],
-                    names=["origin", "row_id", "source", "owner", "host", "label", "letters", "segs", "rules", "body"],
+                    names=["origin", "row_id", "source", "owner", "host", "label", "address", "declared", "letters", "segs", "rules", "body"],
                 )
 
     return texts.mapInArrow(run, schema)
@@ -247,20 +258,19 @@ def labelled_texts(repo: DataFrame, documents: DataFrame) -> DataFrame:
 
     ``label`` is a language code, ``!en`` for a flag that says another language than English, or null.
     """
-    texts = residue.texts_of(repo, documents)
     extra_d = documents.select(
         F.lit("documents").alias("origin"), F.col("doc_id").cast("long").alias("row_id"), F.col("full_name").alias("owner"),
-        F.lower(F.trim("source")).alias("host"), label_code(F.col("lang")).alias("label"), F.col("text").cast("string").alias("text"),
+        F.lower(F.trim("source")).alias("host"), label_code(F.col("lang")).alias("label"), address_code(F.col("path")).alias("address"), F.col("text").cast("string").alias("text"),
         F.coalesce(F.element_at(F.split("full_name", "/"), -1), F.lit("")).alias("name"), F.coalesce(F.lower(F.trim("source")), F.lit("")).alias("source"),
     )
     flag = F.when(F.col("non_english"), F.lit("!en")).when(~F.col("non_english"), F.lit("en"))
     extra_r = repo.select(
         F.lit("clean_text").alias("origin"), F.col("id").cast("long").alias("row_id"), F.col("full_name").alias("owner"),
-        F.col("host").alias("host"), flag.alias("label"), F.col("clean_text").cast("string").alias("text"),
+        F.col("host").alias("host"), flag.alias("label"), F.lit(None).cast("string").alias("address"), F.col("clean_text").cast("string").alias("text"),
         F.coalesce(F.element_at(F.split("full_name", "/"), -1), F.lit("")).alias("name"), F.lit("repo").alias("source"),
     )
     both = extra_d.unionByName(extra_r).where(F.col("row_id").isNotNull() & (F.length(F.trim("text")) > 0))
-    return both.select(*texts.columns, "owner", "host", "label")
+    return both.select("origin", "row_id", "name", "source", "text", "owner", "host", "label", "address")
 
 
 def priors(read_: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
@@ -308,7 +318,10 @@ def fused(read_: DataFrame) -> DataFrame:
     joined = read_.join(owners.withColumnRenamed("p", "po"), "owner", "left").join(hosts.withColumnRenamed("p", "ph"), "host", "left")
     base = F.coalesce("po", "ph", F.array(*[F.lit(p) for p in world]))
     says = [
-        F.when(F.col("label") == c, trust).when((F.col("label") == "!en") & F.lit(c != "en"), trust).otherwise(F.lit(0.0)) for c in LANGS
+        F.when(F.col("label") == c, trust).when((F.col("label") == "!en") & F.lit(c != "en"), trust).otherwise(F.lit(0.0))
+        + F.when(F.col("address") == c, F.lit(ADDRESS)).otherwise(F.lit(0.0))
+        + F.when(F.col("declared") == c, F.lit(DECLARED)).otherwise(F.lit(0.0))
+        for c in LANGS
     ]
     prior = F.zip_with(base, F.array(*says), lambda p, s: F.log(p) + s)
     rows = joined.withColumn("prior", prior)

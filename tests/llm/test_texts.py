@@ -61,6 +61,10 @@ DOC = "doc_id long, repo_id long, full_name string, path string, text string, la
 REPO = "id long, host string, full_name string, clean_text string, non_english boolean, readme_raw string"
 
 
+def test_markup_declares_its_language():
+    assert L.markup_language('<html lang="de-AT"><p>x') == "de" and L.markup_language("<html><p lang=fr>") is None and L.markup_language("html lang=de") is None
+
+
 def test_wrong_missing_and_mixed_labels(spark):
     rows = []
     for i in range(220):
