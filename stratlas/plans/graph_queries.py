@@ -77,7 +77,7 @@ def _scores(events: DataFrame) -> DataFrame:
     return G.ppmi(star_baskets(events)).withColumn("ppmi", F.round("ppmi", 9))
 
 
-@query("top_pairs", "star_event", sql=f"with {BASKETS}, {ENDS} select item, other, round(ppmi, 6) as ppmi, r from r where r <= 12")
+@query("top_pairs", "star_event", sql=f"with {BASKETS}, {ENDS} select item, other, round(ppmi, 6) as ppmi, r::int as r from r where r <= 12")
 def top_pairs(events):
     return G.ranked_ends(_scores(events), "ppmi", 12).withColumn("ppmi", F.round("ppmi", 6))
 

@@ -36,7 +36,7 @@ def teacher_candidates(repo, world):
 
 
 @query("text_lengths", "repo", sql="""
-select id, coalesce(length(readme_raw), 0) as readme_length, coalesce(length(clean_text), 0) as clean_length, coalesce(len(topics), 0) as n_topics from repo
+select id, coalesce(length(readme_raw), 0)::int as readme_length, coalesce(length(clean_text), 0)::int as clean_length, coalesce(len(topics), 0)::int as n_topics from repo
 """)
 def text_lengths(repo):
     return R.text_lengths(repo)
@@ -230,7 +230,7 @@ def top_languages(repo):
 
 
 @query("reduction_histogram", "repo", sql="""
-select case when clean_reduction < 0 then 0 when clean_reduction >= 1 then 11 else floor(clean_reduction / 0.1)::int + 1 end as bucket, count(*) as n
+select case when clean_reduction < 0 then 0 when clean_reduction >= 1 then 11 else floor(clean_reduction / 0.1)::int + 1 end::bigint as bucket, count(*) as n
 from repo where clean_reduction is not null and not isnan(clean_reduction) group by 1
 """)
 def reduction_histogram(repo):

@@ -12,7 +12,7 @@ from stratlas.plans.registry import query
 
 NOW = "2026-01-01 00:00:00"
 RUNGS = ", ".join(f"({t})" for t in S.LADDER)
-SCALE = f"sc as (select t as threshold, (select count(*) from repo where stars >= t) as count from (values {RUNGS}) v(t))"
+SCALE = f"sc as (select t::bigint as threshold, (select count(*) from repo where stars >= t) as count from (values {RUNGS}) v(t))"
 
 
 @query("star_scale", "repo", sql=f"with {SCALE} select threshold, count from sc")

@@ -44,7 +44,7 @@ def tile_sidecars(world, signals):
 
 
 @query("api_nodes", "repo", sql="""
-select full_name, description, language, stars, forks, open_issues, license, is_fork, is_archived, len(coalesce(topics, [])) as n_topics, pushed_at from repo where full_name is not null
+select full_name, description, language, stars, forks, open_issues, license, is_fork, is_archived, len(coalesce(topics, []))::int as n_topics, pushed_at from repo where full_name is not null
 """)
 def api_nodes(repo):
     iso = lambda c: F.concat(F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))

@@ -50,7 +50,7 @@ def text_hashes(documents):
 
 
 @query("path_parts", "documents", sql="""
-select doc_id, split_part(full_name, '/', 1) as owner, split_part(full_name, '/', 2) as name, length(full_name) - length(replace(full_name, '-', '')) as hyphens,
+select doc_id, split_part(full_name, '/', 1) as owner, split_part(full_name, '/', 2) as name, (length(full_name) - length(replace(full_name, '-', '')))::int as hyphens,
        regexp_extract(path, '\\.([a-z]+)$', 1) as suffix from documents
 """.replace("\\\\", "\\"))
 def path_parts(documents):
@@ -71,7 +71,7 @@ def parsed_times(repo):
 
 @query("chosen_readmes", "repo", sql="""
 with e as (select id, readme_raw as t from repo union all select id, clean_text from repo)
-select repo.id, max(length(t)) filter (not (length(t) < 200 and not contains(t, chr(10)) and not contains(t, ' '))) as size from repo join e on e.id = repo.id group by 1
+select repo.id, max(length(t)) filter (not (length(t) < 200 and not contains(t, chr(10)) and not contains(t, ' ')))::int as size from repo join e on e.id = repo.id group by 1
 """)
 def chosen_readmes(repo):
     entry = lambda n, c: F.struct(F.lit(n).alias("name"), F.col(c).alias("text"), F.lit(0o100644).alias("mode"))

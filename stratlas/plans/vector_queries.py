@@ -20,7 +20,7 @@ def unit_vectors(e):
     return e.select("vec_id", F.round(total, 6).alias("total"))
 
 
-@query("packed_vectors", "embeddings", sql="select vec_id, len(embedding) * 4 as bytes, round(embedding[1]::double, 6) as first from embeddings")
+@query("packed_vectors", "embeddings", sql="select vec_id, (len(embedding) * 4)::int as bytes, round(embedding[1]::double, 6) as first from embeddings")
 def packed_vectors(e):
     rows = e.withColumn("b", V.packed("embedding"))
     return rows.select("vec_id", F.length("b").alias("bytes"), F.round(V.unpacked("b", WIDTH)[0].cast("double"), 6).alias("first"))
@@ -57,7 +57,7 @@ def whitened_cosine(e):
 QUERYSET = f"{UNIT}, c as (select q.vec_id as query, b.vec_id as id, round(list_dot_product(q.v, b.v), 9) as cosine from u q join u b on q.vec_id <> b.vec_id where q.vec_id % 100 = 0), r as (select *, row_number() over (partition by query order by cosine desc, id) r from c)"
 
 
-@query("nearest_vectors", "embeddings", sql=f"with {QUERYSET} select query, id, round(cosine, 6) as cosine, r from r where r <= 10")
+@query("nearest_vectors", "embeddings", sql=f"with {QUERYSET} select query, id, round(cosine, 6) as cosine, r::int as r from r where r <= 10")
 def nearest_vectors(e):
     rows = V.nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 10)
     return rows.select("query", "id", F.round("cosine", 6).alias("cosine"), "r")

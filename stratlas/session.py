@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,11 +30,46 @@ def local_session(cpus: int | str = "*", memory: str = "8g", **conf: str) -> Spa
     return spark
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that they needn't have it installed.
+
+    The archive lies in the shared folder, from which every executor, later ones too, fetches it.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    _shipped.add(context.applicationId)
+    root = os.path.dirname(os.path.abspath(__file__))
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, files in sorted(os.walk(root)):
+            for name in sorted(f for f in files if f.endswith(".py")):
+                full = os.path.join(folder, name)
+                archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    path = f"{shared_dir(spark).rstrip('/')}/stratlas/{uuid.uuid4().hex}/stratlas.zip"
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(context._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(raw.getvalue()))
+    out.close()
+    context.addPyFile(path)
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table ``name`` of a data folder."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def clean(spark: SparkSession) -> None:
+    """Remove what this package wrote to the shared folder; results read from there end with it."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark).rstrip('/')}/stratlas")
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
