@@ -308,3 +308,15 @@ def backbone(edges: DataFrame, ranks: DataFrame, most: int = 900, per_node: int
         if len(rows) == most:
             break
     return edges.sparkSession.createDataFrame(rows, "src long, dst long, score double")
+
+
+def sweep(nodes: DataFrame, edges: DataFrame, sources: dict[str, DataFrame], resolutions: tuple[float, ...], levels: int = 2, passes: int = 4) -> DataFrame:
+    """``(source, resolution, communities, largest, modularity)`` over edge sources and resolutions."""
+    rows = []
+    for name, layer in sorted(sources.items()):
+        for r in resolutions:
+            labels = communities(nodes, layer, r, levels, passes)
+            sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n")).first()
+            score = modularity(layer, labels).first()[0]
+            rows.append((name, float(r), sizes[0], sizes[1], None if score is None else round(float(score), 6)))
+    return nodes.sparkSession.createDataFrame(rows, "source string, resolution double, communities long, largest long, modularity double")

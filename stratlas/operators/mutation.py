@@ -63,3 +63,22 @@ def point_update(target: DataFrame, key: str, values: DataFrame, column: str) ->
     new = values.groupBy(F.col(key).alias("__k")).agg(F.max(column).alias("__v"))
     rows = target.join(new, target[key] == F.col("__k"), "left").withColumn(column, F.coalesce("__v", column))
     return rows.select(*target.columns)
+
+
+def append_run(runs: DataFrame | None, spark, **values) -> DataFrame:
+    """The run log with one more row; columns that a row lacks are null."""
+    row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'long' if isinstance(v, int) else 'double' if isinstance(v, float) else 'string'}" for k, v in values.items()))
+    return row if runs is None else runs.unionByName(row, allowMissingColumns=True)
+
+
+def advance(state: DataFrame, shard: str, cursor: str | None, rows: int, completed: bool) -> DataFrame:
+    """The ingest state after a page: written after the page's rows, so a lost run repeats a page and never skips one."""
+    update = state.sparkSession.createDataFrame([(shard, cursor, rows, completed)], "shard string, cursor string, rows_seen long, completed boolean")
+    before = state.where(F.col("shard") == shard).agg(F.coalesce(F.max("rows_seen"), F.lit(0)).alias("b"))
+    update = update.join(F.broadcast(before), F.lit(True)).select("shard", "cursor", (F.col("rows_seen") + F.col("b")).alias("rows_seen"), "completed")
+    return merge_upsert(state, update, ["shard"])
+
+
+def reset(state: DataFrame, shard: str | None = None) -> DataFrame:
+    """The ingest state without a shard, or without all."""
+    return state.limit(0) if shard is None else state.where(F.col("shard") != shard)

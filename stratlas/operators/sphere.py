@@ -116,3 +116,35 @@ def project(vectors: DataFrame, id_col: str, v: str, width: int) -> DataFrame:
     rows = vectors.where(F.col(v).isNotNull()).select(F.col(id_col).alias("id"), *[c.alias(n) for c, n in zip(lead, "xyz")])
     theta, phi = angles(F.col("x"), F.col("y"), F.col("z"))
     return rows.select("id", theta.alias("theta"), phi.alias("phi"))
+
+
+def regions(world: DataFrame, k: int, domains: int = 12, rounds: int = 20) -> DataFrame:
+    """``(repo_id, region, domain)``: spherical k-means regions, then the regions' centres grouped into domains by size.
+
+    Starting centres are taken one pass each, so ``k`` bounds the passes; the second grouping has one row a region.
+    """
+    from stratlas.operators.vectors import spherical_kmeans
+
+    rows = placed(world).select(F.col("repo_id").alias("id"), F.array("x", "y", "z").alias("v"))
+    labels, centres = spherical_kmeans(rows, "id", "v", k, 3, rounds)
+    sizes = {r["label"]: r["n"] for r in labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    small = [(i, [float(x) for x in c], float(sizes.get(i, 0))) for i, c in enumerate(centres) if sizes.get(i)]
+    if not small:
+        return labels.select(F.col("id").alias("repo_id"), F.col("label").alias("region"), F.lit(0).alias("domain"))
+    table = world.sparkSession.createDataFrame(small, "id long, v array<double>, w double").coalesce(1)
+    groups, _ = spherical_kmeans(table, "id", "v", min(domains, len(small)), 3, rounds, "w")
+    named = groups.select(F.col("id").cast("int").alias("region"), F.col("label").alias("domain"))
+    return labels.select(F.col("id").alias("repo_id"), F.col("label").alias("region")).join(F.broadcast(named), "region")
+
+
+def baseline_distance(world: DataFrame, seed: int = 5) -> DataFrame:
+    """Mean angle between each record and a pseudorandom other: what a map without structure would give for any pair."""
+    from stratlas.operators.ordering import global_positions
+
+    rows = placed(world).select(F.col("repo_id").alias("id"), "x", "y", "z").withColumn("h", F.xxhash64("id", F.lit(seed)) / F.lit(float(2**63)))
+    numbered = global_positions(rows, "h", F.col("id"), out="i")
+    n = numbered.agg(F.count(F.lit(1)).alias("n"))
+    a = numbered.join(F.broadcast(n), F.lit(True)).select(F.struct("x", "y", "z").alias("a"), (F.col("i") % F.col("n") + 1).alias("j"))
+    b = numbered.select(F.struct("x", "y", "z").alias("b"), F.col("i").alias("j"))
+    away = great_circle(*[tuple(F.col(f"{s}.{c}") for c in "xyz") for s in "ab"])
+    return a.join(b, "j").agg(F.round(F.avg(away), 6).alias("mean_distance"), F.count(F.lit(1)).alias("pairs"))

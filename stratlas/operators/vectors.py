@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from stratlas.session import materialise
 
-QUERY_CHUNK, LIST_ROWS = 4096, 20_000
+QUERY_CHUNK, LIST_ROWS, TRIALS = 4096, 20_000, 100
 
 
 def doubles(v: str | Column) -> Column:
@@ -200,11 +200,15 @@ def fit_lists(sample: np.ndarray, lists: int, rounds: int = 12, seed: int = 3) -
 
 
 class ListIndex:
-    """Inverted lists over all rows: a row lies in its nearest list, a query looks into its ``probes`` nearest ones."""
+    """Inverted lists over all rows: a row lies in its nearest list, a query looks into its ``probes`` nearest ones.
 
-    def __init__(self, base: DataFrame, id_col: str, v: str, lists: int = 32, sample_rows: int = 20_000, probes: int = 8):
+    Without ``probes``, their number is measured: of the true neighbours (by brute force) of ``TRIALS`` rows, at least ``recall``
+    must lie in the lists looked into.
+    """
+
+    def __init__(self, base: DataFrame, id_col: str, v: str, lists: int = 32, sample_rows: int = 20_000, probes: int | None = None, recall: float = 0.97):
         """Fitted on ``sample_rows`` rows at most (a documented bound); every row with a vector is indexed."""
-        self.id_col, self.v, self.probes = id_col, v, probes
+        self.id_col, self.v = id_col, v
         n = max(1, base.count())
         share = min(1.0, 1.1 * sample_rows / n)
         hit = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30))
@@ -215,6 +219,18 @@ class ListIndex:
         placed = self._place(rows, 1).withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
         self.chunks = chunks
         self.lists = materialise(placed, "vector-lists")
+        self.probes = probes or self._measured(recall)
+
+    def _measured(self, recall: float, k: int = 10) -> int:
+        """The fewest lists that hold ``recall`` of the true neighbours of ``TRIALS`` rows."""
+        if not len(self.centres):
+            return 1
+        rows = self.lists.select("id", "v")
+        trials = rows.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(TRIALS)
+        near = nearest(trials, rows, "id", "v", k).join(self.lists.select("id", "list"), "id").select("query", "list").collect()
+        order = {r["id"]: np.argsort(-(unit_rows(np.array([r["v"]])) @ self.centres.T)[0]).tolist() for r in trials.collect()}
+        depth = np.sort([order[r["query"]].index(r["list"]) + 1 for r in near if r["query"] in order]) if near else np.array([1])
+        return int(depth[min(len(depth) - 1, int(np.ceil(recall * len(depth))) - 1)])
 
     def _place(self, rows: DataFrame, probes: int) -> DataFrame:
         centres = self.centres
@@ -308,3 +324,15 @@ def spherical_kmeans(df: DataFrame, id_col: str, v: str, k: int, width: int, rou
         if moved < 1e-9:
             break
     return placed(centres).select("id", "label"), centres
+
+
+def recommended_strip(df: DataFrame, v: str, width: int, most: int = 8, enough: float = 0.02) -> tuple[int, list[float]]:
+    """The fewest leading directions to take out so that all pairs' mean cosine falls under ``enough``, and the cosines tried."""
+    mean, axes = fit_whitening(df, v, width, most)
+    rows = df.select(doubles(v).alias("v"))
+    tried: list[float] = []
+    for k in range(most + 1):
+        tried.append(pair_cosine(sums_by(whiten(rows, "v", mean, axes[:k]), "v", width)).first()["cosine"] or 0.0)
+        if abs(tried[-1]) < enough:
+            return k, tried
+    return most, tried

@@ -6,11 +6,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from stratlas.functions.register import register
-from stratlas.operators import density, planning
+from stratlas.operators import density, planning, sphere
+from stratlas.operators import graph as G
 from stratlas.operators import vectors as V
 from stratlas.plans.registry import QUERIES, SQL, query
 from stratlas.session import read
-from stratlas.sources import clients
+from stratlas.sources import clients, tiles
 
 
 @query("text_embeddings", "repo")
@@ -71,3 +72,37 @@ QUERIES["topic_pairs"] = _sql_functions
 SQL["topic_pairs"] = """
 with t as (select distinct id, unnest(topics) as t from repo), n as (select x.id, x.t as a, y.t as b from t x join t y on x.id = y.id and x.t < y.t) select a, b, count(*) as n from n group by 1, 2
 """
+
+
+@query("regions", "world")
+def regions(world):
+    return sphere.regions(world, max(1, min(24, world.count() // 20)), 6, 8)
+
+
+@query("baseline_distance", "world")
+def baseline_distance(world):
+    return sphere.baseline_distance(world)
+
+
+@query("recommended_strip", "embeddings")
+def recommended_strip(e):
+    k, tried = V.recommended_strip(e, "embedding", 64, 4)
+    return e.sparkSession.createDataFrame([(k, i, float(c)) for i, c in enumerate(tried)], "chosen int, stripped int, cosine double")
+
+
+@query("community_sweep", "repo", "edge")
+def community_sweep(repo, edge):
+    sources = {"deps": edge.where("kind = 0"), "similar": edge.where("kind = 1").withColumn("weight", F.col("weight") * 0.4)}
+    return G.sweep(repo, edge, sources, (1.0,), 1, 2)
+
+
+@query("graph_checks", "repo", "world", "edge")
+def graph_checks(repo, world, edge):
+    ranks = world.where("rank is not null").select(F.col("repo_id").alias("id"), "rank")
+    whole = ranks.agg(F.sum("rank").alias("s"))
+    ranks = ranks.join(F.broadcast(whole), F.lit(True)).select("id", (F.col("rank") / F.col("s")).alias("rank"))
+    ordered = G.importance_order(ranks, repo)
+    links = G.unit_weights(edge.where("src <> dst and weight is not null").groupBy("src", "dst", "kind").agg(F.max("weight").alias("weight")))
+    raw = tiles.graph_file(ordered, links, G.backbone(links, ranks))
+    bad = tiles.check_graph(tiles.decode_graph(raw))
+    return repo.sparkSession.createDataFrame([(len(raw), len(bad), ", ".join(bad))], "bytes long, faults int, what string")

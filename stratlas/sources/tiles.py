@@ -127,3 +127,29 @@ def sidecars(rows: DataFrame) -> DataFrame:
 
 def manifest_json(points: list[int], clusters: list[dict], extra: dict | None = None) -> str:
     return json.dumps({"version": VERSION, "bands": [{"file": f"points-{i}.bin", "points": n} for i, n in enumerate(points)], "clusters": clusters, **(extra or {})}, sort_keys=True)
+
+
+class TooLarge(ValueError):
+    """A client's file would not fit one."""
+
+
+def graph_file(ordered: DataFrame, edges: DataFrame, arcs: DataFrame, most_nodes: int = 2_000_000, most_entries: int = 20_000_000) -> bytes:
+    """The binary graph of ``(id, rank, position)`` nodes, weighted kinds of edges, and backbone arcs.
+
+    One file for a client, so it is made in one place; graphs over the bounds raise. Ids become row numbers by joins before that.
+    """
+    from stratlas.operators.graph import packed_entries
+
+    rows = ordered.select("id", "rank", (F.col("position") - 1).alias("row"))
+    names = rows.select("id", "row")
+    a, b = names.select(F.col("id").alias("src"), F.col("row").alias("s")), names.select(F.col("id").alias("dst"), F.col("row").alias("d"))
+    inside = edges.join(a, "src").join(b, "dst").where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst"), "kind", "weight")
+    entries = packed_entries(inside)
+    n, e = rows.count(), entries.count()
+    if n > most_nodes or e > most_entries:
+        raise TooLarge(f"{n} nodes and {e} entries")
+    table = entries.orderBy("row", "target", "packed").toPandas()
+    ranks = rows.orderBy("row").select("rank").toPandas()["rank"].to_numpy(float)
+    ends = arcs.join(a, "src").join(b, "dst").orderBy(F.desc("score"), "s", "d").select("s", "d").toPandas().to_numpy().ravel()
+    offsets = np.r_[0, np.cumsum(np.bincount(table["row"].to_numpy(np.int64), minlength=n))] if n else np.zeros(1)
+    return encode_graph(ranks, offsets, table["target"].to_numpy(), ends, table["packed"].to_numpy())

@@ -143,3 +143,12 @@ def test_days_are_fractional(spark):
 
     df = spark.createDataFrame([(dt.datetime(2025, 12, 31, 12),)], "t timestamp_ntz")
     assert df.select(days_before("t", "2026-01-01 00:00:00")).first()[0] == 0.5
+
+
+def test_run_log_and_ingest_state(spark):
+    runs = M.append_run(M.append_run(None, spark, name="a", rows=5), spark, name="b", ok=True)
+    assert {(r.name, r.rows, r.ok) for r in runs.collect()} == {("a", 5, None), ("b", None, True)}
+    state = spark.createDataFrame([("s1", "c1", 10, False)], TABLES["ingest_state"])
+    state = M.advance(M.advance(state, "s1", "c2", 7, False), "s2", None, 3, True)
+    assert {tuple(r) for r in state.collect()} == {("s1", "c2", 17, False), ("s2", None, 3, True)}
+    assert M.reset(state, "s1").count() == 1 and M.reset(state).count() == 0

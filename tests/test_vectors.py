@@ -43,6 +43,16 @@ def test_index_recall_against_brute_force(spark):
     assert len(exact & found) / len(exact) >= 0.9
 
 
+def test_vectors_without_structure_are_found_too(spark):
+    m = V.unit_rows(np.random.default_rng(4).normal(size=(1500, 16)))
+    df = vectors(spark, m)
+    asked = df.where("id % 25 = 0")
+    exact = {(r.query, r.id) for r in V.nearest(asked, df, "id", "v", 10).collect()}
+    index = V.ListIndex(df, "id", "v", 16, 1000)
+    found = {(r.query, r.id) for r in index.nearest(asked, 10).collect()}
+    assert len(exact & found) / len(exact) >= 0.9 and index.probes <= 16
+
+
 def test_whitening_takes_the_cone_out(spark):
     rng = np.random.default_rng(1)
     m = V.unit_rows(rng.normal(size=(400, 24)) + 3 * rng.normal(size=24))
