@@ -10,7 +10,7 @@ from stratlas.operators import density, planning, sphere
 from stratlas.operators import graph as G
 from stratlas.operators import vectors as V
 from stratlas.plans.registry import QUERIES, SQL, query
-from stratlas.session import read
+from stratlas.session import materialise, read
 from stratlas.sources import clients, tiles
 
 
@@ -106,3 +106,23 @@ def graph_checks(repo, world, edge):
     raw = tiles.graph_file(ordered, links, G.backbone(links, ranks))
     bad = tiles.check_graph(tiles.decode_graph(raw))
     return repo.sparkSession.createDataFrame([(len(raw), len(bad), ", ".join(bad))], "bytes long, faults int, what string")
+
+
+@query("nation_trade_stability", "customer", "orders", "lineitem", "supplier", "nation")
+def nation_trade_stability(customer, orders, lineitem, supplier, nation):
+    trade = lineitem.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
+    trade = trade.join(customer.select("c_custkey", F.col("c_nationkey").alias("src")), "c_custkey").join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst")), "l_suppkey")
+    edges = trade.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    labels = nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("label"))
+    value = G.stability(materialise(edges, "trade-edges"), labels, 1.0)
+    return nation.sparkSession.createDataFrame([(1.0, round(value, 6))], "time double, stability double")
+
+
+@query("nation_trade", "customer", "orders", "lineitem", "supplier", sql="""
+select c_nationkey as src, s_nationkey as dst, count(*) as weight from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
+where c_nationkey <> s_nationkey group by 1, 2
+""")
+def nation_trade(customer, orders, lineitem, supplier):
+    trade = lineitem.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
+    trade = trade.join(customer.select("c_custkey", F.col("c_nationkey").alias("src")), "c_custkey").join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst")), "l_suppkey")
+    return trade.where("src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))

@@ -190,3 +190,16 @@ def embed(rows: DataFrame, id_col: str, text_col: str, width: int = 64, batch: i
 
     texts = rows.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t")).where(F.length(F.trim("t")) > 0)
     return texts.mapInPandas(run, "id long, v array<float>")
+
+
+def not_yet_embedded(rows: DataFrame, vectors: DataFrame, id_col: str = "id") -> DataFrame:
+    """The rows whose id the vector table lacks: what is left to send after a run that ended early."""
+    return rows.join(vectors.select(F.col("id").alias(id_col)), id_col, "left_anti")
+
+
+def extend_vectors(vectors: DataFrame, fresh: DataFrame, width: int) -> DataFrame:
+    """The vector table with fresh vectors laid over it by id; vectors of another width raise."""
+    from stratlas.operators.mutation import merge_upsert
+    from stratlas.operators.vectors import check_width
+
+    return merge_upsert(vectors, check_width(fresh, "v", width), ["id"])

@@ -198,3 +198,13 @@ def test_sessions_of_events(spark, tmp_path):
     spark.sql("select bigint(id) event_id, timestamp_ntz '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, int(id / 3) * 5, int(id % 3) * 10, 0) ts, bigint(1) user_id, 'x' event_type, double(1) value, '' props from range(9)").write.parquet(path)
     out = stars.run_to_end(stars.sessions(stars.event_stream(spark, path), "user_id", late="10 minutes"), "sessions", "append")
     assert {r.n for r in out.collect()} <= {3} and out.count() >= 1
+
+
+def test_vector_tables_resume(spark):
+    have = spark.createDataFrame([(1, [1.0, 0.0])], "id long, v array<float>")
+    rows = spark.createDataFrame([(1, "a"), (2, "b c")], "id long, t string")
+    left = clients.not_yet_embedded(rows, have)
+    assert [r.id for r in left.collect()] == [2]
+    assert {r.id for r in clients.extend_vectors(have, clients.embed(left, "id", "t", 2), 2).collect()} == {1, 2}
+    with pytest.raises(PySparkException):
+        clients.extend_vectors(have, spark.createDataFrame([(3, [1.0])], "id long, v array<float>"), 2).collect()
