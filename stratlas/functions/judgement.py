@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DIMENSIONS = ("capability", "maturity", "documentation", "onboarding_ease", "novelty", "focus")
+#: What a judgement scores.
+DIMENSIONS = ("maintenance", "production_readiness", "specificity", "learning_value", "onboarding_ease", "canonicity")
 #: Words that give a project's popularity away.
-POPULARITY = frozenset("star stars fork forks watcher watchers popular popularity trending rank pagerank dependents".split())
+POPULARITY = frozenset("star stars stargazers fork forks watchers criticality rank pagerank trending popularity dependents".split())
 THINKING = re.compile(r"<think>.*?(?:</think>|\Z)", re.S)
 RESULT = ", ".join(f"{d} double" for d in DIMENSIONS) + ", summary string, flags array<string>"
 

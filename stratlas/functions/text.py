@@ -12,14 +12,23 @@ from pyspark.sql import functions as F
 
 #: Headings whose sections say nothing about what a project can do.
 STOP_HEADINGS = frozenset(
-    """installation|install|installing|setup|getting started|quick start|quickstart|requirements|prerequisites|dependencies|building|build|build from source
-    |compiling|development|developing|contributing|contribution|contributors|how to contribute|code of conduct|license|licence|licensing|copyright|authors|author|credits
-    |acknowledgements|acknowledgments|thanks|sponsors|sponsor|backers|supporters|donate|donation|funding|changelog|change log|release notes|releases|history|roadmap|todo
-    |support|help|contact|community|chat|discussion|faq|testing|tests|running tests|ci|deployment|docker|upgrading|migration|security|citation|citing|references|links
-    |resources|see also|related projects|table of contents|contents|toc|star history|stargazers|badges|status""".replace("\n", "").replace("    ", "").split("|")
-)
-#: Hosts that serve badges.
-BADGE_HOSTS = ("shields.io", "badge.fury.io", "travis-ci.", "circleci.com", "codecov.io", "coveralls.io", "appveyor.com", "badgen.net", "snyk.io", "codacy.com", "codeclimate.com", "opencollective.com", "gitter.im", "readthedocs.", "isitmaintained.com", "david-dm.org", "star-history.com", "contrib.rocks", "deepsource.io", "sonarcloud.io", "app.netlify.com")
+    [
+        "acknowledgement", "acknowledgements", "acknowledgment", "acknowledgments", "author", "authors", "backers", "badges", "build", "building",
+        "building from source", "changelog", "change log", "citation", "cite", "citing", "code of conduct", "community", "contact", "contents",
+        "contribute", "contributing", "contribution", "contributions", "contributors", "credits", "dependencies", "development", "developing",
+        "donate", "donating", "donation", "donations", "documentation", "docs", "download", "downloads", "faq", "funding", "getting help", "help",
+        "install", "installation", "installing", "license", "licence", "licensing", "links", "maintainers", "notes", "prerequisites",
+        "cloning", "community integrations", "ecosystem", "integrations", "projects using", "related", "related projects", "release notes", "releases",
+        "showcase", "used by", "who uses", "requirements", "resources", "roadmap", "security", "setup", "sponsor", "sponsors", "sponsorship",
+        "star history", "stargazers", "support", "supported platforms", "table of contents", "testing", "tests", "thanks", "toc", "troubleshooting",
+    ]
+)
+#: Hosts that serve badges (patterns).
+BADGE_HOSTS = (
+    "img.shields.io", "badge.fury.io", "travis-ci", "circleci.com", "codecov.io", "coveralls.io", "appveyor.com", "badgen.net", "pepy.tech", "readthedocs.org", "snyk.io",
+    "codeclimate.com", "opencollective.com", "herokucdn.com", "gitpod.io", "deepsource.io", "bestpractices.coreinfrastructure.org", "isitmaintained.com",
+    "githubusercontent.com/.*badge", "sonarcloud.io", "codefactor.io",
+)
 FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 ATX = re.compile(r"^ {0,3}(#{1,6})\s+(.*?)\s*#*\s*$")
 UNDERLINE = re.compile(r"^ {0,3}(=+|-+)\s*$")
@@ -41,7 +50,7 @@ class Cleaned(NamedTuple):
 def strip_badges(text: str) -> str:
     text = re.sub(r"\[!\[[^\]]*\]\([^)]*\)\]\([^)]*\)", "", text)
     text = re.sub(r"!\[[^\]]*\](?:\([^)]*\)|\[[^\]]*\])", "", text)
-    hosts = "|".join(map(re.escape, BADGE_HOSTS))
+    hosts = "|".join(BADGE_HOSTS)
     return re.sub(rf"\[[^\]]*\]\([^)]*(?:{hosts})[^)]*\)", "", text)
 
 

@@ -14,7 +14,10 @@ from stratlas.functions.bands import ACTIVITY_BANDS, STAR_BANDS, band_of, days_b
 from stratlas.functions.judgement import gives_popularity_away
 
 #: Languages with a feature of their own.
-LANGUAGES = tuple("python javascript typescript java go rust c c++ c# php ruby swift kotlin scala shell html css dart lua haskell elixir julia r perl objective-c".split())
+LANGUAGES = (
+    "python", "javascript", "typescript", "java", "go", "c++", "c", "rust", "ruby", "php", "c#", "shell", "swift", "kotlin", "scala", "html", "css",
+    "jupyter notebook", "dart", "r", "lua", "perl", "haskell", "elixir", "zig",
+)
 MOST_RATIO = 1e6
 
 
@@ -49,7 +52,8 @@ def features(repo: DataFrame, now: str) -> DataFrame:
         "description_share": ratio(length("description"), length("clean_text")), "issues_per_fork": ratio(n("open_issues"), n("forks")), "idle_share": ratio(idle, age),
     }
     for name in LANGUAGES:
-        columns[f"language_{name}"] = F.coalesce(language == name, F.lit(False)).cast("double")
+        plain = name.replace(" ", "_").replace("+", "p").replace("#", "sharp").replace("-", "_")
+        columns[f"language_{plain}"] = F.coalesce(language == name, F.lit(False)).cast("double")
     columns["language_other"] = (F.coalesce(language, F.lit("")) != "").cast("double") * (~F.coalesce(language.isin(*LANGUAGES), F.lit(False))).cast("double")
     columns["language_missing"] = (F.coalesce(language, F.lit("")) == "").cast("double")
     return repo.select("id", *[c.cast("double").alias(name) for name, c in columns.items()])

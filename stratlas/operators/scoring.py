@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 from stratlas.operators.ordering import bucket_number, quantiles
 
 #: Rungs of the star ladder, weights of the composite, anchors of the dependents' percentile.
-LADDER = (0, 1, 2, 3, 5, 8, 10, 15, 20, 30, 50, 75, 100, 150, 200, 300, 500, 750, 1000, 1500, 2000, 3000, 5000, 10000, 20000, 50000, 100000, 200000, 400000)
+LADDER = (0, 1, 2, 3, 5, 8, 12, 20, 30, 50, 75, 100, 150, 250, 400, 600, 1000, 1500, 2500, 4000, 6000, 10000, 15000, 25000, 40000, 60000, 100000, 150000, 250000)
 WEIGHTS = {"stars": 0.25, "dependents": 0.35, "pagerank": 0.20, "criticality": 0.10, "velocity": 0.10}
 ANCHORS = ((1, 0.3), (10, 0.5), (100, 0.7), (1000, 0.85), (10000, 0.95), (100000, 1.0))
 FULL_STARS = 500_000

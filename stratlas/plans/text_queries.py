@@ -80,13 +80,13 @@ def chosen_readmes(repo):
 
 
 @query("judgements", "repo_signals", sql="""
-select repo_id, least(100, greatest(0, coalesce(case when isnan(stars) then null else stars end, 0)))::double as capability, 'ok' as summary from repo_signals
+select repo_id, least(100, greatest(0, coalesce(case when isnan(stars) then null else stars end, 0)))::double as maintenance, 'ok' as summary from repo_signals
 """)
 def judgements(signals):
     n = F.coalesce(F.nanvl("stars", F.lit(None)), F.lit(0.0))
     scores = F.concat_ws(", ", *[F.concat(F.lit(f'"{d}": '), n.cast("long").cast("string")) for d in J.DIMENSIONS])
     answer = F.concat(F.lit("<think>{}</think> first {\"a\": 1} then {"), scores, F.lit(', "summary": "ok", "flags": ["x"]} end'))
-    return signals.select("repo_id", J.parsed(answer).alias("j")).select("repo_id", "j.capability", "j.summary")
+    return signals.select("repo_id", J.parsed(answer).alias("j")).select("repo_id", "j.maintenance", "j.summary")
 
 
 SCORE = "(list_sum(list_transform(range(1, 1 + len(list_filter(t, lambda x: x = '{0}'))), lambda i: 1.0 / (i * i))))"

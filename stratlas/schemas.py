@@ -13,7 +13,7 @@ TABLES: dict[str, str] = {
     "star_event": "actor string, repo_id bigint, starred_at date",
     "relatedness": "repo_id bigint, depends_on_n int, dependents_n int, used_with_n int, similar_n int, rank double",
     "cluster": "id int, label string, domain int, size bigint, centroid array<double>, theta double, phi double, top_languages array<string>, top_topics array<string>",
-    "score": "repo_id bigint, source int, capability double, maturity double, documentation double, onboarding_ease double, novelty double, focus double, summary string, flags array<string>, scored_hash string, model string, scored_at timestamp",
+    "score": "repo_id bigint, source int, maintenance double, production_readiness double, specificity double, learning_value double, onboarding_ease double, canonicity double, summary string, flags array<string>, scored_hash string, model string, scored_at timestamp",
     "star_scale": "thresholds array<bigint>, counts array<bigint>, total_repos bigint, repaired int, measured_at timestamp",
     "global_rank": "repo_id bigint, score double, star_rank bigint, star_percentile double, components string, scale_id bigint, computed_at timestamp",
     "ingest_state": "shard string, cursor string, rows_seen bigint, completed boolean",

@@ -127,7 +127,7 @@ def test_density_clusters_and_their_noise(spark):
 def test_sql_names(spark):
     register(spark)
     row = spark.sql("select clean_readme('# A\n\nsome text here', null) as c, parse_judgement('{}') as j, heading_key('## [Use](x)!') as k").first()
-    assert row.c.clean_text.startswith("A") and row.j.capability is None and row.k == "use"
+    assert row.c.clean_text.startswith("A") and row.j.maintenance is None and row.k == "use"
     assert {tuple(r) for r in spark.sql("select p.* from pairs(array('b', 'a', 'b', null)) p").collect()} == {("a", "b")}
 
 

@@ -96,7 +96,7 @@ def test_scripts_tell_other_languages():
 def test_the_last_valid_judgement_counts():
     good = {d: 150 for d in J.DIMENSIONS} | {"summary": "s" * 400, "flags": ["f" * 50] * 12}
     out = J.parse("<think>{\"x\": 1}</think> " + json.dumps({"a": "}{"}) + json.dumps(good))
-    assert out["capability"] == 100 and len(out["summary"]) == 300 and len(out["flags"]) == 8 and len(out["flags"][0]) == 40
+    assert out["maintenance"] == 100 and len(out["summary"]) == 300 and len(out["flags"]) == 8 and len(out["flags"][0]) == 40
     assert J.parse(None) is None and J.parse("{") is None and J.parse(json.dumps({d: 1 for d in J.DIMENSIONS[:5]})) is None
     assert J.gives_popularity_away(["log_stars", "readme_length", "start_size"]) == ["log_stars"]
 
