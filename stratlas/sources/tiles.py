@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from stratlas.operators import sphere
 
-#: Magic words, version and bytes a point.
-TILE, GRAPH, VERSION, POINT = b"GGT1", b"GGG1", 1, 12
-TILE_TYPE = np.dtype([("theta", "<i2"), ("phi", "<u2"), ("size", "<u2"), ("domain", "u1"), ("flags", "u1"), ("id", "<u4")])
+#: Magic words, layout versions, bytes a point, headers and the order of the arrays.
+TILE, GRAPH, TILE_VERSION, GRAPH_VERSION, POINT = 0x47475431, 0x47474731, 1, 2, 12
+TILE_HEAD, GRAPH_HEAD = "<IIHHI", "<IIIIH6x"
+TILE_TYPE = np.dtype([("theta", "<i2"), ("phi", "<u2"), ("id", "<u4"), ("size", "<u2"), ("domain", "u1"), ("flags", "u1")])
 
 
 class BadFile(ValueError):
@@ -33,20 +34,22 @@ def tile_rows(world: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.select("band", "position", t.alias("theta"), p.alias("phi"), s.alias("size"), F.coalesce("domain", F.lit(0)).alias("domain"), flags(F.col("low_signal"), F.col("is_archived"), F.col("is_fork")).alias("flags"), F.col("position").alias("id"))
 
 
-def encode_tile(rows: list) -> bytes:
-    """A 16-byte header (magic, version, points, reserved), then each attribute's array, in order of position."""
+def encode_tile(rows: list, band: int = 0) -> bytes:
+    """A 16-byte header (magic, points, version, band), then each attribute's array, in order of position; id 0 is reserved."""
     data = np.zeros(len(rows), TILE_TYPE)
     for name in TILE_TYPE.names:
         data[name] = [r[name] for r in rows]
-    return struct.pack("<4sIII", TILE, VERSION, len(rows), 0) + b"".join(data[n].tobytes() for n in TILE_TYPE.names)
+    if len(rows) and not data["id"].min():
+        raise BadFile("id 0 stands for no point")
+    return struct.pack(TILE_HEAD, TILE, len(rows), TILE_VERSION, band, 0) + b"".join(data[n].tobytes() for n in TILE_TYPE.names)
 
 
 def decode_tile(raw: bytes) -> np.ndarray:
-    if len(raw) < 16 or raw[:4] != TILE:
+    if len(raw) < 16:
         raise BadFile("no tile")
-    _, version, n, _ = struct.unpack("<4sIII", raw[:16])
-    if version != VERSION or len(raw) != 16 + n * POINT:
-        raise BadFile(f"version {version}, {len(raw)} bytes for {n} points")
+    magic, n, version, _, _ = struct.unpack(TILE_HEAD, raw[:16])
+    if magic != TILE or version != TILE_VERSION or len(raw) != 16 + n * POINT:
+        raise BadFile(f"magic {magic:x}, version {version}, {len(raw)} bytes for {n} points")
     out, at = np.zeros(n, TILE_TYPE), 16
     for name in TILE_TYPE.names:
         kind = TILE_TYPE[name]
@@ -66,7 +69,7 @@ def write_tiles(rows: DataFrame, path: str) -> DataFrame:
         import pandas as pd
 
         group = group.sort_values("position")
-        return pd.DataFrame([{"band": key[0], "part": key[1], "tile": encode_tile(group.to_dict("records")), "points": len(group)}])
+        return pd.DataFrame([{"band": key[0], "part": key[1], "tile": encode_tile(group.to_dict("records"), key[0]), "points": len(group)}])
 
     rows.withColumn("part", part).groupBy("band", "part").applyInPandas(build, "band int, part int, tile binary, points long").write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.parquet(path)
@@ -74,16 +77,16 @@ def write_tiles(rows: DataFrame, path: str) -> DataFrame:
 
 def encode_graph(rank: np.ndarray, offsets: np.ndarray, targets: np.ndarray, ambient: np.ndarray, weights: np.ndarray) -> bytes:
     """A 24-byte header, then ranks, row offsets, targets, backbone ends and packed weights."""
-    head = struct.pack("<4sIIIII", GRAPH, VERSION, len(rank), len(targets), len(ambient) // 2, 0)
+    head = struct.pack(GRAPH_HEAD, GRAPH, len(rank), len(targets), len(ambient) // 2, GRAPH_VERSION)
     return head + rank.astype("<f4").tobytes() + offsets.astype("<u4").tobytes() + targets.astype("<u4").tobytes() + ambient.astype("<u4").tobytes() + weights.astype("<u2").tobytes()
 
 
 def decode_graph(raw: bytes) -> dict[str, np.ndarray]:
-    if len(raw) < 24 or raw[:4] != GRAPH:
+    if len(raw) < 24:
         raise BadFile("no graph")
-    _, version, n, e, a, _ = struct.unpack("<4sIIIII", raw[:24])
+    magic, n, e, a, version = struct.unpack(GRAPH_HEAD, raw[:24])
     shape = [("rank", "<f4", n), ("offsets", "<u4", n + 1), ("targets", "<u4", e), ("ambient", "<u4", 2 * a), ("weights", "<u2", e)]
-    if version != VERSION or len(raw) != 24 + sum(np.dtype(k).itemsize * c for _, k, c in shape):
+    if magic != GRAPH or version != GRAPH_VERSION or len(raw) != 24 + sum(np.dtype(k).itemsize * c for _, k, c in shape):
         raise BadFile(f"version {version}, {len(raw)} bytes")
     out, at = {}, 24
     for name, kind, count in shape:
@@ -126,7 +129,7 @@ def sidecars(rows: DataFrame) -> DataFrame:
 
 
 def manifest_json(points: list[int], clusters: list[dict], extra: dict | None = None) -> str:
-    return json.dumps({"version": VERSION, "bands": [{"file": f"points-{i}.bin", "points": n} for i, n in enumerate(points)], "clusters": clusters, **(extra or {})}, sort_keys=True)
+    return json.dumps({"version": TILE_VERSION, "bands": [{"file": f"points-{i}.bin", "points": n} for i, n in enumerate(points)], "clusters": clusters, **(extra or {})}, sort_keys=True)
 
 
 class TooLarge(ValueError):
