@@ -288,26 +288,37 @@ def decoded_entries(entries: DataFrame) -> DataFrame:
 def backbone(edges: DataFrame, ranks: DataFrame, most: int = 900, per_node: int = 4) -> DataFrame:
     """The strongest arcs (weight × √(rank·rank)), at most ``per_node`` at a node, taken greedily until ``most``.
 
-    Greedy choice is sequential; but an arc can only be taken if fewer than ``per_node`` stronger taken ones share an
-    end, and at most 2·per_node·rounds candidates matter: the driver gets the ``64·most`` strongest arcs in order.
+    Greedy choice is sequential: the driver gets the ``64·most`` strongest arcs in order, then as many of those that are
+    left once arcs of full nodes and further arcs of taken pairs are dropped, until ``most`` are taken or none is left.
+    Whatever a batch passed over stays excluded, so the choice is that of one pass over all arcs.
     """
+    spark = edges.sparkSession
     a, b = ranks.select(F.col("id").alias("src"), F.col("rank").alias("ra")), ranks.select(F.col("id").alias("dst"), F.col("rank").alias("rb"))
     scored = edges.where("src <> dst").join(a, "src").join(b, "dst").withColumn("score", F.coalesce("weight", F.lit(0.0)) * F.sqrt(F.col("ra") * F.col("rb")))
-    top = scored.orderBy(F.desc("score"), "src", "dst").select("src", "dst", "score").limit(64 * most).collect()
+    scored = materialise(scored.select("src", "dst", "score"), "backbone-arcs")
     used: dict[int, int] = {}
     taken: set[tuple[int, int]] = set()
-    rows = []
-    for r in top:
-        pair = (min(r["src"], r["dst"]), max(r["src"], r["dst"]))
-        if pair in taken or used.get(r["src"], 0) >= per_node or used.get(r["dst"], 0) >= per_node:
-            continue
-        taken.add(pair)
-        for end in pair:
-            used[end] = used.get(end, 0) + 1
-        rows.append((r["src"], r["dst"], r["score"]))
-        if len(rows) == most:
+    rows: list[tuple[int, int, float]] = []
+    rest, size = scored, 64 * most
+    while len(rows) < most:
+        top = rest.orderBy(F.desc("score"), "src", "dst").limit(size).collect()
+        for r in top:
+            pair = (min(r["src"], r["dst"]), max(r["src"], r["dst"]))
+            if pair in taken or used.get(r["src"], 0) >= per_node or used.get(r["dst"], 0) >= per_node:
+                continue
+            taken.add(pair)
+            for end in pair:
+                used[end] = used.get(end, 0) + 1
+            rows.append((r["src"], r["dst"], r["score"]))
+            if len(rows) == most:
+                break
+        if len(top) < size or not rows:
             break
-    return edges.sparkSession.createDataFrame(rows, "src long, dst long, score double")
+        full = F.broadcast(spark.createDataFrame([(i,) for i, n in used.items() if n >= per_node], "id long"))  # at most 2·most / per_node
+        pairs = F.broadcast(spark.createDataFrame(sorted(taken), "a long, b long"))
+        rest = scored.join(full, F.col("src") == F.col("id"), "left_anti").join(full, F.col("dst") == F.col("id"), "left_anti")
+        rest = rest.join(pairs, (F.least("src", "dst") == F.col("a")) & (F.greatest("src", "dst") == F.col("b")), "left_anti")
+    return spark.createDataFrame(rows, "src long, dst long, score double")
 
 
 def sweep(nodes: DataFrame, edges: DataFrame, sources: dict[str, DataFrame], resolutions: tuple[float, ...], levels: int = 2, passes: int = 4) -> DataFrame:

@@ -106,3 +106,18 @@ def test_backbone_keeps_its_bounds(spark):
     rows = edges(spark, [(0, i, 1.0 / i) for i in range(1, 20)])
     ranks = spark.createDataFrame([(i, 1.0) for i in range(20)], "id long, rank double")
     assert [(r.src, r.dst) for r in G.backbone(rows, ranks, 900, 4).collect()] == [(0, 1), (0, 2), (0, 3), (0, 4)]
+
+
+def test_backbone_goes_on_below_a_hub_that_is_full(spark):
+    rng = random.Random(4)
+    rows = [(0, i, 9.0 + i / 1000) for i in range(1, 400)] + [(i, 0, 8.0 + i / 1000) for i in range(1, 400)]
+    rows += [(rng.randrange(1, 60), rng.randrange(1, 60), rng.random()) for _ in range(300)]
+    ranks = {i: 1.0 + i % 7 for i in range(400)}
+    used, taken, want = {}, set(), []
+    for s, t, w in sorted(((s, t, w * (ranks[s] * ranks[t]) ** 0.5) for s, t, w in rows), key=lambda r: (-r[2], r[0], r[1])):
+        if s != t and frozenset((s, t)) not in taken and used.get(s, 0) < 2 and used.get(t, 0) < 2 and len(want) < 8:
+            taken.add(frozenset((s, t)))
+            want.append((s, t))
+            used |= {s: used.get(s, 0) + 1, t: used.get(t, 0) + 1}
+    got = G.backbone(edges(spark, rows), spark.createDataFrame(list(ranks.items()), "id long, rank double"), 8, 2)
+    assert len(want) == 8 and [(r.src, r.dst) for r in got.collect()] == want
