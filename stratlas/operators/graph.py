@@ -178,63 +178,84 @@ def disconnected_communities(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return parts.join(labels, "id").groupBy("label").agg(F.count_distinct("component").alias("parts"), F.count(F.lit(1)).alias("size")).where("parts > 1")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 6, passes: int = 12, seed: int = 5) -> DataFrame:
+def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, levels: int = 10, passes: int | None = None, seed: int = 5) -> DataFrame:
     """``(id, label)``: communities by modularity, all nodes moving in parallel.
 
     In each pass a hashed half of the nodes may move to the neighbouring community of largest gain (ties to the smaller
-    label); halves alternate, so two nodes don't swap for ever. Passes end when modularity stops rising, then communities
-    become nodes (with their inner weight as self-loops) and the next level begins. Every step is joins
-    and aggregations; the labels are the smallest ids of their members.
+    label); halves alternate, so two nodes don't swap for ever. Passes end when modularity stops rising (or after
+    ``passes``), then communities become nodes (with their inner weight as self-loops) and the next level begins. Every
+    step is joins and aggregations; the labels are the smallest ids of their members.
     """
-    both = symmetric(edges.withColumn("weight", F.coalesce("weight", F.lit(1.0)).cast("double"))).groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
-    graph = materialise(both, "community-graph")
-    mapping = materialise(nodes.select("id").distinct().withColumn("label", F.col("id")), "community-map")
-    m2 = graph.agg(F.sum("weight")).first()[0]
+    return many_communities(nodes, edges.withColumn("run", F.lit(0)), {0: resolution}, levels, passes, seed).select("id", "label")
+
+
+def many_communities(nodes: DataFrame, edges: DataFrame, resolutions: dict[int, float], levels: int = 10, passes: int | None = None, seed: int = 5) -> DataFrame:
+    """``(run, id, label)``: ``communities`` of several runs in the same passes; ``edges`` have a ``run``, each with its resolution.
+
+    A run rests as soon as its own modularity stops rising, and keeps its own best state of each level.
+    """
+    rows = edges.where("src <> dst").select("run", "src", "dst", F.coalesce("weight", F.lit(1.0)).cast("double").alias("weight"))
+    both = rows.unionByName(rows.select("run", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+    graph = materialise(both.groupBy("run", "src", "dst").agg(F.sum("weight").alias("weight")), "community-graph")
+    runs = F.explode(F.array(*[F.lit(r) for r in resolutions]))
+    mapping = materialise(nodes.select("id").distinct().select(runs.alias("run"), "id", F.col("id").alias("label")), "community-map")
+    m2 = {r["run"]: r["m2"] for r in graph.groupBy("run").agg(F.sum("weight").alias("m2")).collect() if r["m2"]}
     if not m2:
         return mapping
-    best = None
+    penalty = F.element_at(F.create_map(*[F.lit(x) for r, m in m2.items() for x in (r, resolutions[r] / m)]), F.col("run"))
+    active, best = set(m2), {}
     for level in range(levels):
-        degree = materialise(graph.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("k")), "community-degree")
-        state = degree.select("id", "k", F.col("id").alias("label"))
-        score = _level_score(graph, state, m2, resolution)
-        kept = state
-        for turn in range(passes):
-            totals = state.groupBy("label").agg(F.sum("k").alias("total"))
-            around = graph.where("src <> dst").join(state.select(F.col("id").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("w"))
-            own = state.select("id", "k", F.col("label").alias("own"))
-            options = around.join(own, "id").join(totals, "label")
+        graph = graph.where(F.col("run").isin(*active))
+        state = materialise(graph.groupBy("run", F.col("src").alias("id")).agg(F.sum("weight").alias("k")).select("run", "id", "k", F.col("id").alias("label")), "community-degree")
+        score = _level_scores(graph, state, m2, resolutions)
+        kept = dict.fromkeys(active, state)
+        going, turn = set(active), 0
+        while going and turn != passes:
+            state = state.where(F.col("run").isin(*going))
+            totals = state.groupBy("run", "label").agg(F.sum("k").alias("total"))
+            near = state.select("run", F.col("id").alias("dst"), "label")
+            around = graph.where(F.col("run").isin(*going) & (F.col("src") != F.col("dst"))).join(near, ["run", "dst"]).groupBy("run", F.col("src").alias("id"), "label").agg(F.sum("weight").alias("w"))
+            own = state.select("run", "id", "k", F.col("label").alias("own"))
+            options = around.join(own, ["run", "id"]).join(totals, ["run", "label"])
             rest = F.when(F.col("label") == F.col("own"), F.col("total") - F.col("k")).otherwise(F.col("total"))
-            options = options.withColumn("gain", F.col("w") - resolution * F.col("k") * rest / m2)
-            chosen = options.groupBy("id").agg(F.max_by("label", F.struct(F.round("gain", 9), -F.col("label"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay"))
-            mine = totals.withColumnRenamed("label", "own_label").withColumnRenamed("total", "own_total")
-            moved = state.join(chosen, "id", "left").join(mine, F.col("label") == F.col("own_label"))
-            stay = F.coalesce("stay", -resolution * F.col("k") * (F.col("own_total") - F.col("k")) / m2)
+            options = options.withColumn("gain", F.col("w") - penalty * F.col("k") * rest)
+            chosen = options.groupBy("run", "id").agg(F.max_by("label", F.struct(F.round("gain", 9), -F.col("label"))).alias("to"), F.max("gain").alias("gain"), F.max(F.when(F.col("label") == F.col("own"), F.col("gain"))).alias("stay"))
+            moved = state.join(chosen, ["run", "id"], "left").join(totals.withColumnRenamed("total", "own_total"), ["run", "label"])
+            stay = F.coalesce("stay", -penalty * F.col("k") * (F.col("own_total") - F.col("k")))
             turn_of = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == turn % 2
             label = F.when(turn_of & (F.col("gain") > stay + 1e-7), F.col("to")).otherwise(F.col("label"))
-            state = materialise(moved.select("id", "k", label.alias("label")), "community-pass")
-            now = _level_score(graph, state, m2, resolution)
-            if now > score + 1e-7:
-                score, kept = now, state
-            elif turn % 2:
-                break
-        low = kept.groupBy("label").agg(F.min("id").alias("name"))
-        named = materialise(kept.join(low, "label").select(F.col("id").alias("was"), F.col("name").alias("now")), "community-names")
-        mapping = mapping.join(named, F.col("label") == F.col("was"), "left").select("id", F.coalesce("now", "label").alias("label"))
+            state = materialise(moved.select("run", "id", "k", label.alias("label")), "community-pass")
+            for r, now in _level_scores(graph, state, m2, resolutions).items():
+                if now > score[r] + 1e-7:
+                    score[r], kept[r] = now, state
+                elif turn % 2:
+                    going.discard(r)
+            turn += 1
+        whole = None
+        for one in {id(df): df for df in kept.values()}.values():
+            part = one.where(F.col("run").isin(*[r for r in kept if kept[r] is one])).select("run", "id", "label")
+            whole = part if whole is None else whole.unionByName(part)
+        low = whole.groupBy("run", "label").agg(F.min("id").alias("name"))
+        named = materialise(whole.join(low, ["run", "label"]).select("run", F.col("id").alias("was"), F.col("name").alias("now")), "community-names")
+        mapping = mapping.join(named.withColumnRenamed("was", "label"), ["run", "label"], "left").select("run", "id", F.coalesce("now", "label").alias("label"))
         mapping = materialise(mapping, "community-map")
-        if best is not None and score <= best + 1e-7:
+        active = {r for r in active if r not in best or score[r] > best[r] + 1e-7}
+        if not active:
             break
         best = score
-        a, b = named.select(F.col("was").alias("src"), F.col("now").alias("a")), named.select(F.col("was").alias("dst"), F.col("now").alias("b"))
-        folded = graph.join(a, "src").join(b, "dst").groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))
+        a, b = named.select("run", F.col("was").alias("src"), F.col("now").alias("a")), named.select("run", F.col("was").alias("dst"), F.col("now").alias("b"))
+        folded = graph.where(F.col("run").isin(*active)).join(a, ["run", "src"]).join(b, ["run", "dst"]).groupBy("run", F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("weight").alias("weight"))
         graph = materialise(folded, "community-graph")
     return mapping
 
 
-def _level_score(graph: DataFrame, state: DataFrame, m2: float, resolution: float) -> float:
-    a, b = state.select(F.col("id").alias("src"), F.col("label").alias("a")), state.select(F.col("id").alias("dst"), F.col("label").alias("b"))
-    inner = graph.join(a, "src").join(b, "dst").where("a = b").agg(F.sum("weight")).first()[0] or 0.0
-    squares = state.groupBy("label").agg(F.sum("k").alias("t")).agg(F.sum(F.col("t") * F.col("t"))).first()[0] or 0.0
-    return inner / m2 - resolution * squares / (m2 * m2)
+def _level_scores(graph: DataFrame, state: DataFrame, m2: dict[int, float], resolutions: dict[int, float]) -> dict[int, float]:
+    """Modularity of each run that ``state`` has."""
+    a, b = state.select("run", F.col("id").alias("src"), F.col("label").alias("a")), state.select("run", F.col("id").alias("dst"), F.col("label").alias("b"))
+    inner = graph.join(a, ["run", "src"]).join(b, ["run", "dst"]).where("a = b").groupBy("run").agg(F.sum("weight").alias("inner"), F.lit(0.0).alias("squares"))
+    squares = state.groupBy("run", "label").agg(F.sum("k").alias("t")).groupBy("run").agg(F.lit(0.0).alias("inner"), F.sum(F.col("t") * F.col("t")).alias("squares"))
+    rows = inner.unionByName(squares).groupBy("run").agg(F.sum("inner").alias("inner"), F.sum("squares").alias("squares")).collect()
+    return {r["run"]: r["inner"] / m2[r["run"]] - resolutions[r["run"]] * r["squares"] / m2[r["run"]] ** 2 for r in rows}
 
 
 def stability(edges: DataFrame, labels: DataFrame, time: float, terms: int = 12) -> float:
@@ -321,13 +342,18 @@ def backbone(edges: DataFrame, ranks: DataFrame, most: int = 900, per_node: int
     return spark.createDataFrame(rows, "src long, dst long, score double")
 
 
-def sweep(nodes: DataFrame, edges: DataFrame, sources: dict[str, DataFrame], resolutions: tuple[float, ...], levels: int = 2, passes: int = 4) -> DataFrame:
-    """``(source, resolution, communities, largest, modularity)`` over edge sources and resolutions."""
+def sweep(nodes: DataFrame, sources: dict[str, DataFrame], resolutions: tuple[float, ...], levels: int = 10, passes: int | None = None) -> DataFrame:
+    """``(source, resolution, communities, largest, modularity)`` over edge sources and resolutions, modularity at that resolution."""
+    runs = [(name, float(r)) for name in sorted(sources) for r in resolutions]
+    layers = None
+    for name in sorted(sources):
+        own = F.explode(F.array(*[F.lit(i) for i, (source, _) in enumerate(runs) if source == name]))
+        layer = sources[name].select(own.alias("run"), "src", "dst", "weight")
+        layers = layer if layers is None else layers.unionByName(layer)
+    labels = many_communities(nodes, layers, {i: r for i, (_, r) in enumerate(runs)}, levels, passes)
+    sizes = {r["run"]: r for r in labels.groupBy("run", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("run").agg(F.count(F.lit(1)).alias("many"), F.max("n").alias("largest")).collect()}
     rows = []
-    for name, layer in sorted(sources.items()):
-        for r in resolutions:
-            labels = communities(nodes, layer, r, levels, passes)
-            sizes = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.count(F.lit(1)), F.max("n")).first()
-            score = modularity(layer, labels).first()[0]
-            rows.append((name, float(r), sizes[0], sizes[1], None if score is None else round(float(score), 6)))
+    for i, (name, r) in enumerate(runs):
+        score = modularity(sources[name], labels.where(F.col("run") == i), r).first()[0]
+        rows.append((name, r, sizes[i]["many"], sizes[i]["largest"], None if score is None else round(float(score), 6)) if i in sizes else (name, r, 0, 0, None))
     return nodes.sparkSession.createDataFrame(rows, "source string, resolution double, communities long, largest long, modularity double")

@@ -187,7 +187,7 @@ def disconnected_domains(edge, world):
 
 @query("communities", "repo", "edge")
 def communities(repo, edge):
-    return G.communities(repo, edge.where("kind in (0, 1)"), levels=2, passes=4)
+    return G.communities(repo, edge.where("kind in (0, 1)"))
 
 
 @query("packed_graph", "edge", sql="""

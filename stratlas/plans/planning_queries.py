@@ -92,8 +92,9 @@ def recommended_strip(e):
 
 @query("community_sweep", "repo", "edge")
 def community_sweep(repo, edge):
-    sources = {"deps": edge.where("kind = 0"), "similar": edge.where("kind = 1").withColumn("weight", F.col("weight") * 0.4)}
-    return G.sweep(repo, edge, sources, (1.0,), 1, 2)
+    weighed = edge.withColumn("weight", F.coalesce("weight", F.lit(1.0)) * F.when(F.col("kind") == 1, 0.4).otherwise(1.0))
+    sources = {"all": weighed, "deps": weighed.where("kind in (0, 2)"), "similar": weighed.where("kind = 1")}
+    return G.sweep(repo, sources, (20.0, 10.0, 5.0, 2.0, 1.0, 0.5))
 
 
 @query("graph_checks", "repo", "world", "edge")

@@ -121,3 +121,19 @@ def test_backbone_goes_on_below_a_hub_that_is_full(spark):
             used |= {s: used.get(s, 0) + 1, t: used.get(t, 0) + 1}
     got = G.backbone(edges(spark, rows), spark.createDataFrame(list(ranks.items()), "id long, rank double"), 8, 2)
     assert len(want) == 8 and [(r.src, r.dst) for r in got.collect()] == want
+
+
+def test_communities_of_a_long_chain_grow_until_modularity_rests(spark):
+    chain = edges(spark, [(i, i + 1) for i in range(400)])
+    score = lambda **cut: G.modularity(chain, G.communities(nodes(spark, 401), chain, **cut)).first()[0]
+    assert score() > 0.66 > 0.53 > score(levels=2, passes=4)
+
+
+def test_community_sweep_runs_every_source_and_resolution(spark, data):
+    from stratlas.plans.catalogue import QUERIES
+
+    rows = QUERIES["community_sweep"](spark, data).collect()
+    assert {(r.source, r.resolution) for r in rows} == {(s, g) for s in ("all", "deps", "similar") for g in (20.0, 10.0, 5.0, 2.0, 1.0, 0.5)}
+    for source in ("all", "deps", "similar"):
+        many = [r.communities for r in sorted(rows, key=lambda r: -r.resolution) if r.source == source]
+        assert many[0] >= many[-1]
