@@ -128,11 +128,11 @@ def candidates(texts: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def occurrences(held: DataFrame) -> DataFrame:
-    """``(phrase_id, doc_id, pos, left, right)``: every occurrence of the confirmed passages, with ``MIN - PHRASE`` characters of either side.
+    """``(phrase_id, doc_id, pos, left, right, more)``: every occurrence of the confirmed passages, with ``MIN - PHRASE`` characters of either side.
 
     A passage is confirmed when its very characters were chosen in two records. Automata hold at most about
     ``SHARD_PHRASES`` passages; a record goes through the automata of the passages it chose. Occurrences of a
-    passage in one record whose surroundings agree come once, at their first place.
+    passage in one record whose surroundings agree are one row, at their first place, with the further places in ``more``.
     """
     spark = held.sparkSession
     cut = held.select("doc_id", F.explode("at").alias("p"), "text")
@@ -157,19 +157,21 @@ def occurrences(held: DataFrame) -> DataFrame:
         if len(machine):
             machine.make_automaton()
             for doc, text in zip(docs["doc_id"], docs["text"]):
-                seen = set()
+                seen: dict[tuple[str, str, str], list[int]] = {}
                 for end, phrase in machine.iter(text):
                     start = end - PHRASE + 1
                     row = (phrase, text[max(0, start - side) : start], text[end + 1 : end + 1 + side])
-                    if row not in seen:
-                        seen.add(row)
-                        rows.append((phrase, doc, start, row[1], row[2]))
-        return pd.DataFrame(rows, columns=["phrase", "doc_id", "pos", "left", "right"]).astype({"doc_id": "int64", "pos": "int32"})
+                    if row in seen:
+                        seen[row].append(start)
+                    else:
+                        seen[row] = []
+                        rows.append((phrase, doc, start, row[1], row[2], seen[row]))
+        return pd.DataFrame(rows, columns=["phrase", "doc_id", "pos", "left", "right", "more"]).astype({"doc_id": "int64", "pos": "int32"})
 
     found = phrases.groupBy("shard", "slice").cogroup(docs.groupBy("shard", "slice")).applyInPandas(
-        locate, "phrase string, doc_id long, pos int, left string, right string"
+        locate, "phrase string, doc_id long, pos int, left string, right string, more array<int>"
     )
-    found = found.select(F.unhex(F.md5("phrase")).alias("phrase_id"), "doc_id", "pos", "left", "right")
+    found = found.select(F.unhex(F.md5("phrase")).alias("phrase_id"), "doc_id", "pos", "left", "right", "more")
     return materialise(found, "span-occurrences")
 
 
@@ -189,11 +191,11 @@ def common_start(a: str, b: str) -> int:
 
 
 def matches(found: DataFrame) -> DataFrame:
-    """``(doc_a, doc_b, start_a, end_a, start_b, end_b)`` of occurrences whose agreement reaches ``MIN`` characters.
+    """``(doc_a, doc_b, pos_a, pos_b, before, after)`` of occurrences whose agreement reaches ``MIN`` characters.
 
     A passage with very many occurrences is split into blocks of about ``BLOCK``, and each pair of blocks is a group
-    of its own. Spans are given as far as ``MIN - PHRASE`` characters either side of the passage; the passages
-    chosen along a longer span cover it.
+    of its own. ``before`` and ``after`` are the agreeing characters either side of the passage, at most
+    ``MIN - PHRASE``; the passages chosen along a longer span cover it.
     """
     counts = found.groupBy("phrase_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     rows = found.join(counts, "phrase_id").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
@@ -201,7 +203,7 @@ def matches(found: DataFrame) -> DataFrame:
     rows = rows.select("phrase_id", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "pos", "left", "right")
     keys = ["phrase_id", "i", "j"]
     rows = rows.repartition(*keys).sortWithinPartitions(*keys)
-    names = ["doc_a", "doc_b", "start_a", "end_a", "start_b", "end_b"]
+    names = ["doc_a", "doc_b", "pos_a", "pos_b", "before", "after"]
 
     def compare(group: list[tuple], out: list[tuple]) -> None:
         for x, (_, i, j, own_x, doc_x, pos_x, left_x, right_x) in enumerate(group):
@@ -210,10 +212,8 @@ def matches(found: DataFrame) -> DataFrame:
                     continue
                 before, after = common_end(left_x, left_y), common_start(right_x, right_y)
                 if before + PHRASE + after >= MIN:
-                    a = (doc_x, pos_x - before, pos_x + PHRASE + after)
-                    b = (doc_y, pos_y - before, pos_y + PHRASE + after)
-                    a, b = (a, b) if doc_x < doc_y else (b, a)
-                    out.append((a[0], b[0], a[1], a[2], b[1], b[2]))
+                    a, b = sorted([(doc_x, pos_x), (doc_y, pos_y)])
+                    out.append((a[0], b[0], a[1], b[1], before, after))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -237,14 +237,22 @@ def matches(found: DataFrame) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    return rows.mapInArrow(run, "doc_a long, doc_b long, start_a int, end_a int, start_b int, end_b int")
+    return rows.mapInArrow(run, "doc_a long, doc_b long, pos_a int, pos_b int, before int, after int")
 
 
 def shared_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """``members`` (``doc_id, rep, copied``) and ``links`` between representatives with the places of their spans."""
+    """``members`` (``doc_id, rep, copied``) and ``links`` between representatives with the places of their spans.
+
+    A link also has the further places of its passages in both records, ``more_a`` and ``more_b``, null where there is none.
+    """
     texts = long_texts(docs, id_col, text_col)
     members = materialise(copies(texts), "span-members")
-    links = materialise(matches(occurrences(candidates(texts, members))), "span-links")
+    found = occurrences(candidates(texts, members))
+    links = materialise(matches(found), "span-links")
+    again = found.where(F.size("more") > 0)
+    for side in "ab":
+        places = again.select(F.col("doc_id").alias(f"doc_{side}"), F.col("pos").alias(f"pos_{side}"), F.col("more").alias(f"more_{side}"))
+        links = links.join(places, [f"doc_{side}", f"pos_{side}"], "left")  # a place of a record has one passage
     return members, links
 
 
@@ -266,11 +274,13 @@ def shared_report(docs: DataFrame, members: DataFrame, links: DataFrame, id_col:
     ``n_links`` counts the different texts it shares spans with, ``copies_of`` is the class of whole-text copies.
     Every record with an id has a row; texts under ``MIN`` characters, null ones among them, share nothing.
     """
-    ends = [("doc_a", "doc_b", "start_a", "end_a"), ("doc_b", "doc_a", "start_b", "end_b")]
-    sides = [links.select(F.col(d).alias("rep"), F.col(o).alias("other"), F.col(s).alias("s"), F.col(e).alias("e")) for d, o, s, e in ends]
+    ends = [("a", "b"), ("b", "a")]
+    sides = [links.select(F.col(f"doc_{d}").alias("rep"), F.col(f"doc_{o}").alias("other"), F.col(f"pos_{d}").alias("pos"), F.col(f"more_{d}").alias("more"), "before", "after") for d, o in ends]
     sides = sides[0].unionByName(sides[1])
     counts = sides.groupBy("rep").agg(F.count_distinct("other").alias("n_links"))
-    spans = sides.groupBy("rep", "s").agg(F.max("e").alias("e"))  # at most one span per place of a text from here on
+    spans = sides.groupBy("rep", "pos").agg(F.max("before").alias("before"), F.max("after").alias("after"), F.first("more").alias("more"))  # at most one span per place of a text from here on
+    places = F.explode(F.concat(F.array("pos"), F.coalesce("more", F.array().cast("array<int>"))))
+    spans = spans.select("rep", "before", "after", places.alias("pos")).select("rep", (F.col("pos") - F.col("before")).alias("s"), (F.col("pos") + PHRASE + F.col("after")).alias("e"))
     ordered = spans.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("s", "e"))).alias("spans"))
     merged = F.aggregate(
         "spans",

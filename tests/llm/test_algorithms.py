@@ -185,3 +185,13 @@ def test_a_hot_passage_in_blocks(spark, monkeypatch):
     docs = [(i, text(40) + hot + text(30)) for i in range(60)] + [(100 + i, text(300)) for i in range(20)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     assert {tuple(r) for r in spans.span_pairs(*spans.shared_spans(df)).collect()} == pairs_by_hand(docs)
+
+
+def test_further_copies_of_a_passage_in_a_record_are_counted(spark):
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(1500)
+    docs = [(1, text(300) + "X" + passage + "Y" + text(300) + "Z" + passage + "V" + text(100)), (2, "P" + passage + "Q" + text(50)), (3, text(900))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    report = {r.doc_id: r for r in spans.shared_report(df, *spans.shared_spans(df)).collect()}
+    assert [report[i].shared_chars for i in (1, 2, 3)] == [3000, 1500, 0]
