@@ -118,10 +118,10 @@ def project(vectors: DataFrame, id_col: str, v: str, width: int) -> DataFrame:
     return rows.select("id", theta.alias("theta"), phi.alias("phi"))
 
 
-def regions(world: DataFrame, k: int, domains: int = 12, rounds: int = 20) -> DataFrame:
+def regions(world: DataFrame, k: int, domains: int = 12, rounds: int = 100) -> DataFrame:
     """``(repo_id, region, domain)``: spherical k-means regions, then the regions' centres grouped into domains by size.
 
-    Starting centres are taken one pass each, so ``k`` bounds the passes; the second grouping has one row a region.
+    The second grouping has one row a region.
     """
     from stratlas.operators.vectors import spherical_kmeans
 

@@ -285,7 +285,9 @@ def adopt(orphans: DataFrame, anchors: DataFrame, id_col: str, v: str, label: st
 def spherical_kmeans(df: DataFrame, id_col: str, v: str, k: int, width: int, rounds: int = 50, weight: str | None = None) -> tuple[DataFrame, np.ndarray]:
     """``(id, label)`` and the centres: Lloyd's rounds over all rows, farthest-point start, empty centres moved to the worst row.
 
-    Each round is one map with the k centres and one sum per centre; only k·width numbers reach the driver.
+    Each round is one map with the k centres and one sum per centre; only k·width numbers reach the driver. For the start
+    it gets the worst rows in bounded pools: new centres only bring rows nearer, so the worst of a pool is the worst of all
+    while it is no better than the pool's last was.
     """
     rows = materialise(df.where(F.col(v).isNotNull()).select(F.col(id_col).alias("id"), normalised(F.col(v)).alias("v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")), "kmeans-rows")
     first = rows.orderBy("id").limit(1).collect()
@@ -305,8 +307,17 @@ def spherical_kmeans(df: DataFrame, id_col: str, v: str, k: int, width: int, rou
     def worst(c: np.ndarray) -> np.ndarray:
         return np.array(placed(c).orderBy(F.round("cosine", 9), "id").limit(1).collect()[0]["v"])
 
+    pool = max(1000, 60_000 // width)
     while len(centres) < k:
-        centres = np.vstack([centres, worst(centres)])
+        far = placed(centres).orderBy(F.round("cosine", 9), "id").limit(pool).collect()
+        v, cosine, ids = np.array([r["v"] for r in far]), np.array([r["cosine"] for r in far]), np.array([r["id"] for r in far])
+        last = (round(far[-1]["cosine"], 9), far[-1]["id"])
+        while len(centres) < k:
+            at = np.lexsort((ids, np.round(cosine, 9)))[0]
+            if len(far) == pool and (round(float(cosine[at]), 9), ids[at]) > last:
+                break
+            centres = np.vstack([centres, v[at]])
+            cosine = np.maximum(cosine, v @ v[at])
     for _ in range(rounds):
         sums = [F.sum(F.col("v")[i] * F.col("w")).alias(f"s{i}") for i in range(width)]
         fresh = centres.copy()

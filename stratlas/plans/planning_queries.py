@@ -76,7 +76,7 @@ with t as (select distinct id, unnest(topics) as t from repo), n as (select x.id
 
 @query("regions", "world")
 def regions(world):
-    return sphere.regions(world, max(1, min(24, world.count() // 20)), 6, 8)
+    return sphere.regions(world, max(1, min(400, sphere.placed(world).count() // 20)))
 
 
 @query("baseline_distance", "world")

@@ -98,3 +98,22 @@ def test_opposite_positions_fall_back_to_the_first(spark):
     df = spark.createDataFrame([(1, "g", 0.0, 1.0, 0.0), (2, "g", 0.0, -1.0, 0.0)], "repo_id long, k string, x double, y double, z double")
     r = H.spherical_means(df, "k").first()
     assert (r.mx, r.my, r.mz) == (0.0, 1.0, 0.0) and r.r < 1e-9
+
+
+def test_regions_query_has_a_region_for_every_20_records_and_12_domains(spark, tmp_path):
+    from stratlas.plans.catalogue import QUERIES
+
+    spark.range(1000).select(F.col("id").alias("repo_id"), F.acos(2 * F.rand(1) - 1).alias("theta"), (F.rand(2) * 6.28).alias("phi")).write.parquet(f"{tmp_path}/world.parquet")
+    rows = QUERIES["regions"](spark, str(tmp_path)).collect()
+    assert len(rows) == 1000 and len({r.region for r in rows}) == 50 and len({r.domain for r in rows}) == 12
+
+
+def test_farthest_start_in_pools_takes_the_same_rows_as_one_pass_each(spark):
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(3000, 64))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    want = [0]
+    while len(want) < 12:
+        want.append(int(np.argmin(np.round((v @ v[want].T).max(1), 9))))
+    assert np.allclose(V.spherical_kmeans(df, "id", "v", 12, 64, 0)[1], v[want])
