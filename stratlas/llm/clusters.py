@@ -1,9 +1,10 @@
 """Grouping of positions into similarity clusters (problem 2).
 
-Each scan task builds a cluster-feature tree of its positions (count, linear sum, square sum: features add up, so
-trees merge). Leaf summaries are reduced by region of the sphere, agglomerated there by Ward's criterion, and one
-pass over all records assigns each to its nearest centre. The exact form (cliques with nothing similar outside)
-is then checked in the small neighbourhood of each centre.
+Each scan task builds a cluster-feature tree of its positions (count, linear sum, square sum, bounding box: features add
+up, so trees merge). Leaf summaries are reduced by region of the sphere and agglomerated there by Ward's criterion, in
+rounds whose regions are shifted against each other; one pass over all records assigns each to its nearest centre. No
+cluster reaches further than ``EXTENT`` angles from its centre, however heavy a neighbour is, so the exact form (cliques with
+nothing similar outside) can be checked in the neighbourhood of each centre without missing one.
 """
 
 from __future__ import annotations
@@ -20,23 +21,53 @@ from pyspark.sql.window import Window as W
 from stratlas.session import materialise
 
 BRANCH = 24
-FEATURES = "gx long, gy long, gz long, n double, lx double, ly double, lz double, ss double"
+EXTENT, SPREAD = 1.2, 0.6  # angles: how far a cluster may reach from its centre, and its root-mean-square radius
+LEAF, CELL, FINE = 1 / 3, 1 / 8, 1 / 64  # angles: a leaf's diameter, and the sides of two grids
+NAMES = ["n", "lx", "ly", "lz", "ss", "x0", "y0", "z0", "x1", "y1", "z1"]
+FEATURE = ", ".join(f"{c} double" for c in NAMES)
+
+
+def total(features: np.ndarray) -> np.ndarray:
+    """The feature of several together: sums of counts and moments, and the box around their boxes."""
+    return np.concatenate([features[:, :5].sum(0), features[:, 5:8].min(0), features[:, 8:].max(0)])
+
+
+def both_of(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate([a[:5] + b[:5], np.minimum(a[5:8], b[5:8]), np.maximum(a[8:], b[8:])])
+
+
+def single(xyz: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The features of positions with counts."""
+    return np.c_[n, xyz * n[:, None], (xyz**2).sum(1) * n, xyz, xyz]
+
+
+def collapsed(features: np.ndarray, side: float) -> np.ndarray:
+    """One feature for each cell of a grid."""
+    cells = np.floor(features[:, 1:4] / features[:, :1] / side).astype(np.int64)
+    order = np.lexsort(cells.T)
+    ranked, cells = features[order], cells[order]
+    first = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]).any(1)])
+    return np.c_[np.add.reduceat(ranked[:, :5], first), np.minimum.reduceat(ranked[:, 5:8], first), np.maximum.reduceat(ranked[:, 8:], first)]
 
 
 class FeatureTree:
-    """A cluster-feature tree: inner nodes and leaves hold at most ``BRANCH`` features (n, linear sum, square sum)."""
+    """A cluster-feature tree: inner nodes and leaves hold at most ``BRANCH`` features, no leaf's box is wider than ``width``."""
+
+    def __init__(self, width: float):
+        self.width = width
+        self.root = self._node([], None)
 
-    def __init__(self, radius: float):
-        self.radius2 = radius * radius
-        self.root = {"f": np.zeros((BRANCH + 1, 5)), "k": 0, "sub": None}
+    @staticmethod
+    def _node(rows, sub) -> dict:
+        f = np.zeros((BRANCH + 1, len(NAMES)))
+        if len(rows):
+            f[: len(rows)] = rows
+        return {"f": f, "k": len(rows), "sub": sub}
 
     def add(self, feature: np.ndarray) -> None:
         split = self._add(self.root, feature)
         if split:
-            root = {"f": np.zeros((BRANCH + 1, 5)), "k": 2, "sub": list(split)}
-            for i, node in enumerate(split):
-                root["f"][i] = node["f"][: node["k"]].sum(0)
-            self.root = root
+            self.root = self._node([total(node["f"][: node["k"]]) for node in split], list(split))
 
     def _add(self, node, feature):
         k = node["k"]
@@ -44,27 +75,25 @@ class FeatureTree:
             f = node["f"][:k]
             gap = f[:, 1:4] / f[:, :1] - feature[1:4] / feature[0]
             near = int((gap * gap).sum(1).argmin())
+            both = both_of(f[near], feature)
             if node["sub"] is None:
-                both = f[near] + feature
-                centre = both[1:4] / both[0]
-                if both[4] / both[0] - centre @ centre <= self.radius2 and gap[near] @ gap[near] <= 4 * self.radius2:
+                if np.linalg.norm(both[8:] - both[5:8]) <= self.width:
                     node["f"][near] = both
                     return None
             else:
                 split = self._add(node["sub"][near], feature)
                 if not split:
-                    node["f"][near] += feature
+                    node["f"][near] = both
                     return None
                 node["sub"][near] = split[0]
-                node["f"][near] = split[0]["f"][: split[0]["k"]].sum(0)
+                node["f"][near] = total(split[0]["f"][: split[0]["k"]])
                 node["sub"].append(split[1])
-                feature = split[1]["f"][: split[1]["k"]].sum(0)
+                feature = total(split[1]["f"][: split[1]["k"]])
         node["f"][k] = feature
         node["k"] = k + 1
         return self._split(node) if node["k"] > BRANCH else None
 
-    @staticmethod
-    def _split(node):
+    def _split(self, node):
         k = node["k"]
         centres = node["f"][:k, 1:4] / node["f"][:k, :1]
         gaps = ((centres[:, None] - centres[None]) ** 2).sum(2)
@@ -76,9 +105,7 @@ class FeatureTree:
         halves = []
         for mask in (~right, right):
             rows = np.flatnonzero(mask)
-            f = np.zeros((BRANCH + 1, 5))
-            f[: len(rows)] = node["f"][rows]
-            halves.append({"f": f, "k": len(rows), "sub": [node["sub"][i] for i in rows] if node["sub"] is not None else None})
+            halves.append(self._node(node["f"][rows], [node["sub"][i] for i in rows] if node["sub"] is not None else None))
         return halves
 
     def leaves(self) -> np.ndarray:
@@ -115,11 +142,17 @@ def neighbour_pairs(points: np.ndarray, reach: float) -> np.ndarray:
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
 
-def ward(features: np.ndarray, reach: float, radius: float) -> np.ndarray:
+def farthest(feature: np.ndarray) -> float:
+    """How far the feature's box reaches from its centre."""
+    centre = feature[1:4] / feature[0]
+    return float(np.linalg.norm(np.maximum(feature[8:] - centre, centre - feature[5:8])))
+
+
+def ward(features: np.ndarray, reach: float, extent: float, radius: float) -> np.ndarray:
     """Agglomerate features by Ward's criterion (least growth of squared error first).
 
-    Only features whose centres lie within ``reach`` merge, and no cluster's root-mean-square radius passes
-    ``radius``.
+    Only features whose centres lie within ``reach`` merge; no cluster's box reaches further than ``extent`` from its
+    centre, and no cluster's root-mean-square radius passes ``radius``.
     """
     live = {i: features[i] for i in range(len(features))}
     links: dict[int, set[int]] = {i: set() for i in live}
@@ -129,9 +162,11 @@ def ward(features: np.ndarray, reach: float, radius: float) -> np.ndarray:
         a, b = live[i], live[j]
         gap = a[1:4] / a[0] - b[1:4] / b[0]
         d2 = float(gap @ gap)
-        both = a + b
+        if d2 > reach * reach:
+            return
+        both = both_of(a, b)
         centre = both[1:4] / both[0]
-        if d2 <= reach * reach and both[4] / both[0] - centre @ centre <= radius * radius:
+        if both[4] / both[0] - centre @ centre <= radius * radius and farthest(both) <= extent:
             heapq.heappush(heap, (a[0] * b[0] / both[0] * d2, i, j))
 
     for i, j in neighbour_pairs(features[:, 1:4] / features[:, :1], reach):
@@ -143,14 +178,14 @@ def ward(features: np.ndarray, reach: float, radius: float) -> np.ndarray:
         _, i, j = heapq.heappop(heap)
         if i not in live or j not in live:
             continue
-        both = live.pop(i) + live.pop(j)
+        both = both_of(live.pop(i), live.pop(j))
         around = (links.pop(i) | links.pop(j)) & live.keys()
         live[new], links[new] = both, around
         for k in around:
             links[k].add(new)
             push(new, k)
         new += 1
-    return np.array(list(live.values())) if live else np.empty((0, 5))
+    return np.array(list(live.values())) if live else np.empty((0, len(NAMES)))
 
 
 def unit_positions(world: DataFrame, id_col: str = "repo_id") -> DataFrame:
@@ -169,64 +204,50 @@ def unit_positions(world: DataFrame, id_col: str = "repo_id") -> DataFrame:
     return one.select("id", (F.sin(theta) * F.cos(phi)).alias("x"), F.cos(theta).alias("y"), (F.sin(theta) * F.sin(phi)).alias("z"))
 
 
-def cell(side: float) -> list:
-    return [F.floor(F.col(c) / side).alias(g) for c, g in (("x", "gx"), ("y", "gy"), ("z", "gz"))]
+def cell(side: float, names: tuple[str, str, str] = ("gx", "gy", "gz")) -> list:
+    return [F.floor(F.col(c) / side).alias(g) for c, g in zip("xyz", names)]
 
 
-def centres(points: DataFrame, angle: float, region: int = 32) -> DataFrame:
-    """``(cx, cy, cz, n)``: centres of the agglomerated clusters.
+def centres(points: DataFrame, angle: float, region: int = 16) -> DataFrame:
+    """``(cx, cy, cz, n)``: centres of the agglomerated clusters; every record lies within ``EXTENT`` angles of one.
 
-    A region's tasks get feature summaries only: their number is bounded by the region's size over the leaf
-    radius, however many records lie in it. Regions see a margin of their surroundings, and keep the clusters
-    whose centre lies inside, so that no cluster is cut at an edge.
+    Tasks hand on feature summaries only: their number is bounded by a region's size over the leaf's, however
+    many records lie in it. Every feature belongs to one region of each round and so to one cluster; a cluster cut at an
+    edge in one round lies inside a region in the next, for the regions are shifted by a third of their side.
     """
-    side, leaf, margin = region * angle, angle / 8, 4 * angle
-    # copies of a position (to 1e-12) become one feature with a count before anything is gathered
-    spots = points.groupBy(*[F.round(c, 12).alias(c) for c in "xyz"]).agg(F.count(F.lit(1)).cast("double").alias("n"))
+    side = region * angle
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree, any_ = FeatureTree(leaf), False
+        tree = FeatureTree(LEAF * angle)
         for batch in batches:
-            xyz, n = batch[["x", "y", "z"]].to_numpy(), batch["n"].to_numpy()
-            for row in np.c_[n, xyz * n[:, None], (xyz**2).sum(1) * n]:
-                tree.add(row)
-                any_ = True
-        if any_:
-            yield regions(tree.leaves())
-
-    def regions(features: np.ndarray) -> pd.DataFrame:
-        """Each feature with its own region and those in whose margin it lies."""
-        at = features[:, 1:4] / features[:, :1]
-        rows = []
-        lows, highs = np.floor((at - margin) / side).astype(np.int64), np.floor((at + margin) / side).astype(np.int64)
-        for dx in (0, 1):
-            for dy in (0, 1):
-                for dz in (0, 1):
-                    step = np.array([dx, dy, dz])
-                    ok = ((lows + step) <= highs).all(1)
-                    rows.append(np.c_[(lows + step)[ok].astype(float), features[ok]])
-        out = pd.DataFrame(np.concatenate(rows), columns=["gx", "gy", "gz", "n", "lx", "ly", "lz", "ss"])
-        return out.astype({"gx": "int64", "gy": "int64", "gz": "int64"})
-
-    def agglomerate(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        tree = FeatureTree(leaf)
-        group = group.sort_values(["lx", "ly", "lz", "n"])
-        for row in group[["n", "lx", "ly", "lz", "ss"]].to_numpy():
+            if len(batch):
+                # what falls in one cell becomes one feature before it is inserted
+                for row in collapsed(single(batch[["x", "y", "z"]].to_numpy(), np.ones(len(batch))), CELL * angle):
+                    tree.add(row)
+        yield pd.DataFrame(tree.leaves(), columns=NAMES)
+
+    def agglomerate(group: pd.DataFrame) -> pd.DataFrame:
+        tree = FeatureTree(LEAF * angle)
+        for row in group.sort_values(NAMES)[NAMES].to_numpy():
             tree.add(row)
-        done = ward(tree.leaves(), 1.2 * angle, 0.6 * angle)
-        at = done[:, 1:4] / done[:, :1]
-        mine = (np.floor(at / side).astype(np.int64) == np.array(key)).all(1)
-        return pd.DataFrame(np.c_[at[mine], done[mine, 0]], columns=["cx", "cy", "cz", "n"])
+        return pd.DataFrame(ward(tree.leaves(), EXTENT * angle, EXTENT * angle, SPREAD * angle), columns=NAMES)
+
+    features = points.select("x", "y", "z").mapInPandas(build, FEATURE)
+    for shift in (0, side / 3, 2 * side / 3):
+        at = [F.floor((F.col(c) / F.col("n") + shift) / side).alias(g) for c, g in (("lx", "gx"), ("ly", "gy"), ("lz", "gz"))]
+        features = features.select("*", *at).groupBy("gx", "gy", "gz").applyInPandas(agglomerate, FEATURE)
+    return features.select(*[(F.col(l) / F.col("n")).alias(c) for l, c in (("lx", "cx"), ("ly", "cy"), ("lz", "cz"))], "n")
 
-    leaves = spots.mapInPandas(build, FEATURES)
-    return leaves.groupBy("gx", "gy", "gz").applyInPandas(agglomerate, "cx double, cy double, cz double, n double")
+
+def with_number(middle: DataFrame) -> DataFrame:
+    """Centres with a key made of their places."""
+    return middle.withColumn("centre", F.sha2(F.concat_ws(",", *[F.col(c).cast("string") for c in ("cx", "cy", "cz")]), 256))
 
 
 def near_centres(points: DataFrame, middle: DataFrame, reach: float) -> DataFrame:
     """Every (record, centre) at most ``reach`` apart: centres go to the 27 cells around them, records to their own."""
-    number = F.sha2(F.concat_ws(",", F.col("cx").cast("string"), F.col("cy").cast("string"), F.col("cz").cast("string")), 256)
     around = F.explode(F.array([F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(c).alias("c")) for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1)]))
-    spread = middle.withColumn("centre", number).withColumn("s", around)
+    spread = with_number(middle).withColumn("s", around)
     spread = spread.select("centre", "cx", "cy", "cz", *[(F.floor(F.col(c) / reach) + F.col(f"s.{s}")).alias(g) for c, s, g in (("cx", "a", "gx"), ("cy", "b", "gy"), ("cz", "c", "gz"))])
     joined = points.select("*", *cell(reach)).join(spread, ["gx", "gy", "gz"])
     gap = sum(((F.col(a) - F.col(b)) * (F.col(a) - F.col(b)) for a, b in (("x", "cx"), ("y", "cy"), ("z", "cz"))), F.lit(0.0))
@@ -235,7 +256,7 @@ def near_centres(points: DataFrame, middle: DataFrame, reach: float) -> DataFram
 
 def assign(points: DataFrame, middle: DataFrame, angle: float) -> DataFrame:
     """``(id, centre, gap)``: each record with its nearest centre; ties go to the smaller centre key."""
-    best = near_centres(points, middle, 3 * angle).groupBy("id").agg(F.min(F.struct("gap", "centre")).alias("m"))
+    best = near_centres(points, middle, (EXTENT + 1e-6) * angle).groupBy("id").agg(F.min(F.struct("gap", "centre")).alias("m"))
     return best.select("id", "m.centre", "m.gap")
 
 
@@ -255,70 +276,107 @@ def cluster_report(world: DataFrame, angle: float = 0.001, typical: int = 3, id_
     return total.join(ids, "centre").select("cluster_key", "size", "radius", "typical_ids")
 
 
-def isolated_cliques(points: np.ndarray, n: np.ndarray, reach: float, least: int) -> np.ndarray:
-    """For each point the index of its clique's first point, or -1: cliques are all within ``reach``, with no other point so near.
+def box_gaps(lo: np.ndarray, hi: np.ndarray, los: np.ndarray, his: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The least and the largest distance that points of one box and of others may have."""
+    least = np.maximum(np.maximum(los - hi, lo - his), 0)
+    most = np.maximum(np.abs(his - lo), np.abs(hi - los))
+    return np.sqrt((least * least).sum(-1)), np.sqrt((most * most).sum(-1))
+
+
+def any_pair(a: np.ndarray, b: np.ndarray, lo: np.ndarray, hi: np.ndarray, test, step: int = 200) -> bool:
+    """Whether ``test`` holds for the box gaps of any pair of two index sets; a few rows of distances at a time."""
+    return any(test(*box_gaps(lo[a[i : i + step], None], hi[a[i : i + step], None], lo[b], hi[b])).any() for i in range(0, len(a), step))
+
+
+NONE, CLIQUE, UNSURE = 0, 1, 2
 
-    Leaders are taken in turn; all points near a leader share its fate, for they are connected to it. Leaders lie
-    more than ``reach`` apart, so there are few however many points there are, and no list of pairs is made.
+
+def clique_of(lead: int, lo: np.ndarray, hi: np.ndarray, n: np.ndarray, reach: float, least: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Whether ``lead``'s group is a clique with nothing similar outside, the group, and those that share its fate.
+
+    Boxes stand for the records in them. ``CLIQUE`` and ``NONE`` are certain whatever the records' places in their boxes;
+    ``UNSURE`` is left where these decide. Boxes of one position each are never unsure.
+    """
+    closest, widest = box_gaps(lo[lead], hi[lead], lo, hi)
+    maybe, sure = closest <= reach, widest <= reach
+    sure[lead] = True
+    group, core = np.flatnonzero(maybe), np.flatnonzero(sure)
+    if n[group].sum() < least:
+        return NONE, group, core
+    around = np.flatnonzero(~maybe & (closest <= 2 * reach))
+    if len(group) == len(core):
+        apart = any_pair(group, group, lo, hi, lambda _, most: most > reach)
+        if not apart and not any_pair(around, group, lo, hi, lambda gap, _: gap <= reach):
+            return CLIQUE, group, core
+    if any_pair(core, core, lo, hi, lambda gap, _: gap > reach) or any_pair(around, core, lo, hi, lambda _, most: most <= reach):
+        return NONE, group, core
+    return UNSURE, group, core
+
+
+def isolated(lo: np.ndarray, hi: np.ndarray, n: np.ndarray, ids: np.ndarray, leads: np.ndarray, reach: float, least: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """``(members, keys, unsure)``: boxes in cliques that hold one of ``leads``, each clique's smallest id, and whether any stayed open.
+
+    All that is near a leader for certain shares its fate, for it is connected to it, so few leaders are tried
+    however many records there are, and no list of pairs is made.
     """
-    label = np.full(len(points), -1)
-    state = np.zeros(len(points), np.int8)  # 1: settled
-    for lead in range(len(points)):
-        if state[lead]:
+    settled = np.zeros(len(n), bool)
+    members, keys, unsure = [], [], False
+    for lead in leads:
+        if settled[lead]:
             continue
-        away = np.linalg.norm(points - points[lead], axis=1)
-        near = away <= reach
-        good = not state[near].any() and n[near].sum() >= least  # near a settled point that left it out: no clique
-        if good:
-            group = points[near]
-            middle = group.mean(0)
-            out = np.linalg.norm(group - middle, axis=1)
-            good = not any_apart(group[out > reach / 2], group, reach)
-        if good:
-            others = points[(away > reach) & (away <= 2 * reach)]
-            others = others[np.linalg.norm(others - middle, axis=1) <= reach + out.max()]
-            good = not any_within(others, group, reach)
-        state[near] = 1
-        if good:
-            label[near] = lead
-    return label
-
-
-def any_apart(some: np.ndarray, others: np.ndarray, reach: float, step: int = 200) -> bool:
-    """Whether any two of two sets lie more than ``reach`` apart; a few rows of distances at a time."""
-    return any((np.linalg.norm(some[i : i + step, None] - others[None], axis=2) > reach).any() for i in range(0, len(some), step))
-
-
-def any_within(some: np.ndarray, others: np.ndarray, reach: float, step: int = 200) -> bool:
-    """Whether any two of two sets lie at most ``reach`` apart."""
-    return any((np.linalg.norm(some[i : i + step, None] - others[None], axis=2) <= reach).any() for i in range(0, len(some), step))
+        verdict, group, core = clique_of(lead, lo, hi, n, reach, least)
+        settled[core] = True
+        unsure |= verdict == UNSURE
+        if verdict == CLIQUE:
+            members.append(group)
+            keys.append(np.full(len(group), ids[group].min()))
+    none = np.empty(0, np.int64)
+    return (np.concatenate(members), np.concatenate(keys), unsure) if members else (none, none, unsure)
 
 
 def cliques(world: DataFrame, angle: float = 0.001, least: int = 5, id_col: str = "repo_id") -> DataFrame:
     """``(repo_id, cluster_key)`` of groups of at least ``least`` records all within ``angle`` of one another and of no other record.
 
-    Around each centre of the agglomeration, the records within 3 ``angle`` are looked at together: a group
-    that reaches no further than 2 ``angle`` from the centre is seen whole, with everything similar to it.
-    Positions held by several records are one entry there. An empty table gives no groups.
+    Every record lies within ``EXTENT`` angles of a centre of the agglomeration, so all similar to it, and all similar to
+    those, lie within ``EXTENT`` + 2. That neighbourhood is first looked at in cells of ``FINE`` angles, of which it has
+    a bounded number however many records lie there; only where the cells leave a verdict open are the positions themselves
+    looked at, copies of a position as one entry. An empty table gives no groups.
     """
     points = materialise(unit_positions(world, id_col), "clique-points")
+    middle = materialise(centres(points, angle), "clique-centres")
+    chord, side, slack = 2 * np.sin(angle / 2), FINE * angle, 2 * FINE * angle
+    edges = [f(c).alias(f"{c}{i}") for i, f in ((0, F.min), (1, F.max)) for c in "xyz"]
+    boxes = points.groupBy(*cell(side, ("fx", "fy", "fz"))).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least_id"), *edges)
+    boxes = boxes.select("*", *[((F.col(f"{c}0") + F.col(f"{c}1")) / 2).alias(c) for c in "xyz"])
     spots = points.groupBy(*[F.round(c, 12).alias(c) for c in "xyz"]).agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least_id"))
-    around = near_centres(spots, centres(points, angle), 3.2 * angle)
-    chord = 2 * np.sin(angle / 2)
 
-    def check(group: pd.DataFrame) -> pd.DataFrame:
-        if group["n"].sum() < least:
-            return pd.DataFrame({"x": [], "y": [], "z": [], "cluster_key": []}).astype({"cluster_key": "int64"})
+    def parts(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        return group["n"].to_numpy(), group["least_id"].to_numpy()
+
+    def by_cell(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("least_id")
+        n, ids = parts(group)
+        leads = np.flatnonzero(group["gap"].to_numpy() <= EXTENT * angle + slack)
+        members, keys, unsure = isolated(group[["x0", "y0", "z0"]].to_numpy(), group[["x1", "y1", "z1"]].to_numpy(), n, ids, leads, chord, least)
+        out = group[["fx", "fy", "fz"]].iloc[members].assign(cluster_key=keys, centre=None)
+        return pd.concat([out, pd.DataFrame({"fx": [0], "fy": [0], "fz": [0], "cluster_key": [0], "centre": [key[0]]})]) if unsure else out
+
+    def by_spot(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("least_id")
-        xyz, n, ids = group[["x", "y", "z"]].to_numpy(), group["n"].to_numpy(), group["least_id"].to_numpy()
-        label = isolated_cliques(xyz, n, chord, least)
-        far = np.unique(label[group["gap"].to_numpy() > 2.2 * angle])  # these may not be seen whole from this centre
-        chosen = (label >= 0) & ~np.isin(label, far)
-        return pd.DataFrame({"x": xyz[chosen, 0], "y": xyz[chosen, 1], "z": xyz[chosen, 2], "cluster_key": ids[label[chosen]]})
-
-    found = around.select("centre", "x", "y", "z", "n", "least_id", "gap").groupBy("centre").applyInPandas(
-        check, "x double, y double, z double, cluster_key long"
-    )
-    found = found.distinct()
+        n, ids = parts(group)
+        xyz = group[["x", "y", "z"]].to_numpy()
+        leads = np.flatnonzero(group["gap"].to_numpy() <= EXTENT * angle + slack)
+        members, keys, _ = isolated(xyz, xyz, n, ids, leads, chord, least)
+        return group[["x", "y", "z"]].iloc[members].assign(cluster_key=keys)
+
+    seen = near_centres(boxes, middle, (EXTENT + 2 + 8 * FINE) * angle)
+    seen = seen.groupBy("centre").applyInPandas(by_cell, "fx long, fy long, fz long, cluster_key long, centre string")
+    seen = materialise(seen, "clique-cells")
+    keyed = points.select("id", *cell(side, ("fx", "fy", "fz")))
+    sure = keyed.join(seen.where("centre is null").drop("centre").distinct(), ["fx", "fy", "fz"])
+    open_ = with_number(middle).join(seen.where("centre is not null").select("centre").distinct(), "centre", "left_semi")
+    looked = near_centres(spots, open_.drop("centre"), (EXTENT + 2 + 4 * FINE) * angle).groupBy("centre").applyInPandas(by_spot, "x double, y double, z double, cluster_key long")
     rounded = points.select("id", *[F.round(c, 12).alias(c) for c in "xyz"])
-    return rounded.join(found, ["x", "y", "z"]).select(F.col("id").alias("repo_id"), "cluster_key")
+    rest = rounded.join(looked.distinct(), ["x", "y", "z"])
+    found = sure.select("id", "cluster_key").unionByName(rest.select("id", "cluster_key")).distinct()
+    return found.select(F.col("id").alias("repo_id"), "cluster_key")

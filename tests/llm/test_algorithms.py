@@ -59,18 +59,76 @@ def test_a_hot_cluster_and_the_report(spark):
     assert sum(r["size"] for r in report) == 3600 and report[0]["size"] == 3000 and len(report[0]["typical_ids"]) == 3
 
 
+def test_heavy_spots_lose_no_light_clique(spark):
+    """Light cliques beside heavy ones: no centre of the agglomeration may drift away from them."""
+    along = [(-1.04, 5), (0.0, 50), (0.3, 50), (1.28, 10_000), (4.0, 3), (5.9, 300), (7.2, 6)]
+    points = [(1.2, 1.0 + step * 0.001 / math.sin(1.2)) for step, n in along for _ in range(n)]
+    got = {tuple(r) for r in clusters.cliques(sphere(spark, [(i, t, p) for i, (t, p) in enumerate(points)])).collect()}
+    light = {(i, 0) for i in range(5)}
+    assert light <= got and {k for _, k in got} == {0, 10_408, 10_108}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_cliques_of_any_weight_match_brute_force(spark, seed):
+    """Chains of spots along great circles, of 1 to 10,000 records each, against all pairs of spots."""
+    rng = random.Random(seed)
+    spots = []
+    for _ in range(25):
+        t, p = rng.uniform(0.5, 2.6), rng.uniform(0, 6)
+        for _ in range(rng.randrange(1, 9)):
+            spots.append((t, p, rng.choice([1, 2, 4, 5, 40, 400, 2000])))
+            t, p = t + rng.uniform(-0.0012, 0.0012), p + rng.uniform(-0.0012, 0.0012)
+    ids, owner = 0, []
+    for s, (_, _, n) in enumerate(spots):
+        owner += [s] * n
+    rng.shuffle(owner)
+    first, size = {}, {}
+    for i, s in enumerate(owner):
+        first.setdefault(s, i)
+        size[s] = size.get(s, 0) + 1
+    v = np.array([(math.sin(t) * math.cos(p), math.cos(t), math.sin(t) * math.sin(p)) for t, p, _ in spots])
+    near = np.linalg.norm(v[:, None] - v[None], axis=2) <= 2 * math.sin(0.0005)
+    want = set()
+    for s in range(len(spots)):
+        group = np.flatnonzero(near[s])
+        if all((near[j] == near[s]).all() for j in group) and sum(size[j] for j in group) >= 5:
+            want |= {(i, min(first[j] for j in group)) for i, o in enumerate(owner) if o == s}
+    df = sphere(spark, [(i, spots[s][0], spots[s][1]) for i, s in enumerate(owner)])
+    assert want and {tuple(r) for r in clusters.cliques(df).collect()} == want
+
+
+def test_a_dense_clique_is_settled_by_cells(spark):
+    """Thousands of different positions well inside the angle need no look at the positions; at its edge they do."""
+    rng = np.random.default_rng(4)
+    lo, hi = rng.uniform(0, 0.0004, (3000, 3)), None
+    hi = lo.copy()
+    verdict, group, _ = clusters.clique_of(0, lo, hi + 1e-6, np.ones(3000), 0.001, 5)
+    assert verdict == clusters.CLIQUE and len(group) == 3000
+    pair = np.array([[0.0, 0, 0], [0.00099, 0, 0]])
+    assert clusters.clique_of(0, pair, pair, np.array([3, 3]), 0.001, 5)[0] == clusters.CLIQUE
+    assert clusters.clique_of(0, pair, pair + 2e-5, np.array([3, 3]), 0.001, 5)[0] == clusters.UNSURE
+    spots = [(1.0 + rng.uniform(0, 0.00055), 2.0 + rng.uniform(0, 0.0008)) for _ in range(2500)]
+    points = [(i, t, p) for i, (t, p) in enumerate(spots)]
+    assert {tuple(r) for r in clusters.cliques(sphere(spark, points)).collect()} == cliques_by_hand(points)
+
+
 def test_feature_trees_add_up():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 3))
-    tree = clusters.FeatureTree(0.2)
-    for row in np.c_[np.ones(500), x, (x**2).sum(1)]:
+    tree = clusters.FeatureTree(0.4)
+    for row in clusters.single(x, np.ones(500)):
         tree.add(row)
-    total = tree.leaves().sum(0)
-    assert total[0] == 500 and np.allclose(total[1:4], x.sum(0)) and np.isclose(total[4], (x**2).sum())
+    whole = clusters.total(tree.leaves())
+    assert whole[0] == 500 and np.allclose(whole[1:4], x.sum(0)) and np.isclose(whole[4], (x**2).sum())
+    assert np.array_equal(whole[5:8], x.min(0)) and np.array_equal(whole[8:], x.max(0))
+    cells = clusters.collapsed(clusters.single(x, np.ones(500)), 0.5)
+    assert len(cells) < 500 and np.allclose(clusters.total(cells), whole)
     same = clusters.FeatureTree(0.0)
-    for _ in range(200):
-        same.add(np.array([1.0, 1, 0, 0, 1]))
+    for row in clusters.single(np.ones((200, 3)), np.ones(200)):
+        same.add(row)
     assert same.leaves()[:, 0].sum() == 200
+    done = clusters.ward(clusters.single(rng.uniform(0, 5, (300, 3)), rng.integers(1, 999, 300).astype(float)), 1.2, 1.2, 0.6)
+    assert all(clusters.farthest(f) <= 1.2 for f in done)
 
 
 SIGNALS = "repo_id long, stars double, dependents double, pagerank_ratio double, stars_90d double, points double"
