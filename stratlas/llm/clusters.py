@@ -188,6 +188,34 @@ def ward(features: np.ndarray, reach: float, extent: float, radius: float) -> np
     return np.array(list(live.values())) if live else np.empty((0, len(NAMES)))
 
 
+def each_group(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """``work`` on the rows of each key, one group after another in a task's stream: for very many small groups."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # the rows of the last key so far
+        for batch in batches:
+            if not len(batch):
+                continue
+            names = batch[keys].to_numpy()
+            starts = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(1)])
+            out = []
+            if held and (held[0][keys].iloc[0].to_numpy() != names[0]).any():
+                out.append(work(pd.concat(held) if len(held) > 1 else held[0]))
+                held = []
+            for start, end in zip(starts, [*starts[1:], None]):
+                held.append(batch.iloc[start:end])
+                if end is not None:
+                    out.append(work(pd.concat(held) if len(held) > 1 else held[0]))
+                    held = []
+            if out:
+                yield pd.concat(out)
+        if held:
+            yield work(pd.concat(held))
+
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or the few bytes would be put in one task
+    return df.repartition(tasks, *keys).sortWithinPartitions(*keys).mapInPandas(run, schema)
+
+
 def unit_positions(world: DataFrame, id_col: str = "repo_id") -> DataFrame:
     """``(id, x, y, z)`` of records with a position; null, NaN or infinite angles, and null ids, are none.
 
@@ -227,15 +255,18 @@ def centres(points: DataFrame, angle: float, region: int = 16) -> DataFrame:
         yield pd.DataFrame(tree.leaves(), columns=NAMES)
 
     def agglomerate(group: pd.DataFrame) -> pd.DataFrame:
+        rows = group[NAMES].to_numpy()
+        if len(rows) == 1:
+            return pd.DataFrame(rows, columns=NAMES)
         tree = FeatureTree(LEAF * angle)
-        for row in group.sort_values(NAMES)[NAMES].to_numpy():
+        for row in rows[np.lexsort(rows.T[::-1])]:
             tree.add(row)
         return pd.DataFrame(ward(tree.leaves(), EXTENT * angle, EXTENT * angle, SPREAD * angle), columns=NAMES)
 
     features = points.select("x", "y", "z").mapInPandas(build, FEATURE)
     for shift in (0, side / 3, 2 * side / 3):
         at = [F.floor((F.col(c) / F.col("n") + shift) / side).alias(g) for c, g in (("lx", "gx"), ("ly", "gy"), ("lz", "gz"))]
-        features = features.select("*", *at).groupBy("gx", "gy", "gz").applyInPandas(agglomerate, FEATURE)
+        features = each_group(features.select("*", *at), ["gx", "gy", "gz"], agglomerate, FEATURE)
     return features.select(*[(F.col(l) / F.col("n")).alias(c) for l, c in (("lx", "cx"), ("ly", "cy"), ("lz", "cz"))], "n")
 
 
@@ -353,13 +384,13 @@ def cliques(world: DataFrame, angle: float = 0.001, least: int = 5, id_col: str
     def parts(group: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         return group["n"].to_numpy(), group["least_id"].to_numpy()
 
-    def by_cell(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    def by_cell(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("least_id")
         n, ids = parts(group)
         leads = np.flatnonzero(group["gap"].to_numpy() <= EXTENT * angle + slack)
         members, keys, unsure = isolated(group[["x0", "y0", "z0"]].to_numpy(), group[["x1", "y1", "z1"]].to_numpy(), n, ids, leads, chord, least)
         out = group[["fx", "fy", "fz"]].iloc[members].assign(cluster_key=keys, centre=None)
-        return pd.concat([out, pd.DataFrame({"fx": [0], "fy": [0], "fz": [0], "cluster_key": [0], "centre": [key[0]]})]) if unsure else out
+        return pd.concat([out, pd.DataFrame({"fx": [0], "fy": [0], "fz": [0], "cluster_key": [0], "centre": [group["centre"].iloc[0]]})]) if unsure else out
 
     def by_spot(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("least_id")
@@ -370,12 +401,12 @@ def cliques(world: DataFrame, angle: float = 0.001, least: int = 5, id_col: str
         return group[["x", "y", "z"]].iloc[members].assign(cluster_key=keys)
 
     seen = near_centres(boxes, middle, (EXTENT + 2 + 8 * FINE) * angle)
-    seen = seen.groupBy("centre").applyInPandas(by_cell, "fx long, fy long, fz long, cluster_key long, centre string")
+    seen = each_group(seen, ["centre"], by_cell, "fx long, fy long, fz long, cluster_key long, centre string")
     seen = materialise(seen, "clique-cells")
     keyed = points.select("id", *cell(side, ("fx", "fy", "fz")))
     sure = keyed.join(seen.where("centre is null").drop("centre").distinct(), ["fx", "fy", "fz"])
     open_ = with_number(middle).join(seen.where("centre is not null").select("centre").distinct(), "centre", "left_semi")
-    looked = near_centres(spots, open_.drop("centre"), (EXTENT + 2 + 4 * FINE) * angle).groupBy("centre").applyInPandas(by_spot, "x double, y double, z double, cluster_key long")
+    looked = each_group(near_centres(spots, open_.drop("centre"), (EXTENT + 2 + 4 * FINE) * angle), ["centre"], by_spot, "x double, y double, z double, cluster_key long")
     rounded = points.select("id", *[F.round(c, 12).alias(c) for c in "xyz"])
     rest = rounded.join(looked.distinct(), ["x", "y", "z"])
     found = sure.select("id", "cluster_key").unionByName(rest.select("id", "cluster_key")).distinct()
