@@ -55,13 +55,13 @@ def p6_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = stratified.strata(read(spark, sf, "repo"), read(spark, sf, "world"))
-    return stratified.allocation_table(rows, read(spark, sf, "stratum_target")).where("gap > 0").select("stratum_key")
+    return stratified.plan_sample(rows, read(spark, sf, "stratum_target"))[0].where("gap > 0").select("stratum_key")
 
 
 def _sample(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     rows = stratified.strata(read(spark, sf, "repo"), read(spark, sf, "world"))
-    table = stratified.allocation_table(rows, read(spark, sf, "stratum_target"))
-    return table, stratified.draw(rows, table)
+    table, weights = stratified.plan_sample(rows, read(spark, sf, "stratum_target"))
+    return table, stratified.draw(rows, table, weights)
 
 
 def p7_sample(spark: SparkSession, sf: str) -> DataFrame:

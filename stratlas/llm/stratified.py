@@ -1,11 +1,14 @@
 """Samples that match target category proportions (problem 7).
 
-Category margins are raked by iterative proportional fitting over the small table of cells, records are drawn by
-weighted exponential keys, small categories are repaired up to their minimum, and what could not be met is reported.
+Category margins are raked by iterative proportional fitting over the small table of cells, the raked weights give the
+expected counts and each record's exponential key, small categories are repaired up to their minimum, and what could not be
+met is reported.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ from pyspark.sql.window import Window as W
 from stratlas.functions.bands import ACTIVITY_BANDS, STAR_BANDS, band_of, days_before
 
 NOW = "2026-01-01 00:00:00"
-KEY_BUCKETS = 1024
+OCTAVE = 128  # buckets of keys for each doubling
 
 
 def strata(repo: DataFrame, world: DataFrame, now: str = NOW) -> DataFrame:
@@ -68,76 +71,131 @@ def rake(cells: dict[tuple, float], margins: list[dict], rounds: int = 200, tole
     return {k: float(f / m) for k, f, m in zip(keys, fitted, mass) if m}
 
 
-def fill_up(given: dict[str, int], have: dict[str, int], share: dict[str, float], size: int) -> None:
-    """Give what short strata leave of the sample to strata with records to spare, in proportion to their shares."""
-    while (left := size - sum(given.values())) > 0:
-        spare = sorted(k for k in given if have.get(k, 0) > given[k] and share[k] > 0)
-        if not spare:
-            return
-        total = sum(share[k] for k in spare)
-        exact = {k: min(left * share[k] / total, have[k] - given[k]) for k in spare}
-        whole = {k: int(exact[k]) for k in spare}
-        if not any(whole.values()):  # fewer left than strata: the largest remainders get one each
-            for k in sorted(spare, key=lambda k: (-exact[k], k))[:left]:
-                whole[k] = 1
-        for k in spare:
-            given[k] += whole[k]
-
-
-def allocation_table(rows: DataFrame, targets: DataFrame) -> DataFrame:
-    """``(stratum_key, wanted, available, allocation, gap, weight, …)`` of every targeted stratum.
-
-    ``wanted`` is the larger of ``min_count`` and the rounded share; the allocation is raked: the cells' joint
-    targets give the margins (stars, domain, activity), raked record weights give each cell's expected
-    count, and the repair moves it to what is wanted, as far as records are there. ``gap`` is what is missing; its
-    place in the sample goes to strata with records to spare, so that the sample keeps its size.
-    The table has a row per target (a control table), so it is worked out on the driver.
+def raked_counts(cells: dict[tuple, float], margins: list[dict], size: float) -> tuple[dict[tuple, float], dict[tuple, float]]:
+    """``(expected counts, weights)`` of cells in a sample of ``size``: no cell gives more records than it has.
+
+    Cells that the raked weights would overdraw are taken whole, and the others are raked again to what the
+    margins still lack.
+    """
+    counts: dict[tuple, float] = {}
+    weights: dict[tuple, float] = {}
+    free = {k: n for k, n in cells.items() if n > 0}
+    left = [{name: share * size for name, share in margin.items()} for margin in margins]
+    while free:
+        place = max(0.0, size - sum(counts.values()))
+        fitted = rake(free, left)
+        over = {k for k, n in free.items() if fitted[k] * place > 1}
+        for k in over or free:
+            counts[k] = float(free[k]) if over else fitted[k] * place * free[k]
+            weights[k] = fitted[k]
+        for k in over:
+            for i, margin in enumerate(left):
+                if k[i] in margin:
+                    margin[k[i]] = max(0.0, margin[k[i]] - free[k])
+        free = {k: n for k, n in free.items() if k not in over} if over else {}
+    return counts, weights
+
+
+def whole_counts(exact: dict[str, float], size: int) -> dict[str, int]:
+    """Counts rounded to whole ones that add up to ``size`` as nearly as rounding down and up allows (largest remainders; ties by name)."""
+    given = {k: int(v + 1e-9) for k, v in exact.items()}
+    rest = max(0, min(size, int(sum(exact.values()) + 0.5)) - sum(given.values()))
+    for k in sorted(exact, key=lambda k: (given[k] - exact[k], k))[:rest]:
+        given[k] += 1
+    return given
+
+
+def repair(given: dict[str, int], least: dict[str, int], have: dict[str, int], size: int) -> dict[str, int]:
+    """Raise every stratum to ``least``, at the cost of those above theirs; hand out places still free where records are left.
+
+    The sample is larger than ``size`` only where the least counts alone are.
+    """
+    out = {k: min(have.get(k, 0), max(n, least[k])) for k, n in given.items()}
+    over = {k: n - least[k] for k, n in out.items() if n > least[k]}
+    cut = min(sum(out.values()) - size, sum(over.values()))
+    if cut > 0:
+        for k, n in whole_counts({k: cut * n / sum(over.values()) for k, n in over.items()}, cut).items():
+            out[k] -= n
+    while (left := size - sum(out.values())) > 0 and (spare := {k: have.get(k, 0) - n for k, n in out.items() if have.get(k, 0) > n}):
+        share = {k: min(n, left * n / sum(spare.values())) for k, n in spare.items()}
+        for k, n in whole_counts(share, left).items():
+            out[k] += min(n, spare[k])
+        if not any(whole_counts(share, left).values()):
+            break
+    return out
+
+
+def plan_sample(rows: DataFrame, targets: DataFrame, extra: dict[str, dict[str, float]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The allocation of every targeted stratum, and the raked weight of every cell.
+
+    ``(stratum_key, target_share, wanted, available, raked, allocation, gap)`` and ``(stratum_key, *extra, weight)``. The margins
+    are the strata themselves, the categories that their keys name (stars, domain, activity), and those of ``extra``,
+    which may cut across strata: a column of ``rows`` with target shares of its values. Raked weights give each cell's
+    expected count; strata are then repaired to what is wanted, the larger of ``min_count`` and the rounded share, as
+    far as records are there. So the places that a short stratum leaves go where the margins it belongs to lack records.
+    ``gap`` is what is missing. A null in an ``extra`` column is a category without a target.
+    The tables have a row per target, times the values of ``extra`` (control tables), so they are worked out on the driver.
     """
+    extra = extra or {}
     spark = rows.sparkSession
-    have = {r[0]: r[1] for r in rows.join(F.broadcast(targets.select("stratum_key").distinct()), "stratum_key").groupBy("stratum_key").count().collect()}
+    names = ["stratum_key", *extra]
+    keys = F.broadcast(targets.select("stratum_key").distinct())
+    cells = {tuple(r)[:-1]: r["count"] for r in rows.join(keys, "stratum_key").groupBy(*names).count().collect()}
+    have: dict[str, int] = {}
+    for cell, n in cells.items():
+        have[cell[0]] = have.get(cell[0], 0) + n
     goal = targets.where("stratum_key is not null").groupBy("stratum_key").agg(
         F.sum(F.coalesce("target_share", F.lit(0.0))).alias("share"), F.max("min_count").alias("least"), F.max("sample_size").alias("size")
     )
     goal = goal.select("*", wanted_of(F.col("share"), F.col("least"), F.col("size")).alias("wanted")).orderBy("stratum_key").collect()
     parts = {r["stratum_key"]: tuple(r["stratum_key"].split("_")) for r in goal}
     width = max((len(p) for p in parts.values()), default=0)
-    margins: list[dict] = [{} for _ in range(width)]
+    parts = {k: (*p, *[""] * (width - len(p))) for k, p in parts.items()}
+    margins: list[dict] = [{r["stratum_key"]: r["share"] for r in goal}, *({} for _ in range(width)), *extra.values()]
     for r in goal:
         for i, name in enumerate(parts[r["stratum_key"]]):
-            margins[i][name] = margins[i].get(name, 0.0) + r["share"]
-    weights = rake({parts[k]: n for k, n in have.items() if len(parts[k]) == width}, margins)
+            margins[i + 1][name] = margins[i + 1].get(name, 0.0) + r["share"]
     size = max((r["size"] or 0 for r in goal), default=0)
-    given = {r["stratum_key"]: min(have.get(r["stratum_key"], 0), r["wanted"] or 0) for r in goal}
-    fill_up(given, have, {r["stratum_key"]: r["share"] for r in goal}, size)
+    counts, weights = raked_counts({(c[0], *parts[c[0]], *map(str, c[1:])): n for c, n in cells.items()}, margins, size)
+    raked = {k: 0.0 for k in parts}
+    for cell, n in counts.items():
+        raked[cell[0]] += n
+    least = {r["stratum_key"]: min(have.get(r["stratum_key"], 0), r["wanted"] or 0) for r in goal}
+    given = repair(whole_counts(raked, size), least, have, size)
     out = []
     for r in goal:
-        k = r["stratum_key"]
-        available, weight = have.get(k, 0), weights.get(parts[k], 0.0)
-        gap = max(0, (r["wanted"] or 0) - given[k])
-        out.append((k, r["share"], r["wanted"], available, weight * available * size, given[k], gap, weight))
-    schema = "stratum_key string, target_share double, wanted long, available long, raked double, allocation long, gap long, weight double"
-    return spark.createDataFrame(out, schema)
+        k, wanted = r["stratum_key"], r["wanted"] or 0
+        out.append((k, r["share"], wanted, have.get(k, 0), raked[k], given[k], max(0, wanted - have.get(k, 0))))
+    table = spark.createDataFrame(out, "stratum_key string, target_share double, wanted long, available long, raked double, allocation long, gap long")
+    each = [(*c, weights.get((c[0], *parts[c[0]], *map(str, c[1:])), 0.0)) for c in cells]
+    schema = T.StructType([T.StructField("stratum_key", T.StringType()), *(rows.schema[c] for c in extra), T.StructField("weight", T.DoubleType())])
+    return table, spark.createDataFrame(each, schema)
 
 
-def draw(rows: DataFrame, table: DataFrame, seed: int = 11) -> DataFrame:
+def draw(rows: DataFrame, table: DataFrame, weights: DataFrame, seed: int = 11) -> DataFrame:
     """``(id, stratum_key, weight)`` of the sample: each stratum's ``allocation`` records of the smallest keys.
 
     A record's key is -ln(u)/weight with u from a hash of its id and the seed, so draws are the same on
-    every run. A stratum may hold a third of all rows: its keys are counted in buckets of equal probability, the
-    bucket in which the allocation is reached is found by a running sum, and only rows up to that bucket are sorted.
+    every run; the weight is its cell's raked one. A stratum may hold a third of all rows: its keys are counted in buckets on
+    a scale of powers, all rows of the buckets below the one in which the allocation is reached are taken as they
+    are, and only that bucket is sorted.
     """
-    few = F.broadcast(table.where("allocation > 0").select("stratum_key", "allocation", "weight"))  # a row per target
-    unit = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) + 1) / F.lit(float(2**53 + 1))
-    keyed = rows.join(few, "stratum_key").withColumn("u", unit)
-    # within a stratum all weights agree: the key grows as u falls
-    keyed = keyed.withColumn("key", -F.log("u") / F.greatest("weight", F.lit(1e-300))).withColumn("bucket", F.floor((1 - F.col("u")) * KEY_BUCKETS))
+    by = [c for c in weights.columns if c != "weight"]
+    few = table.where("allocation > 0").select("stratum_key", "allocation")
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{c}").eqNullSafe(F.col(f"w.{c}")) for c in by])
+    unit = (F.shiftrightunsigned(F.xxhash64("r.id", F.lit(seed)), 11) + 1) / F.lit(float(2**53 + 1))
+    keyed = rows.alias("r").join(F.broadcast(weights.alias("w")), same).select("r.id", "r.stratum_key", "w.weight", unit.alias("u"))  # a row per cell
+    keyed = keyed.join(F.broadcast(few), "stratum_key")  # a row per target
+    keyed = keyed.withColumn("key", -F.log("u") / F.greatest("weight", F.lit(1e-300))).withColumn("bucket", F.floor(F.log2("key") * OCTAVE))
     counts = keyed.groupBy("stratum_key", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("allocation").alias("allocation"))
     running = F.sum("n").over(W.partitionBy("stratum_key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
     cut = counts.withColumn("before", F.coalesce(running, F.lit(0))).where(F.col("before") < F.col("allocation"))
-    cut = cut.groupBy("stratum_key").agg(F.max("bucket").alias("last"))
+    cut = cut.groupBy("stratum_key").agg(F.max("bucket").alias("last"), F.max("before").alias("before"))  # the last one reached
     low = keyed.join(F.broadcast(cut), "stratum_key").where(F.col("bucket") <= F.col("last"))
     order = W.partitionBy("stratum_key").orderBy("key", "id")
-    return low.withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("allocation")).select("id", "stratum_key", "weight")
+    edge = low.where(F.col("bucket") == F.col("last")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("allocation") - F.col("before"))
+    columns = ["id", "stratum_key", "weight"]
+    return low.where(F.col("bucket") < F.col("last")).select(columns).unionByName(edge.select(columns))
 
 
 def sample_report(table: DataFrame, sample: DataFrame) -> DataFrame:

@@ -177,20 +177,60 @@ def test_raking_meets_the_margins():
 def test_a_sample_meets_what_it_can_and_reports_the_rest(spark):
     rows = spark.range(3000).selectExpr("id", "case when id % 3 > 0 then 's0_d00_a0' when id < 30 then 's1_d00_a0' else 's0_d01_a0' end as stratum_key")
     targets = spark.createDataFrame([("s0_d00_a0", 0.5, 1, 200), ("s1_d00_a0", 0.3, 2, 200), ("s0_d01_a0", 0.2, 60, 200), ("s2_d00_a0", 0.0, 4, 200)], "stratum_key string, target_share double, min_count int, sample_size long")
-    table = stratified.allocation_table(rows, targets)
-    sample = stratified.draw(rows, table)
+    table, weights = stratified.plan_sample(rows, targets)
+    sample = stratified.draw(rows, table, weights)
     report = {r.stratum_key: r for r in stratified.sample_report(table, sample).collect()}
     assert {k: r.gap for k, r in report.items()} == {"s0_d00_a0": 0, "s1_d00_a0": 50, "s0_d01_a0": 0, "s2_d00_a0": 4}
     assert all(r.drawn == r.allocation for r in report.values()) and report["s1_d00_a0"].drawn == 10 and report["s0_d01_a0"].drawn >= 60
     assert sum(r.drawn for r in report.values()) == 200
-    again = {r.id for r in stratified.draw(rows.repartition(3), table).collect()}
+    again = {r.id for r in stratified.draw(rows.repartition(3), table, weights).collect()}
     assert again == {r.id for r in sample.collect()} and len(again) == 200
 
 
 def test_half_shares_are_rounded_up(spark):
     rows = spark.range(10).selectExpr("id", "'s0_d00_a0' as stratum_key")
     targets = spark.createDataFrame([("s0_d00_a0", 0.25, 0, 10)], "stratum_key string, target_share double, min_count int, sample_size long")
-    assert stratified.allocation_table(rows, targets).first().wanted == 3
+    assert stratified.plan_sample(rows, targets)[0].first().wanted == 3
+
+
+TARGETS = "stratum_key string, target_share double, min_count int, sample_size long"
+
+
+def test_what_a_short_stratum_leaves_goes_where_its_margins_lack(spark):
+    """s1_d0 has too few: the other strata of s1 and of d0 are raked up, s0_d1 is not, and the margins come out as wanted."""
+    sizes = {"s0_d0": 2000, "s0_d1": 2000, "s1_d0": 40, "s1_d1": 2000}
+    rows = spark.createDataFrame([(i * 10 + k, name) for k, (name, n) in enumerate(sizes.items()) for i in range(n)], "id long, stratum_key string")
+    table, weights = stratified.plan_sample(rows, spark.createDataFrame([(k, 0.25, 10, 400) for k in sizes], TARGETS))
+    got = {r.stratum_key: r for r in table.collect()}
+    assert got["s1_d0"].allocation == 40 and got["s1_d0"].gap == 60 and sum(r.allocation for r in got.values()) == 400
+    assert all(got[k].allocation >= 100 for k in sizes if k != "s1_d0")
+    assert got["s0_d0"].allocation > got["s0_d1"].allocation and got["s1_d1"].allocation > got["s0_d1"].allocation
+    other = stratified.plan_sample(rows, spark.createDataFrame([(k, 0.25, 10, 400) for k in sizes], TARGETS), {"stratum_key": {k: 0.25 + 0.1 * (k == "s0_d1") for k in sizes}})
+    assert {r.stratum_key: r.allocation for r in other[0].collect()} != {k: r.allocation for k, r in got.items()}
+
+
+def test_a_margin_across_strata_sets_the_weights_within_them(spark):
+    """A third of each stratum is old; the target wants half: old records weigh more, and the sample follows the weights."""
+    rows = spark.range(6000).selectExpr("id", "concat('s', id % 2, '_d0') as stratum_key", "case when id % 3 = 0 then 'old' when id % 600 = 1 then null else 'new' end as age")
+    targets = spark.createDataFrame([("s0_d0", 0.7, 1, 600), ("s1_d0", 0.3, 1, 600)], TARGETS)
+    table, weights = stratified.plan_sample(rows, targets, {"age": {"old": 0.5, "new": 0.5}})
+    by = {(r.stratum_key, r.age): r.weight for r in weights.collect()}
+    assert by["s0_d0", "old"] > 1.8 * by["s0_d0", "new"]
+    sample = stratified.draw(rows, table, weights).join(rows.select("id", "age"), "id").collect()
+    assert len(sample) == 600 == len({r.id for r in sample}) and sum(r.stratum_key == "s0_d0" for r in sample) == 420
+    assert abs(sum(r.age == "old" for r in sample) - 300) < 45
+    plain = stratified.draw(rows, *stratified.plan_sample(rows, targets)).join(rows.select("id", "age"), "id").collect()
+    assert sum(r.age == "old" for r in plain) < 250 and {r.id for r in plain} != {r.id for r in sample}
+
+
+def test_raked_counts_match_plain_fitting_and_never_overdraw():
+    rng = np.random.default_rng(1)
+    cells = {(f"{s}{d}", s, d): float(rng.integers(5, 400)) for s in "abc" for d in "xyz"}
+    goal = [{k[0]: 1 / 9 for k in cells}, dict.fromkeys("abc", 1 / 3), dict.fromkeys("xyz", 1 / 3)]
+    counts, _ = stratified.raked_counts(cells, goal, 30)
+    assert all(abs(n - 30 / 9) < 1e-6 for n in counts.values())  # all targets can be met: each cell has its share
+    counts, _ = stratified.raked_counts(cells, goal, 900)
+    assert all(n <= cells[k] + 1e-9 for k, n in counts.items()) and sum(counts.values()) <= 900 + 1e-6
 
 
 def pairs_by_hand(docs, least=200):
