@@ -2,7 +2,8 @@
 
 Text likelihoods come from a word model fitted on a bounded sample of labelled documents; scripts settle the languages
 that have their own. Declared labels, language codes in addresses and host priors, smoothed along global → host → owner
-by grouped aggregation, are added as log-odds.
+by grouped aggregation and without the text's own vote, are added as log-odds. A text whose words the model mostly
+doesn't know is in none of the languages (``und``).
 """
 
 from __future__ import annotations
@@ -24,8 +25,9 @@ from stratlas.session import materialise, read
 LANGS = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "ru", "zh", "ja")
 #: Other spellings of the languages' labels.
 ALIASES = {
-    "en": "eng english", "de": "deu ger german deutsch", "fr": "fra fre french", "es": "spa spanish castilian", "pt": "por portuguese",
-    "it": "ita italian", "nl": "nld dut dutch", "pl": "pol polish", "ru": "rus russian", "zh": "zho chi chinese cmn", "ja": "jpn japanese jp",
+    "en": "eng english", "de": "deu ger german deutsch", "fr": "fra fre french français francais", "es": "spa spanish castilian español castellano",
+    "pt": "por portuguese português", "it": "ita italian italiano", "nl": "nld dut dutch nederlands", "pl": "pol polish polski",
+    "ru": "rus russian русский", "zh": "zho chi chinese cmn mandarin 中文 汉语 漢語 简体中文 繁體中文", "ja": "jpn japanese jp 日本語",
 }
 #: Frequent words that start the model off; the fit adds all others.
 SEEDS = {
@@ -34,12 +36,15 @@ SEEDS = {
     "pt": "o os uma com para não são você depois desde que do", "it": "il gli una con per che non sono dopo dalla è di",
     "nl": "de het een niet van voor meer dat met zonder wordt ook", "pl": "nie się jest oraz przez dla po od który jeśli można i",
 }
+OTHER = "und"
+CODES = (*LANGS, OTHER)
 CYRILLIC, KANA, HAN = re.compile(r"[\u0400-\u04ff]"), re.compile(r"[\u3040-\u30ff]"), re.compile(r"[\u3400-\u9fff]")
 WIDE = re.compile(r"[\u0400-\u9fff]")
 RU, ZH, JA = LANGS.index("ru"), LANGS.index("zh"), LANGS.index("ja")
 FLOOR = 5e-4  # share of a language's sentences that a word it never had is taken to be in
-NO_SCRIPT = 12.0  # nats against a language of another script in a sentence without a letter of that script
-SWITCH = 6.0  # nats that a change of language between sentences must be worth
+NO_SCRIPT = 4.0  # nats against a language of another script for each known word of a sentence without a letter of that script, up to three
+SWITCH = 12.0  # nats that a change of language between sentences must be worth
+STRANGE, KNOWN = 1.5, -5.0  # nats for none of the languages: for a word that the model doesn't know, and for one that it does
 CLEAR = 2.0  # nats by which a sentence's best language must lead to count as evidence of a change
 ADDRESS, DECLARED = 1.5, 2.0  # log-odds of a language code in the address, and of one declared in the markup
 HOST_ROWS = 10.0  # rows that a parent's distribution weighs when its child's is smoothed
@@ -47,7 +52,7 @@ HOST_ROWS = 10.0  # rows that a parent's distribution weighs when its child's is
 
 def label_code(column: Column) -> Column:
     """The language that a declared label names, in whatever spelling; null if it names none."""
-    base = F.split(F.lower(F.trim(column)), "[-_.@ ]")[0]
+    base = F.regexp_extract(F.lower(column), r"(\p{L}+)", 1)  # its first word
     names = {n: code for code in LANGS for n in [code, *ALIASES[code].split()]}
     pairs = [x for n, code in sorted(names.items()) for x in (F.lit(n), F.lit(code))]
     return F.element_at(F.create_map(*pairs), base)
@@ -76,36 +81,47 @@ class WordModel:
     table: np.ndarray
 
     def score(self, texts: list[list[str]]) -> list[np.ndarray]:
-        """A (sentences × languages) matrix of log-likelihoods of each text's sentences."""
+        """A (sentences × languages) matrix of log-likelihoods of each text's sentences; the last column is for none of them."""
         numbers: list[int] = []
         ends: list[int] = []
+        strange: list[int] = []
         extra: list[tuple[int, int, int, int]] = []
         get = self.index.get
         row = 0
         for text in texts:
             for sentence in text:
+                unknown = 0
                 for word in set(WORD.findall(sentence.lower())):
                     n = get(word)
                     if n is not None:
                         numbers.append(n)
+                    else:
+                        unknown += 1
                 ends.append(len(numbers))
+                strange.append(unknown)
                 if not sentence.isascii() and WIDE.search(sentence):
                     extra.append((row, len(CYRILLIC.findall(sentence)), len(KANA.findall(sentence)), len(HAN.findall(sentence))))
                 row += 1
-        total = np.zeros((row, len(LANGS)), np.float32)
+        count = len(LANGS)
+        total = np.zeros((row, count + 1), np.float32)
+        at = np.array(ends, np.int64)
+        known = at - np.r_[0, at[:-1]] if row else at
         if numbers:
             sums = np.cumsum(self.table[np.array(numbers)], axis=0, dtype=np.float64)
-            sums = np.vstack([np.zeros((1, len(LANGS))), sums])
-            at = np.array(ends)
-            total += (sums[at] - sums[np.r_[0, at[:-1]]]).astype(np.float32)
-        total[:, [RU, ZH, JA]] -= NO_SCRIPT
+            sums = np.vstack([np.zeros((1, count)), sums])
+            total[:, :count] += (sums[at] - sums[at - known]).astype(np.float32)
+        total[:, count] = KNOWN * known + STRANGE * np.array(strange, np.float32)
+        # a sentence of names alone says nothing of its script
+        absent = (NO_SCRIPT * np.minimum(known, 3)).astype(np.float32)
+        total[:, [RU, ZH, JA]] -= absent[:, None]
         for r, cyrillic, kana, han in extra:
-            total[r, RU] += NO_SCRIPT * (cyrillic > 0)
-            total[r, [ZH, JA]] += NO_SCRIPT * (kana + han > 0)
-            add = np.full(len(LANGS), -0.7 * (cyrillic + kana + han), np.float32)
+            total[r, RU] += absent[r] * (cyrillic > 0)
+            total[r, [ZH, JA]] += absent[r] * (kana + han > 0)
+            add = np.full(count + 1, -0.7 * (cyrillic + kana + han), np.float32)
             add[RU] = 0.0 if cyrillic else add[RU]
             add[JA] = -0.1 * han if kana else -0.35 * han
             add[ZH] = -1.5 * kana if han else add[ZH]
+            add[count] = -0.7 * (kana + han)
             total[r] += add
         sizes = np.cumsum([len(t) for t in texts])[:-1] if texts else []
         return np.split(total, sizes)
@@ -159,7 +175,7 @@ def fit(labelled: list[tuple[str, str | None, str]], rounds: int = 2) -> WordMod
         scores = model.score([sentences(t) for _, t, _, _ in docs])
         seeded()
         for (bags, _, _, _), score in zip(docs, scores):
-            for bag, line in zip(bags, score):
+            for bag, line in zip(bags, score[:, : len(LANGS)]):
                 k = int(line.argmax())
                 if line[k] - np.partition(line, -2)[-2] > CLEAR:
                     sizes[k] += 1
@@ -174,17 +190,19 @@ def fit(labelled: list[tuple[str, str | None, str]], rounds: int = 2) -> WordMod
 def segments(score: np.ndarray) -> list[np.ndarray]:
     """Summed log-likelihoods of each longest stretch in one language (Viterbi with a price on each switch).
 
-    Sentences without evidence go with their neighbours. A text whose clear sentences agree is one segment.
+    Sentences without evidence go with their neighbours. A text whose clear sentences agree is one segment. Only a
+    whole text can be in none of the languages.
     """
     if not len(score):
         return []
+    whole, score = score, score[:, : len(LANGS)]
     best = score.argmax(1)
     top = score[np.arange(len(score)), best]
     rest = score.copy()
     rest[np.arange(len(score)), best] = -np.inf
     clear = top - rest.max(1) > CLEAR
-    if len(set(best[clear].tolist())) <= 1:
-        return [score.sum(0)]
+    if len(set(best[clear].tolist())) <= 1 or whole[:, -1].sum() > score.max(1).sum():
+        return [whole.sum(0)]
     value = score[0].copy()
     back = []
     for line in score[1:]:
@@ -199,8 +217,11 @@ def segments(score: np.ndarray) -> list[np.ndarray]:
     out, start = [], 0
     for i in range(1, len(path) + 1):
         if i == len(path) or path[i] != path[start]:
-            out.append(score[start:i].sum(0))
+            out.append(whole[start:i].sum(0))
             start = i
+    if len(out) > 1:
+        for part in out:
+            part[-1] = -np.inf
     return out
 
 
@@ -228,7 +249,7 @@ def sample_model(documents: DataFrame, bound: int = 4000) -> WordModel:
 def readings(texts: DataFrame, model: WordModel) -> DataFrame:
     """One pass over all texts: each one's segments' likelihoods, its letters, and its residue signature if it has one."""
     shared = texts.sparkSession.sparkContext.broadcast((model.index, model.table))  # bounded by the sample's words
-    schema = "origin string, row_id long, source string, owner string, host string, label string, address string, declared string, letters int, segs array<array<float>>, rules int, body string"
+    schema = "origin string, row_id long, source string, owner string, host string, label string, address string, declared string, letters int, segs array<array<float>>, parts " + residue.PARTS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordModel(*shared.value)
@@ -245,9 +266,9 @@ def readings(texts: DataFrame, model: WordModel) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         *keep, pa.array(declared, pa.string()), pa.array(letters, pa.int32()), pa.array([segments(s) for s in scores], pa.list_(pa.list_(pa.float32()))),
-                        pa.array([m and m[0] for m in marks], pa.int32()), pa.array([m and m[1] for m in marks], pa.string()),
+                        pa.array(marks, residue.ARROW_PARTS),
                     ],
-                    names=["origin", "row_id", "source", "owner", "host", "label", "address", "declared", "letters", "segs", "rules", "body"],
+                    names=["origin", "row_id", "source", "owner", "host", "label", "address", "declared", "letters", "segs", "parts"],
                 )
 
     return texts.mapInArrow(run, schema)
@@ -267,83 +288,112 @@ def labelled_texts(repo: DataFrame, documents: DataFrame) -> DataFrame:
     extra_r = repo.select(
         F.lit("clean_text").alias("origin"), F.col("id").cast("long").alias("row_id"), F.col("full_name").alias("owner"),
         F.col("host").alias("host"), flag.alias("label"), F.lit(None).cast("string").alias("address"), F.col("clean_text").cast("string").alias("text"),
-        F.coalesce(F.element_at(F.split("full_name", "/"), -1), F.lit("")).alias("name"), F.lit("repo").alias("source"),
+        F.coalesce(F.element_at(F.split("full_name", "/"), -1), F.lit("")).alias("name"), F.coalesce(F.lower(F.trim("host")), F.lit("")).alias("source"),
     )
     both = extra_d.unionByName(extra_r).where(F.col("row_id").isNotNull() & (F.length(F.trim("text")) > 0))
     return both.select("origin", "row_id", "name", "source", "text", "owner", "host", "label", "address")
 
 
-def priors(read_: DataFrame) -> tuple[DataFrame, DataFrame, list[float]]:
-    """Smoothed language distributions: ``(owner, p)``, ``(host, p)`` and the global one, from the texts' own best languages."""
-    one = read_.where("size(segs) > 0").select("owner", "host", argmax(F.expr("aggregate(segs, array_repeat(0D, 11), (a, s) -> zip_with(a, s, (x, y) -> x + y))")).alias("k"))
-    tally = [F.sum(F.when(F.col("k") == i, 1.0).otherwise(0.0)).alias(f"n{i}") for i in range(len(LANGS))]
-    counts = materialise(one.groupBy("owner", "host").agg(*tally), "language-counts")
-    again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(len(LANGS))]
+VOTE = "aggregate(segs, array_repeat(0D, 12), (a, s) -> zip_with(a, s, (x, y) -> x + y))"
+HOT = 256
+
+
+def argmax(array: Column) -> Column:
+    return (F.array_position(array, F.array_max(array)) - 1).cast("int")
+
+
+def with_votes(read_: DataFrame) -> DataFrame:
+    """Readings with ``k``, each text's own best language."""
+    return read_.withColumn("k", F.when(F.size("segs") > 0, argmax(F.expr(VOTE))))
+
+
+def with_counts(rows: DataFrame) -> tuple[DataFrame, list[float]]:
+    """Rows with the language counts of their owner and host, ``no`` and ``nh``, and the smoothed global distribution.
+
+    Owners that hold over 1/``HOT`` of all texts are fewer than ``HOT``; they travel by broadcast, as do hosts while
+    they are as few. The others are joined by key; rows without an owner, or of a hot one, are spread by their ids.
+    """
+    size = len(CODES)
+    tally = [F.sum(F.when(F.col("k") == i, 1.0).otherwise(0.0)).alias(f"n{i}") for i in range(size)]
+    counts = materialise(rows.where("k is not null").groupBy("owner", "host").agg(*tally), "language-counts")
+    again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(size)]
     whole = counts.agg(*again).first()
-    total = sum(v or 0 for v in whole) + len(LANGS)
-    world = [((v or 0) + 1.0) / total for v in whole]
+    total = sum(v or 0 for v in whole)
+    world = [((v or 0) + 1.0) / (total + size) for v in whole]
+    each = F.array(*[f"n{i}" for i in range(size)])
 
-    def smoothed(rows: DataFrame, key: str, parent: list[Column]) -> DataFrame:
-        size = sum((F.col(f"n{i}") for i in range(len(LANGS))), F.lit(HOST_ROWS))
-        return rows.select(key, F.array(*[(F.col(f"n{i}") + HOST_ROWS * parent[i]) / size for i in range(len(LANGS))]).alias("p"))
+    def join(rows: DataFrame, key: str, name: str) -> DataFrame:
+        held = counts.where(F.col(key).isNotNull()).groupBy(key).agg(*again).select(F.col(key).alias("join_key"), each.alias(name))
+        hot = F.aggregate(name, F.lit(0.0), lambda a, x: a + x) * HOT > F.lit(total)
+        few = held.where(hot).select(F.col("join_key").alias("hot_key"), F.col(name).alias("hot_n"))
+        marked = rows.join(F.broadcast(few), F.col(key) == F.col("hot_key"), "left")
+        spread = F.concat(F.lit("\u0000"), F.col("origin"), F.col("row_id").cast("string"))
+        marked = marked.withColumn("join_key", F.when(F.col(key).isNull() | F.col("hot_n").isNotNull(), spread).otherwise(F.col(key)))
+        return marked.join(held.where(~hot), "join_key", "left").withColumn(name, F.coalesce("hot_n", name)).drop("join_key", "hot_key", "hot_n")
 
-    hosts = smoothed(counts.where("host is not null").groupBy("host").agg(*again), "host", [F.lit(p) for p in world])
-    main = counts.where("owner is not null").groupBy("owner").agg(*again, F.max_by("host", F.struct("n0", "host")).alias("host"))
-    flat = hosts.select("host", *[F.col("p")[i].alias(f"h{i}") for i in range(len(LANGS))])
-    owners = main.join(flat, "host", "left").na.fill({f"h{i}": world[i] for i in range(len(LANGS))})
-    return smoothed(owners, "owner", [F.col(f"h{i}") for i in range(len(LANGS))]), hosts, world
+    return join(join(rows, "host", "nh"), "owner", "no"), world
 
 
-def argmax(array: Column) -> Column:
-    return (F.array_position(array, F.array_max(array)) - 1).cast("int")
+def left_out_prior(world: list[float]) -> Column:
+    """The text's prior: its owner's distribution smoothed to its host's, that to the global one, without its own vote."""
+    nothing = F.array_repeat(F.lit(0.0), len(CODES))
+    own = F.transform(F.sequence(F.lit(0), F.lit(len(CODES) - 1)), lambda i: (i == F.col("k")).cast("double"))
+
+    def smoothed(name: str, parent: Column) -> Column:
+        counts = F.when(F.col(name).isNull(), nothing).otherwise(F.zip_with(name, own, lambda n, o: F.greatest(n - F.coalesce(o, F.lit(0.0)), F.lit(0.0))))
+        total = F.aggregate(counts, F.lit(HOST_ROWS), lambda a, x: a + x)
+        return F.zip_with(counts, parent, lambda n, p: (n + HOST_ROWS * p) / total)
+
+    return smoothed("no", smoothed("nh", F.array(*[F.lit(p) for p in world])))
 
 
-def label_odds(read_: DataFrame) -> dict[str, float]:
+def label_odds(rows: DataFrame) -> dict[str, float]:
     """How far a declared label is to be trusted: its log-odds, from how often it agrees with the text's own language."""
-    best = argmax(F.expr("aggregate(segs, array_repeat(0D, 11), (a, s) -> zip_with(a, s, (x, y) -> x + y))"))
-    codes = F.array(*[F.lit(c) for c in LANGS])
-    rows = read_.where("label is not null and size(segs) = 1").select("origin", "label", codes[best].alias("lang"))
+    codes = F.array(*[F.lit(c) for c in CODES])
+    one = rows.where("label is not null and size(segs) = 1").select("origin", "label", codes[F.col("k")].alias("lang"))
     agrees = F.when(F.col("label") == "!en", F.col("lang") != "en").otherwise(F.col("label") == F.col("lang"))
-    rates = rows.groupBy("origin").agg(F.avg(agrees.cast("double")).alias("r")).collect()
+    rates = one.groupBy("origin").agg(F.avg(agrees.cast("double")).alias("r")).collect()  # a row per origin
     return {r["origin"]: float(np.log(np.clip(r["r"], 0.5, 0.98) / (1 - np.clip(r["r"], 0.5, 0.98)))) for r in rates}
 
 
 def fused(read_: DataFrame) -> DataFrame:
-    """``(origin, row_id, …, found)``: the segments' languages and confidences, likelihoods and all other evidence added up."""
-    owners, hosts, world = priors(read_)
-    odds = label_odds(read_)
+    """``(origin, row_id, …, found)``: the segments' languages and confidences, likelihoods and all other evidence added up.
+
+    A text without a sentence has no evidence of its own; the others' speaks for it.
+    """
+    votes = with_votes(read_)
+    odds = label_odds(votes)
     trust = F.lit(0.0)
     for origin, value in sorted(odds.items()):
         trust = F.when(F.col("origin") == origin, F.lit(value)).otherwise(trust)
-    joined = read_.join(owners.withColumnRenamed("p", "po"), "owner", "left").join(hosts.withColumnRenamed("p", "ph"), "host", "left")
-    base = F.coalesce("po", "ph", F.array(*[F.lit(p) for p in world]))
+    joined, world = with_counts(votes)
     says = [
         F.when(F.col("label") == c, trust).when((F.col("label") == "!en") & F.lit(c != "en"), trust).otherwise(F.lit(0.0))
         + F.when(F.col("address") == c, F.lit(ADDRESS)).otherwise(F.lit(0.0))
         + F.when(F.col("declared") == c, F.lit(DECLARED)).otherwise(F.lit(0.0))
-        for c in LANGS
+        for c in CODES
     ]
-    prior = F.zip_with(base, F.array(*says), lambda p, s: F.log(p) + s)
-    rows = joined.withColumn("prior", prior)
+    rows = joined.withColumn("prior", F.zip_with(left_out_prior(world), F.array(*says), lambda p, s: F.log(p) + s))
+    rows = rows.withColumn("segs", F.expr(f"if(size(segs) > 0, segs, array(array_repeat(float(0), {len(CODES)})))"))
     rows = rows.withColumn("post", F.expr("transform(segs, s -> zip_with(s, prior, (a, b) -> double(a) + b))"))
     each = F.expr(
         "transform(post, x -> named_struct('k', cast(array_position(x, array_max(x)) - 1 as int), "
         "'confidence', 1D / aggregate(x, 0D, (t, y) -> t + exp(y - array_max(x)))))"
     )
     rows = rows.withColumn("each", each)
-    codes = F.array(*[F.lit(c) for c in LANGS])
+    codes = F.array(*[F.lit(c) for c in CODES])
     merged = F.expr("filter(each, (x, i) -> i = 0 or x.k <> each[i - 1].k)")
     return rows.withColumn("found", F.transform(merged, lambda x: F.struct(codes[x["k"]].alias("lang"), x["confidence"].alias("confidence")))).select(
-        "origin", "row_id", "source", "label", "letters", "rules", "body", "found"
+        "origin", "row_id", "source", "label", "letters", "parts", "found"
     )
 
 
 def languages(repo: DataFrame, documents: DataFrame, bound: int = 4000) -> DataFrame:
-    """Every text of at least 20 letters, without residue, with its segments' languages; see ``fused``."""
+    """Every text that isn't null or blank, with its segments' languages (see ``fused``), its letters, and whether it is residue."""
     read_ = materialise(readings(labelled_texts(repo, documents), sample_model(documents, bound)), "language-readings")
-    waste = residue.residue_of(read_.where("body is not null"))
-    rows = fused(read_).where((F.col("letters") >= 20) & (F.size("found") > 0))
-    return rows.join(waste, ["origin", "row_id"], "left_anti")
+    waste = residue.residue_of(read_.where("parts is not null")).withColumn("waste", F.lit(True))
+    rows = fused(read_).drop("parts").join(waste, ["origin", "row_id"], "left")
+    return rows.withColumn("residue", F.coalesce("waste", F.lit(False))).drop("waste")
 
 
 def segment_table(rows: DataFrame) -> DataFrame:
@@ -354,12 +404,17 @@ def segment_table(rows: DataFrame) -> DataFrame:
 
 
 def wrong_labels(rows: DataFrame) -> DataFrame:
-    """The texts whose label is missing or wrong, and all texts in several languages."""
+    """The texts whose label is missing or wrong, and all texts in several languages.
+
+    Texts of fewer than 20 letters, residue, and texts in none of the languages are none.
+    """
     lang = F.col("found")[0]["lang"]
     right = F.when(F.col("label") == "!en", lang != "en").when(F.col("origin") == "clean_text", lang == "en").otherwise(F.col("label") == lang)
-    return rows.where((F.size("found") > 1) | F.col("label").isNull() | ~right)
+    clear = (F.col("letters") >= 20) & ~F.col("residue") & (lang != OTHER)
+    return rows.where(clear & ((F.size("found") > 1) | F.col("label").isNull() | ~right))
 
 
 def found(spark: SparkSession, sf: str) -> DataFrame:
+    """The cases, each once; a row repeated with other labels or texts gives what each of its forms gives."""
     rows = languages(read(spark, sf, "repo"), read(spark, sf, "documents"))
-    return segment_table(wrong_labels(rows)).drop("confidence")
+    return segment_table(wrong_labels(rows)).drop("confidence").distinct()

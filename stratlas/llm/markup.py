@@ -2,7 +2,10 @@
 
 HTML goes through the standard library's streaming parser; each line of what comes out has a text-to-tag ratio, which
 is smoothed with a Gaussian and split by a threshold, so that runs of tags without text (menus, footers) fall away.
-Headings come out as ``# …``, list items as ``- …``, code in fences and formulas between dollar signs.
+Headings come out as ``# …``, list items as ``- …`` or ``1. …``, indented by their depth, table rows with bars, code in
+fences or backticks and formulas between dollar signs. The sorts of markup a text held are those that the conversion
+took out: HTML is what the parser reports as known tags, comments and entities, and every other converter reports
+what it replaced.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ from stratlas.session import materialise, read
 KINDS = ("html", "markdown", "wiki", "latex")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "title"))
 BLOCKS = HEADINGS | frozenset("p div ul ol li table tr td th section article header footer nav main aside blockquote center details summary dl dt dd figure hr br body html head".split())
+FORMATS = frozenset("b code em i kbd mark q s samp small strong sub sup u var".split())  # these don't count against a line's text
 HIDDEN = frozenset(("script", "style", "svg"))
 #: LaTeX commands that mark up running text, and those of formulas.
 COMMANDS = (
@@ -36,8 +40,6 @@ FORMULA_COMMAND = re.compile(r"(?<![\w:\\])\\(?:" + "|".join(FORMULA_COMMANDS.sp
 COMMAND = re.compile(r"(?<![\w:\\])\\(?:" + "|".join(COMMANDS.split()) + r")\*?(?![a-zA-Z])(?:\[[^\]\n]*\])?")
 DISPLAY = re.compile(r"\$\$(.+?)\$\$|\\\[(?=[^\n]*[\\^_=+<>])(.+?)\\\]|\\\((.+?)\\\)", re.S)
 INLINE = re.compile(r"(?<![\w$\\])\$(?=[^\s$])((?:[^$\n]*(?:\\[a-zA-Z]|[\^_=])[^$\n]*?|[a-zA-Z]))(?<!\s)\$(?![\w$])")
-ENTITY = re.compile(r"&(?:#\d{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});")
-TAG = re.compile(r"(?<![\w])</?([a-zA-Z][a-zA-Z0-9]*)(?=[\s/>])[^<>]*>|</([a-zA-Z][a-zA-Z0-9]*)\s*>|<!--|(?<=\w)<(br|sup|sub|/?(?:b|i|em|strong|a|p|li|td))\b[^<>]*>", re.I)
 FENCE = re.compile(r" {0,3}(```+|~~~+)(.*)$")
 HASH = re.compile(r" {0,3}(#{1,6})[ \t]+(\S.*?)[ \t#]*$")
 UNDER = re.compile(r" {0,3}(?:={3,}|-{3,})[ \t]*$")
@@ -59,70 +61,124 @@ WIKI_HEAD = re.compile(r"(={1,6})[ \t]*([^=\s](?:[^=\n]*[^=\s])?)[ \t]*\1[ \t]*$
 WIKI_LINK = re.compile(r"(?<![\w\[])\[\[(?=[^\W\d_]|:|#)([^\[\]\n|]+)(?:\|([^\[\]\n]*))?\]\]")
 WIKI_BOLD = re.compile(r"(?<!')('{2,3}|'{5})(?![\s'])([^'\n]+(?:'[^'\n]+)*?)(?<!\s)\1(?!')")
 WIKI_TABLE = re.compile(r"\{\||\|\}|\|-[^|]*$|\|\+")
+WIKI_NEXT = re.compile(r"\|\||!!")
+WIKI_CELL = re.compile(r"^[ \t]*(?:[a-z]+=(?:\"[^\"]*\"|\w+)[ \t]*)+\|(?!\|)")
 WIKI_TEMPLATE = re.compile(r"\{\{(?!\{)[^{}\n|]+\|[^{}\n]*\}\}|<ref\b[^>]*>|__(?:TOC|NOTOC|FORCETOC)__|^#REDIRECT\b", re.I)
 WIKI_SURE = re.compile(r"^={2,6}[^=\n]+={2,6}[ \t]*$|'''|\[\[[^\W\d_]", re.M)
 LIST_ITEM = re.compile(r"[ \t]*(?:[-*+•]|\d+[.)])[ \t]+")
 ANY = re.compile(r"[<&*_`#\[|\\$=~>]|''|-{3}|\{\{")
-MARK, HEAD = "\x00", "\x01"  # what was put aside; a heading made from other markup
+MARK, HEAD, SPAN = "\x00", "\x01", "\x02"  # what was put aside; a heading made from other markup; code inside a line of HTML
+#: Tags that stand right behind a letter; behind one, others are types (``list<int>``).
+BEHIND = frozenset("a b br em i li p strong sub sup td".split())
 
 
 class Reader(HTMLParser):
-    """Parser events to lines of structured text, with each line's number of tags."""
+    """Parser events to lines of structured text, with each line's number of tags; ``events`` counts the markup seen."""
 
-    def __init__(self) -> None:
+    RCDATA_CONTENT_ELEMENTS = ()  # an unclosed title must not swallow the text
+
+    def __init__(self, text: str) -> None:
         super().__init__(convert_charrefs=False)
+        self.low = text.lower()
+        self.hides = {t for t in HIDDEN if f"</{t}" in self.low}  # without its end a tag hides nothing
+        self.CDATA_CONTENT_ELEMENTS = tuple(t for t in ("script", "style") if t in self.hides)
+        self.starts = [0]
+        for at, sign in enumerate(text):
+            if sign == "\n":
+                self.starts.append(at + 1)
+        self.text = text
         self.lines: list[list] = [["", 0, False]]  # text, tags, structural
-        self.hidden = self.pre = 0
-        self.links: list[bool] = []
+        self.hidden = self.pre = self.events = 0
+        self.lists: list[int] = []  # the open lists' last numbers, -1 where they have none
+        self.rows = 0  # open table rows
+
+    def _at(self) -> int:
+        line, offset = self.getpos()
+        return self.starts[line - 1] + offset
 
     def _break(self) -> None:
-        if self.lines[-1][0].strip() or self.lines[-1][1]:
+        if self.rows:  # a row's cells stay in its line
+            if self.lines[-1][0][-1:].strip():
+                self.lines[-1][0] += " "
+        elif self.lines[-1][0].strip() or self.lines[-1][1]:
             self.lines.append(["", 0, False])
 
+    def _is_type(self, tag: str) -> bool:
+        at = self._at()
+        behind = at > 0 and (self.text[at - 1].isalnum() or self.text[at - 1] == "_")
+        return behind and tag not in BEHIND and self.low.find(f"</{tag}", at) < 0
+
+    def _structural(self, text: str) -> None:
+        self.lines[-1][0] += text
+        self.lines[-1][2] = True
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag not in TAGS:
-            self.handle_data(self.get_starttag_text() or "")
+        raw = self.get_starttag_text() or ""
+        if tag not in TAGS or self._is_type(tag):
+            self.handle_data(raw)
             return
-        if tag in HIDDEN:
-            self.hidden += tag != "svg" or not (self.get_starttag_text() or "").endswith("/>")
+        self.events += 1
+        if tag in self.hides:
+            self.hidden += tag != "svg" or not raw.endswith("/>")
             return
         if self.pre and tag not in ("pre", "code"):
             return
         if tag == "pre":
             self._break()
-            self.lines[-1][2] = True
-            self.lines[-1][0] += "```\n"
+            self._structural("```\n")
             self.pre += 1
         elif tag == "code" and not self.pre:
-            self.lines[-1][0] += ""
+            self.lines[-1][0] += SPAN
+        elif tag == "tr":
+            self.rows = 0
+            self._break()
+            self._structural("")
+            self.rows = 1
+        elif tag in ("td", "th") and self.rows:
+            if self.lines[-1][0].strip():
+                self.lines[-1][0] = self.lines[-1][0].rstrip() + " | "
+        elif tag in ("ul", "ol"):
+            self._break()
+            self.lists.append(0 if tag == "ol" else -1)
         elif tag in BLOCKS:
             self._break()
-            if tag in HEADINGS:
-                self.lines[-1][0] += HEAD * (int(tag[1]) if tag[1:].isdigit() else 1) + " "
-                self.lines[-1][2] = True
+            if tag in HEADINGS and not self.rows:
+                self._structural(HEAD * (int(tag[1]) if tag[1:].isdigit() else 1) + " ")
             elif tag == "li":
-                self.lines[-1][0] += "- "
-                self.lines[-1][2] = True
-        self.lines[-1][1] += 1
+                if self.lists and self.lists[-1] >= 0:
+                    self.lists[-1] += 1
+                number = f"{self.lists[-1]}. " if self.lists and self.lists[-1] > 0 else "- "
+                self._structural("  " * max(0, len(self.lists) - 1) + number)
+        self.lines[-1][1] += tag not in FORMATS
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
-        if tag not in TAGS:
-            self.handle_data(self.get_starttag_text() or "")
-        elif tag not in HIDDEN:
+        if tag in self.hides:
+            self.events += 1
+        else:
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag: str) -> None:
         if tag not in TAGS:
             self.handle_data(f"</{tag}>")
-        elif tag in HIDDEN:
+            return
+        self.events += 1
+        if tag in self.hides:
             self.hidden = max(0, self.hidden - 1)
         elif tag == "pre" and self.pre:
             self.pre -= 1
             self.lines[-1][0] = self.lines[-1][0].rstrip("\n") + "\n```"
             self.lines.append(["", 0, False])
         else:
-            self.lines[-1][1] += 1
-            if tag in BLOCKS and not self.pre:
+            self.lines[-1][1] += tag not in FORMATS
+            if tag == "code" and not self.pre:
+                self.lines[-1][0] += SPAN
+            elif tag in ("tr", "table", "thead", "tbody"):
+                self.rows = 0
+                self._break()
+            elif tag in ("ul", "ol") and self.lists:
+                self.lists.pop()
+                self._break()
+            elif tag in BLOCKS and not self.pre and tag not in ("td", "th"):
                 self._break()
 
     def handle_data(self, data: str) -> None:
@@ -131,20 +187,46 @@ class Reader(HTMLParser):
         if self.pre:
             self.lines[-1][0] += data
             return
+        if self.rows:
+            self.lines[-1][0] += " ".join(data.split("\n")) if data.strip() else ""
+            return
         first, *more = data.split("\n")
         self.lines[-1][0] += first
         for line in more:
             self.lines.append([line, 0, False])
 
+    def _reference(self, name: str) -> None:
+        ends = self.text[self._at() + 1 + len(name) :][:1] == ";"
+        if ends and (name[0] == "#" or name + ";" in html5):
+            self.events += 1
+            self.handle_data(unescape(f"&{name};"))
+        else:
+            self.handle_data(f"&{name}" + ";" * ends)
+
     def handle_entityref(self, name: str) -> None:
-        text = f"&{name};"
-        self.handle_data(unescape(text) if name + ";" in html5 else f"&{name}")
+        self._reference(name)
 
     def handle_charref(self, name: str) -> None:
-        self.handle_data(unescape(f"&#{name};"))
+        self._reference(f"#{name}")
+
+    def handle_comment(self, data: str) -> None:
+        # what isn't a comment by its own marks comes here too, and is kept
+        if self.text.startswith("<!--", self._at()):
+            self.events += 1
+        else:
+            self.handle_data(self.text[self._at() : self._at() + 2] + data + ">")
+
+    def handle_decl(self, decl: str) -> None:
+        if decl.lower().startswith("doctype"):
+            self.events += 1
+        else:
+            self.handle_data(f"<!{decl}>")
+
+    def handle_pi(self, data: str) -> None:
+        self.handle_data(f"<?{data}>")
 
     def unknown_decl(self, data: str) -> None:
-        pass
+        self.handle_data(f"<![{data}]>")
 
 
 def smoothed(values: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -169,8 +251,8 @@ def two_means(values: np.ndarray, rounds: int = 20) -> float:
 def content_regions(lines: list[list]) -> list[str]:
     """The lines of content: those whose smoothed text-to-tag ratio reaches the threshold, and all structural ones.
 
-    The smoothed ratios are clustered in two, and the threshold lies midway between the clusters' means. Only lines of
-    several tags and little text can fall under it; a sentence never falls away.
+    The smoothed ratios are clustered in two, and the threshold lies midway between the clusters' means. A line of few
+    tags and a sentence never fall away.
     """
     texts = [t for t, _, _ in lines]
     ratio = np.array([len(t.strip()) / max(1, n) for t, n, _ in lines], float)
@@ -179,39 +261,26 @@ def content_regions(lines: list[list]) -> list[str]:
     keep = []
     for (text, tags, structural), r in zip(lines, soft):
         bare = text.strip()
-        thin = tags >= 4 and len(bare) < 12 * tags and r < least and not re.search(r"[.!?。！？]$", bare)
+        thin = tags >= 4 and r < least and not re.search(r"[.!?。！？]$", bare)
         keep.append(structural or not thin)
     return [t for t, k in zip(texts, keep) if k]
 
 
-def from_html(text: str) -> str:
-    reader = Reader()
+def from_html(text: str) -> tuple[str, bool]:
+    """The text without HTML, and whether the parser met any; types such as ``list<int>`` and comparisons are none."""
+    reader = Reader(text)
     try:
         reader.feed(text)
         reader.close()
     except (AssertionError, ValueError):
-        return text
-    return "\n".join(content_regions(reader.lines))
-
-
-def has_html(text: str) -> bool:
-    """Known tags, comments or entities; types such as ``list<int>`` and comparisons are none."""
-    if "<" in text:
-        for match in TAG.finditer(text):
-            name = match.group(1) or match.group(2) or match.group(3)
-            if name is None or name.lower().lstrip("/") in TAGS:
-                return True
-    if "&" in text:
-        for match in ENTITY.finditer(text):
-            if match.group()[1] == "#" or match.group()[1:] in html5:
-                return True
-    return False
+        return text, False
+    return ("\n".join(content_regions(reader.lines)), True) if reader.events else (text, False)
 
 
 def convert(text: str) -> tuple[str, list[str]]:
     """``(clean text, kinds)``: the text without markup, its structure kept, and the sorts of markup it held."""
-    if MARK in text or HEAD in text:
-        text = text.replace(MARK, "").replace(HEAD, "")
+    if MARK in text or HEAD in text or SPAN in text:
+        text = text.replace(MARK, "").replace(HEAD, "").replace(SPAN, "")
     if not ANY.search(text):
         return text, []
     kinds: set[str] = set()
@@ -281,7 +350,7 @@ def convert_plain(text: str, kinds: set[str], wiki: bool) -> str:
         return value
 
     if "`" in text and "<pre" not in text:
-        text = CODE.sub(lambda m: put("markdown", aside(m.group(2).strip())), text)
+        text = CODE.sub(lambda m: put("markdown", aside(f"`{m.group(2).strip()}`")), text)
     if "$$" in text or "\\[" in text or "\\(" in text:
         text = DISPLAY.sub(lambda m: put("latex", aside(f"${next(g for g in m.groups() if g).strip()}$")), text)
     if "$" in text:
@@ -290,13 +359,20 @@ def convert_plain(text: str, kinds: set[str], wiki: bool) -> str:
         text = from_latex(text, kinds, aside)
     if "<" in text:
         text = AUTO.sub(lambda m: put("markdown", m.group(1)), text)
-    if ("<" in text or "&" in text) and has_html(text):
-        kinds.add("html")
-        blocks: list[str] = []
-        text = from_html(text)
-        text = re.sub(r"```\n.*?\n```", lambda m: (blocks.append(m.group()), aside(m.group()))[1], text, flags=re.S)
+    if "<" in text or "&" in text:
+        text, html = from_html(text)
+        if html:
+            kinds.add("html")
+            text = re.sub(r"```\n.*?\n```", lambda m: aside(m.group()), text, flags=re.S)
+            text = re.sub(f"{SPAN}([^{SPAN}\n]*){SPAN}", lambda m: aside(f"`{m.group(1).strip()}`") if m.group(1).strip() else "", text).replace(SPAN, "")
     lines: list[str] = []
+    table = False  # inside a wiki table
     for line in text.split("\n"):
+        bare = line.strip()
+        if table and bare[:1] in ("|", "!") and not WIKI_TABLE.match(bare):
+            lines.append(" | ".join(WIKI_CELL.sub("", c).strip() for c in WIKI_NEXT.split(bare[1:])))
+            continue
+        table = (table or bare.startswith("{|")) and not bare.startswith("|}")
         new = from_line(line, lines, kinds, wiki)
         if new is not None:
             lines.append(new)
@@ -338,7 +414,7 @@ def from_latex(text: str, kinds: set[str], aside) -> str:
     text = re.sub(r"\\(?:chapter|section|part|title)\*?\{([^{}\n]*)\}", HEAD + r" \1", text)
     text = re.sub(r"\\subsection\*?\{([^{}\n]*)\}", HEAD * 2 + r" \1", text)
     text = re.sub(r"\\(?:subsubsection|paragraph)\*?\{([^{}\n]*)\}", HEAD * 3 + r" \1", text)
-    text = re.sub(r"\\item\b[ \t]*", "- ", text)
+    text = from_lists(text)
     text = re.sub(r"~?\\(?:cite[pt]?|ref|eqref|label|includegraphics)(?:\[[^\]\n]*\])?\{[^{}\n]*\}", "", text)
     text = re.sub(r"\\href\{[^{}\n]*\}\{([^{}\n]*)\}", r"\1", text)
     text = re.sub(r"\\(?:begin|end)\{[^{}\n]*\}(?:\[[^\]\n]*\])?[ \t]*", "", text)
@@ -348,6 +424,29 @@ def from_latex(text: str, kinds: set[str], aside) -> str:
     return re.sub(r"\\(?:maketitle|centering)\b", "", text)
 
 
+LATEX_LIST = re.compile(r"\\(begin|end)\{(itemize|enumerate|description)\}(?:\[[^\]\n]*\])?[ \t]*|\\item\b[ \t]*")
+
+
+def from_lists(text: str) -> str:
+    """LaTeX's lists: items with dashes or, in an enumeration, numbers, indented by their depth."""
+    open_: list[int] = []
+
+    def mark(match: re.Match) -> str:
+        if match.group(1) == "begin":
+            open_.append(0 if match.group(2) == "enumerate" else -1)
+        elif match.group(1) == "end":
+            if open_:
+                open_.pop()
+        elif open_ and open_[-1] >= 0:
+            open_[-1] += 1
+            return "  " * (len(open_) - 1) + f"{open_[-1]}. "
+        else:
+            return "  " * max(0, len(open_) - 1) + "- "
+        return ""
+
+    return LATEX_LIST.sub(mark, text)
+
+
 def from_line(line: str, before: list[str], kinds: set[str], wiki: bool) -> str | None:
     """One line's block marks; None drops the line."""
     if not line:
@@ -390,7 +489,7 @@ def from_line(line: str, before: list[str], kinds: set[str], wiki: bool) -> str
     return line
 
 
-CONVERTED = "origin string, row_id long, kinds array<string>, clean string, source string, rules int, body string"
+CONVERTED = "origin string, row_id long, kinds array<string>, clean string, source string, parts " + residue.PARTS
 
 
 def converted(texts: DataFrame, with_text: bool) -> DataFrame:
@@ -410,9 +509,9 @@ def converted(texts: DataFrame, with_text: bool) -> DataFrame:
                     [
                         origin, ids, pa.array([k for _, k in done], pa.list_(pa.string())),
                         pa.array([c if with_text else None for c, _ in done], pa.string()), source,
-                        pa.array([m and m[0] for m in marks], pa.int32()), pa.array([m and m[1] for m in marks], pa.string()),
+                        pa.array(marks, residue.ARROW_PARTS),
                     ],
-                    names=["origin", "row_id", "kinds", "clean", "source", "rules", "body"],
+                    names=["origin", "row_id", "kinds", "clean", "source", "parts"],
                 )
 
     return texts.select("origin", "row_id", "name", "source", "text").mapInArrow(run, CONVERTED)
@@ -427,7 +526,7 @@ def cleaned(repo: DataFrame, documents: DataFrame, with_text: bool = True) -> Da
     A repository's ``readme_raw`` counts as residue where its ``clean_text`` does. Code is kept as it is.
     """
     rows = materialise(converted(residue.texts_of(repo, documents, ORIGINS), with_text), "markup-converted")
-    waste = residue.residue_of(rows.where("body is not null"))
+    waste = residue.residue_of(rows.where("parts is not null"))
     both = waste.unionByName(waste.where("origin = 'clean_text'").withColumn("origin", F.lit("readme_raw")))
     return rows.select("origin", "row_id", "kinds", "clean").join(both, ["origin", "row_id"], "left_anti")
 

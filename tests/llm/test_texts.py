@@ -3,6 +3,7 @@ from __future__ import annotations
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stratlas.llm import language as L
 from stratlas.llm import markup as M
@@ -65,6 +66,35 @@ def test_markup_declares_its_language():
     assert L.markup_language('<html lang="de-AT"><p>x') == "de" and L.markup_language("<html><p lang=fr>") is None and L.markup_language("html lang=de") is None
 
 
+def test_labels_in_any_spelling(spark):
+    said = ["en-US", " EN_gb", "English (US)", "(de)", "Deutsch", "français", "русский", "中文", "日本語", "por", "sv", "-", "", "n/a", "und", None]
+    got = [r.c for r in spark.createDataFrame([(x,) for x in said], "l string").select(L.label_code(F.col("l")).alias("c")).collect()]
+    assert got == ["en", "en", "en", "de", "de", "fr", "ru", "zh", "ja", "pt", *[None] * 6]
+
+
+def test_a_foreign_language_is_none_of_the_eleven(model):
+    for text in ("이 프로그램은 큰 파일을 빠르게 읽습니다. 메모리를 적게 사용합니다.", "Аналізатор читає великі файли й не потребує багато пам'яті. Кеш можна замінити, якщо його бракує.", "Det här verktyget läser stora filer snabbt och använder lite minne. Du kan byta ut cachen om den inte räcker till."):
+        parts = L.segments(model.score([sentences(text)])[0])
+        assert len(parts) == 1 and parts[0].argmax() == len(L.LANGS)
+
+
+def test_a_line_of_names_makes_no_segment(model):
+    text = SAID["en"] + "\n\n" + SAID["zh"] + "\n\n[famuda](docs/famuda.md)."
+    assert [L.LANGS[p[:11].argmax()] for p in L.segments(model.score([sentences(text)])[0])] == ["en", "zh"]
+
+
+def test_a_hot_owner_s_prior_leaves_the_text_out(spark):
+    """Owners with a third of all rows, null owners and hosts: no row is lost or doubled, and a lone text gets its host's prior."""
+    rows = [("documents", i, "hot/x" if i % 3 == 0 else None if i % 3 == 1 else f"o{i}/p", [None, "h", "g"][i % 3], [[float(k == i % 2) for k in range(12)]], None) for i in range(900)]
+    read_ = spark.createDataFrame(rows, "origin string, row_id long, owner string, host string, segs array<array<float>>, label string")
+    joined, world = L.with_counts(L.with_votes(read_))
+    got = joined.select("row_id", "k", L.left_out_prior(world).alias("p")).collect()
+    assert len(got) == 900 == len({r.row_id for r in got}) and all(abs(sum(r.p) - 1) < 1e-9 for r in got)
+    by = {r.row_id: r for r in got}
+    assert by[0].k == 0 and abs(by[0].p[0] - by[3].p[1]) < 0.02  # 150 of either language in the hot owner, less the text's own
+    assert abs(by[2].p[0] - by[5].p[0]) < 0.02  # an owner of one text says nothing once that text is left out
+
+
 def test_wrong_missing_and_mixed_labels(spark):
     rows = []
     for i in range(220):
@@ -92,24 +122,41 @@ CONTENT = [
 ]
 
 
-@pytest.mark.parametrize("text", RESIDUE)
-def test_residue(text):
-    mark = residue.signature(text, "tool")
-    assert mark and mark[0] > 0
+#: Messages that no rule lists in full: they count where they recur over several sources.
+RECURRING = [
+    "Une erreur s'est produite. Veuillez réessayer plus tard.", "This site can't be reached. The host refused to connect.", "JavaScript is not available. We've detected that it is off in this browser.",
+    "tool\n\nYour session has expired. Please log in again.", "Just a moment... checking your browser before you go on.",
+]
+#: Ordinary sentences that only sound like messages.
+SOUNDING = ["This package requires JavaScript 12 or later to build.", "Page moved to the wiki.", "Handles too many requests gracefully.", "Answers with 404 not found."]
+TEXT = "origin string, row_id long, name string, source string, text string"
+
 
+def waste_of(spark, texts):
+    rows = [("documents", i, "tool", source, text) for i, (source, text) in enumerate(texts)]
+    return {r.row_id for r in residue.residue_of(residue.signatures(spark.createDataFrame(rows, TEXT))).collect()}
 
-@pytest.mark.parametrize("text", CONTENT)
-def test_content(text):
-    assert not residue.signature(text, "tool") or residue.signature(text, "tool")[0] == 0
+
+def test_residue_that_recurs_and_content(spark):
+    texts = [("ab"[k % 2], t) for t in [*RESIDUE, *RECURRING] for k in range(12)]
+    once = [("a", t) for t in CONTENT]
+    assert waste_of(spark, [*texts, *once]) == set(range(len(texts)))
+
+
+def test_a_single_message_counts_only_beside_a_second(spark):
+    alone = [("a", t) for t in [*RECURRING, *SOUNDING, "404 Not Found", *CONTENT]]
+    surely = [("b", t) for t in [RESIDUE[0], RESIDUE[1], RESIDUE[2], RESIDUE[3], RESIDUE[4], RESIDUE[9]]]
+    assert waste_of(spark, [*alone, *surely]) == set(range(len(alone), len(alone) + len(surely)))
 
 
 def test_unknown_messages_count_only_where_they_recur(spark):
     odd = "Kettle error: the browser said no."
-    rows = [("documents", i, f"n{i}", ["a", "b"][i % 2], odd) for i in range(6)] + [("documents", 50, "x", "a", "Pot error: the browser is fine.")]
-    texts = spark.createDataFrame(rows, "origin string, row_id long, name string, source string, text string")
-    assert {r.row_id for r in residue.residue_of(residue.signatures(texts)).collect()} == set(range(6))
+    rows = [("documents", i, f"n{i}", ["a", "b"][i % 2], odd) for i in range(12)] + [("documents", 50, "x", "a", "Pot error: the browser is fine.")]
+    texts = spark.createDataFrame(rows, TEXT)
+    assert {r.row_id for r in residue.residue_of(residue.signatures(texts)).collect()} == set(range(12))
+    assert residue.residue_of(residue.signatures(texts.unionByName(texts))).count() == 12
     one = texts.where("source = 'a'")
-    assert residue.residue_of(residue.signatures(one)).count() == 0
+    assert residue.residue_of(residue.signatures(one.unionByName(one))).count() == 0  # a row that is there twice counts once
     assert {r.row_id for r in residue.kept(texts).collect()} == {50}
 
 
@@ -138,13 +185,35 @@ def test_kinds(text, kinds):
 def test_structure_survives():
     html = "<h2>Use</h2><p>Call <code>f</code> now.</p><ul><li>one</li><li>two</li></ul><pre><code>x = 1\nif x &lt; 2:</code></pre><script>bad()</script>"
     clean, _ = M.convert(html)
-    assert "## Use" in clean and "Call f now." in clean and "- one" in clean and "- two" in clean and "```\nx = 1\nif x < 2:\n```" in clean and "bad" not in clean
+    assert "## Use" in clean and "Call `f` now." in clean and "- one" in clean and "- two" in clean and "```\nx = 1\nif x < 2:\n```" in clean and "bad" not in clean
     tex, _ = M.convert("\\section{Use}\n\\begin{itemize}\n\\item one\n\\end{itemize}\n\\[ x^2 \\]\n\\begin{verbatim}\n$ run\n\\end{verbatim}")
     assert "# Use" in tex and "- one" in tex and "$x^2$" in tex and "```\n$ run\n```" in tex
     md, _ = M.convert("Use\n---\n\n> quoted **text**\n\n```py\nx = [1](2)\n```\n\n[ref]: http://x.y")
     assert md.startswith("# Use") and "quoted text" in md and "x = [1](2)" in md and "http" not in md
 
 
+def test_lists_tables_and_code_keep_their_form():
+    html = "<ol><li>one</li><li>two<ul><li>deep</li></ul></li></ol><table><tr><th>a</th><th>b</th></tr><tr><td><p>1</p></td><td>2 <b>x</b></td></tr></table><p>so <code>a_b_c</code> it is</p>"
+    lines = M.convert(html)[0].split("\n")
+    assert [x for x in lines if x] == ["1. one", "2. two", "  - deep", "a | b", "1 | 2 x", "so `a_b_c` it is"]
+    wiki = M.convert("== Use ==\n\n{| class=x\n|+ Title\n|-\n! a !! b\n|-\n| style=\"x\" | 1 || 2\n|}\n\n'''end'''")
+    assert "a | b\n1 | 2" in wiki[0] and wiki[1] == ["wiki"]
+    tex = M.convert("\\begin{enumerate}\n\\item one\n\\begin{itemize}\n\\item deep\n\\end{itemize}\n\\item two\n\\end{enumerate}")[0]
+    assert [x for x in tex.split("\n") if x.strip()] == ["1. one", "  - deep", "2. two"]
+    assert M.convert("use `a_b` here")[0] == "use `a_b` here"
+
+
+@pytest.mark.parametrize("text,html", [("x <b>y</b>", True), ("List<int> a", False), ("Map<a, b>", False), ("a < b & c > d", False), ("R&D x &amp; y", True), ("AT&T; &nosuch;", False), ("&#65;", True), ("<!-- c -->", True), ("<nosuch>x</nosuch>", False), ("<?php x ?>", False)])
+def test_html_is_what_the_parser_meets(text, html):
+    assert M.from_html(text)[1] == html
+    assert html or M.from_html(text)[0] == text
+
+
+def test_an_unclosed_tag_hides_nothing():
+    assert "all of it stays" in M.convert("see <script> for this, all of it stays <b>here</b>")[0]
+    assert M.convert("<svg><text>gone</text></svg>kept")[0] == "kept"
+
+
 @pytest.mark.parametrize("text", ["<" * 5000, "[" * 5000, "*_" * 4000, "<a " * 3000, "`" * 4001, "''" * 3000, "$" * 3000, "&" * 4000, "{{" * 3000, "\\begin{" * 800, "<p>" * 3000, "|" * 5000, "# " * 4000, "=" * 5000])
 def test_hostile_texts_end_quickly(text):
     import time
