@@ -5,7 +5,8 @@ import random
 
 import pytest
 
-from stratlas.operators.incremental import StateStore, replay, run_once
+from stratlas.operators import incremental
+from stratlas.operators.incremental import Overtaken, StateStore, records, replay, run_once
 from stratlas.session import work_path
 
 LANDING = "fetch_id long, repo_id long, fetched_at timestamp_ntz, landed_at timestamp_ntz, embedding_input string, readme_raw string, landed string"
@@ -68,7 +69,7 @@ def test_a_run_that_dies_before_the_swap_is_repeated(spark):
     assert first.rows.count() == 1
     again = run_once(StateStore(spark, store.path), rows, "2025-01-01 02:00:00")  # the first was never committed
     assert [r.key for r in again.rows.collect()] == [7]
-    store.swap(again.version, "2025-01-01 02:00:00")
+    store.swap(again, "2025-01-01 02:00:00")
     assert store.current() == (1, "2025-01-01 02:00:00")
     assert run_once(store, rows, "2025-01-01 03:00:00").rows.count() == 0
 
@@ -78,3 +79,34 @@ def test_older_content_that_lands_late_changes_nothing(spark, late):
     rows = [(1, 1, at(5), at(5), "new", None, ""), (2, 1, at(4), at(8), "old", None, "")][: 1 + late]
     got = replay(spark.createDataFrame(rows, LANDING), spark.createDataFrame([(1, at(6), None, "ok"), (2, at(9), None, "ok")], RUN))
     assert [tuple(r) for r in got.collect()] == [(1, 1)]
+
+
+def test_of_two_runs_at_once_one_fails(spark):
+    store = StateStore(spark, work_path(spark, "state"))
+    rows = spark.createDataFrame([(1, 7, at(1), at(1), "a", None, "x"), (1, 7, at(1), at(2), "a", None, "y"), (2, 8, at(1), at(1), None, None, "z"), (3, 8, at(1), at(9), None, "later", "z")], LANDING)
+    one, two = run_once(store, rows, "2025-01-01 02:00:00"), run_once(store, rows, "2025-01-01 02:00:00")
+    assert sorted((r.repo_id, r.embedding_input, r.readme_raw) for r in records(rows, one).collect()) == [(7, "a", None), (8, None, None)]
+    store.swap(one, "2025-01-01 02:00:00")
+    with pytest.raises(Overtaken):
+        store.swap(two, "2025-01-01 02:00:00")
+    assert store.current()[0] == 1
+    store.vacuum()  # what the loser wrote goes, the state stays
+    assert {r.key for r in store.read(store.manifest()).collect()} == {7, 8}
+    assert [r.key for r in run_once(store, rows, "2025-01-01 10:00:00").rows.collect()] == [8]
+
+
+def test_a_run_writes_its_changes_and_bases_are_renewed(spark, monkeypatch):
+    monkeypatch.setattr(incremental, "MOST_PARTS", 3)
+    store = StateStore(spark, work_path(spark, "state"))
+    rows = [(i, i, at(1), at(1), "a", None, "") for i in range(100)] + [(1000 + h, h, at(h), at(h), f"b{h}", None, "") for h in range(2, 9)]
+    landings = spark.createDataFrame(rows, LANDING)
+    kinds = []
+    for h in range(1, 9):
+        take = run_once(store, landings, f"2025-01-01 0{h}:00:00")
+        assert take.rows.count() == (100 if h == 1 else 1)
+        store.swap(take, f"2025-01-01 0{h}:00:00")
+        kinds.append((len(take.manifest.parts), take.manifest.sizes[-1]))
+    assert kinds[:4] == [(1, 100), (2, 1), (3, 1), (1, 100)]
+    assert store.read(store.manifest()).where("hash is not null").count() == 100
+    store.vacuum()
+    assert store.read(store.manifest()).count() == 100 and run_once(store, landings, "2025-01-01 09:00:00").rows.count() == 0
