@@ -86,6 +86,8 @@ def higher_of(pairs: DataFrame, points: DataFrame) -> DataFrame:
 
     Pairs with a record that has no points, or a null id, give no row; repeated pairs give one.
     """
+    ids = pairs.select(F.explode(F.array("repo_a", "repo_b")).alias("id")).distinct()
+    points = materialise(points.join(ids, "id", "left_semi"), "borda-points")  # read twice, made once
     a = points.select(F.col("id").alias("repo_a"), F.col("points").alias("pa"))
     b = points.select(F.col("id").alias("repo_b"), F.col("points").alias("pb"))
     both = pairs.select("repo_a", "repo_b").distinct().join(a, "repo_a").join(b, "repo_b")

@@ -2,9 +2,10 @@
 
 Candidate passages come from winnowing: of every ``MIN`` characters at least one ``PHRASE``-character passage is
 chosen by its content alone, so two records that share a span of ``MIN`` characters have chosen a common passage.
-Passages that recur in different texts are confirmed by their characters, compiled into sharded Aho-Corasick
-automata, and the records that may hold them are streamed through to locate every occurrence; each pair of
-occurrences is then extended character by character.
+Passages that recur in different texts are confirmed by their characters and compiled into sharded Aho-Corasick
+automata, and the stretches of all records around recurring passages, ``SIDE`` characters either side, are streamed through
+to locate every occurrence; each pair of occurrences is then extended character by character. A whole text is read where it
+lies and shuffled once at most, to cut its stretches.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from stratlas.session import materialise
 
 MIN, PHRASE = 200, 100
-SHARD_PHRASES, BLOCK = 10_000, 1_000
+SIDE = MIN - PHRASE  # characters of context that decide whether an occurrence belongs to a span
+SHARD_PHRASES, SHARD_ROWS, BLOCK = 10_000, 50_000, 1_000
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -49,7 +51,7 @@ class Winnower:
         self.up, self.down = powers(1 << 16)
 
     def chosen(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """``(text number, hash, position)`` of each distinct passage hash of each text, at its first choice."""
+        """``(text number, hash, position)`` of the chosen passages of each text, wherever they were chosen."""
         codes = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in texts]
         sizes = np.array([len(c) for c in codes], np.int64)
         flat = np.concatenate(codes).astype(np.uint64) + np.uint64(1)
@@ -74,10 +76,6 @@ class Winnower:
         tops = sliding(padded, w, np.maximum)
         at = np.flatnonzero((tops == value) & (value != 0) & inside)
         text = np.searchsorted(ends, at, side="right")
-        order = np.lexsort((at, value[at], text))
-        at, text = at[order], text[order]
-        new = np.r_[True, (text[1:] != text[:-1]) | (value[at[1:]] != value[at[:-1]])] if len(at) else np.empty(0, bool)
-        at, text = at[new], text[new]
         return text, value[at].view(np.int64), at - (ends - sizes)[text]
 
 
@@ -109,8 +107,11 @@ def long_texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def copies(texts: DataFrame) -> DataFrame:
-    """``(doc_id, rep)``: each record with the smallest id of the records whose whole text is the same."""
-    keys = texts.select("doc_id", F.unhex(F.md5("text")).alias("key")).distinct()
+    """``(doc_id, rep, copied)``: each record with the smallest id of the records whose whole text is the same.
+
+    A repeated id has the text of smallest hash, here and below.
+    """
+    keys = texts.groupBy("doc_id").agg(F.min(F.unhex(F.md5("text"))).alias("key"))
     reps = keys.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     alone = reps.where("n = 1").select(F.col("rep").alias("doc_id"), "rep", F.lit(False).alias("copied"))
     many = keys.join(reps.where("n > 1"), "key").select("doc_id", "rep", F.lit(True).alias("copied"))
@@ -118,54 +119,71 @@ def copies(texts: DataFrame) -> DataFrame:
 
 
 def candidates(texts: DataFrame, members: DataFrame) -> DataFrame:
-    """``(doc_id, text, phrase, owner)`` rows: one text of each kind that chose passages other records chose too."""
+    """``(owner, doc_id, start, stretch, size)``: what surrounds each passage that other records chose too, in one text of each kind.
+
+    ``owner`` is a record that all which chose a passage know, ``size`` the text's length. Stretches that overlap and
+    have one owner are not merged here, but where they meet again.
+    """
     chosen = materialise(passages(texts), "span-passages")
     seen = chosen.groupBy("hash").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
     again = chosen.join(seen.where("owner <> last").select("hash", "owner"), "hash")
     again = again.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    lists = again.groupBy("doc_id").agg(F.collect_list(F.struct("pos", "owner")).alias("at"))  # at most a text's length
-    return materialise(texts.dropDuplicates(["doc_id"]).join(lists, "doc_id"), "span-candidates")
+    lists = again.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "owner")).alias("at"))  # at most a text's length
+    one = texts.groupBy("doc_id").agg(F.min_by("text", F.unhex(F.md5("text"))).alias("text"))
+    start = F.greatest(F.col("p.pos") - SIDE, F.lit(0))
+    cut = one.join(lists, "doc_id").select("doc_id", "text", F.length("text").alias("size"), F.explode("at").alias("p"))
+    cut = cut.where(F.col("p.pos") + PHRASE <= F.col("size"))
+    cut = cut.select("p.owner", "doc_id", "p.pos", start.alias("start"), F.substring("text", start + 1, F.col("p.pos") + PHRASE + SIDE - start).alias("stretch"), "size")
+    return materialise(cut, "span-candidates")
 
 
 def occurrences(held: DataFrame) -> DataFrame:
-    """``(phrase_id, doc_id, pos, left, right, more)``: every occurrence of the confirmed passages, with ``MIN - PHRASE`` characters of either side.
+    """``(phrase_id, doc_id, pos, left, right, more)``: every occurrence of the confirmed passages, with ``SIDE`` characters of either side.
 
     A passage is confirmed when its very characters were chosen in two records. Automata hold at most about
-    ``SHARD_PHRASES`` passages; a record goes through the automata of the passages it chose. Occurrences of a
-    passage in one record whose surroundings agree are one row, at their first place, with the further places in ``more``.
+    ``SHARD_PHRASES`` passages; a stretch goes through the automaton of the passage it was cut for, and a shard that
+    has more than ``SHARD_ROWS`` stretches is run in as many slices. Occurrences of a passage in one record whose
+    surroundings agree are one row, at their first place, with the further places in ``more``.
     """
-    spark = held.sparkSession
-    cut = held.select("doc_id", F.explode("at").alias("p"), "text")
-    cut = cut.select("doc_id", "p.owner", F.substring("text", F.col("p.pos") + 1, F.lit(PHRASE)).alias("phrase"))
-    confirmed = cut.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("owner").alias("owner")).where("a <> b")
+    phrase = F.substring("stretch", F.col("pos") - F.col("start") + 1, F.lit(PHRASE))
+    confirmed = held.groupBy(phrase.alias("phrase")).agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("owner").alias("owner")).where("a <> b")
     confirmed = materialise(confirmed.select("phrase", "owner"), "span-phrases")
     shards = max(1, math.ceil(confirmed.count() / SHARD_PHRASES))
-    slices = max(1, math.ceil(held.count() / (shards * 20_000)))
     shard = F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int")
-    phrases = confirmed.select(shard.alias("shard"), "phrase", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"))
-    owners = F.array_distinct(F.transform("at", lambda p: F.pmod(F.xxhash64(p["owner"]), F.lit(shards)).cast("int")))
-    docs = held.select("doc_id", "text", F.explode(owners).alias("shard"), F.pmod(F.xxhash64("doc_id"), F.lit(slices)).cast("int").alias("slice"))
+    rows = held.withColumn("shard", shard)
+    large = materialise(rows.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SHARD_ROWS).cast("int").alias("slices")).where("slices > 1"), "span-shards")
+    if large.count() <= 100_000:  # two numbers each; a table of more is joined like any other
+        large = F.broadcast(large)
+    slices = F.coalesce("slices", F.lit(1))
+    phrases = confirmed.withColumn("shard", shard).join(large, "shard", "left")
+    phrases = phrases.select("shard", "phrase", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
+    docs = rows.join(large, "shard", "left").select("shard", F.pmod(F.xxhash64("doc_id"), slices).cast("int").alias("slice"), "doc_id", "start", "stretch", "size")
 
     def locate(phrases: pd.DataFrame, docs: pd.DataFrame) -> pd.DataFrame:
         import ahocorasick
 
-        side = MIN - PHRASE
         machine = ahocorasick.Automaton()
         for phrase in phrases["phrase"]:
             machine.add_word(phrase, phrase)
         rows = []
-        if len(machine):
+        if len(machine) and len(docs):
             machine.make_automaton()
-            for doc, text in zip(docs["doc_id"], docs["text"]):
-                seen: dict[tuple[str, str, str], list[int]] = {}
+            docs = docs.sort_values(["doc_id", "start"], kind="stable")
+            doc, seen = None, {}
+            for one, start, text, size in merged(zip(docs["doc_id"], docs["start"], docs["stretch"], docs["size"])):
+                if one != doc:
+                    doc, seen = one, {}
+                last = start + len(text) == size
                 for end, phrase in machine.iter(text):
-                    start = end - PHRASE + 1
-                    row = (phrase, text[max(0, start - side) : start], text[end + 1 : end + 1 + side])
+                    at = end - PHRASE + 1
+                    if (at < SIDE and start) or (len(text) - end - 1 < SIDE and not last):
+                        continue  # not all that decides lies in this stretch: if it was chosen, another has it whole
+                    row = (phrase, text[max(0, at - SIDE) : at], text[end + 1 : end + 1 + SIDE])
                     if row in seen:
-                        seen[row].append(start)
+                        seen[row].append(start + at)
                     else:
                         seen[row] = []
-                        rows.append((phrase, doc, start, row[1], row[2], seen[row]))
+                        rows.append((phrase, doc, start + at, row[1], row[2], seen[row]))
         return pd.DataFrame(rows, columns=["phrase", "doc_id", "pos", "left", "right", "more"]).astype({"doc_id": "int64", "pos": "int32"})
 
     found = phrases.groupBy("shard", "slice").cogroup(docs.groupBy("shard", "slice")).applyInPandas(
@@ -175,6 +193,20 @@ def occurrences(held: DataFrame) -> DataFrame:
     return materialise(found, "span-occurrences")
 
 
+def merged(rows: Iterator[tuple]) -> Iterator[tuple]:
+    """``(doc, start, text, size)`` rows, sorted, with the overlapping stretches of a record made one."""
+    doc = start = text = size = None
+    for one, begin, stretch, length in rows:
+        if one == doc and begin <= start + len(text):
+            text += stretch[start + len(text) - begin :]
+        else:
+            if text is not None:
+                yield doc, start, text, size
+            doc, start, text, size = one, begin, stretch, length
+    if text is not None:
+        yield doc, start, text, size
+
+
 def common_end(a: str, b: str) -> int:
     return common_start(a[::-1], b[::-1])
 
