@@ -1,8 +1,7 @@
 """One ranking from several differently-scaled scores: a weighted Borda count (problem 3).
 
 No stage sorts all rows in one task, and no join key is hotter than a bound: each score is first reduced to its
-distinct values with counts (partial aggregation on the map side), the values are ranked inside range buckets
-cut at quantiles, and the buckets' offsets are added. Values that hold more than 1/``HOT`` of all rows are
+distinct values with counts (partial aggregation on the map side), and the values are ranked by prefix sums over tasks. Values that hold more than 1/``HOT`` of all rows are
 fewer than ``HOT`` per score; only these travel by broadcast, all others by a join on the value.
 """
 
@@ -12,9 +11,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from stratlas.operators.ordering import bucket_of, range_bounds
+from stratlas.operators.ordering import prefix_sums
 from stratlas.session import materialise
 
 HOT = 256
@@ -37,20 +35,14 @@ def value_points(long: DataFrame, signals: dict[str, float]) -> DataFrame:
 
     Missing scores (value null) take the mid-rank of all records, as if tied with everyone.
     """
-    counts = materialise(long.groupBy("signal", "value").agg(F.count(F.lit(1)).alias("n")), "borda-values")
-    bounds = range_bounds(counts.where("value is not null"), "signal", "value")
-    present = counts.where("value is not null").withColumn("bucket", bucket_of(F.col("signal"), F.col("value"), bounds))
-    per_bucket = present.groupBy("signal", "bucket").agg(F.sum("n").alias("size"))
-    before = W.partitionBy("signal").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    # per_bucket has at most signals × buckets rows, whatever the data's size
-    starts = per_bucket.select("signal", "bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
-    inside = W.partitionBy("signal", "bucket").orderBy("value").rowsBetween(W.unboundedPreceding, -1)
-    ranked = present.withColumn("below", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(starts), ["signal", "bucket"])
-    ranked = ranked.select("signal", "value", "n", (F.col("start") + F.col("below") + (F.col("n") + 1) / 2).alias("points"))
-    present_n = starts.join(per_bucket, ["signal", "bucket"]).groupBy("signal").agg(F.sum("size").alias("ranked_n"))
-    missing = counts.where("value is null").join(F.broadcast(present_n), "signal", "left")
+    counts = long.groupBy("signal", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(counts, "borda-values")
+    ranked = prefix_sums(counts.where("value is not null"), "signal", "value")
+    ranked = ranked.select("signal", "value", "n", (F.col("before") + (F.col("n") + 1) / 2).alias("points"), "all")
+    present = ranked.groupBy("signal").agg(F.max("all").alias("ranked_n"))  # a row per score
+    missing = counts.where("value is null").join(F.broadcast(present), "signal", "left")
     missing = missing.select("signal", "value", "n", ((F.coalesce("ranked_n", F.lit(0)) + 1) / 2).alias("points"))
-    return ranked.unionByName(missing)
+    return ranked.drop("all").unionByName(missing)
 
 
 def borda_points(scores: DataFrame, id_col: str = "repo_id", signals: dict[str, float] | tuple[str, ...] = SIGNALS) -> DataFrame:
