@@ -7,17 +7,15 @@ from pyspark.sql import functions as F
 
 from stratlas.operators import graph as G
 from stratlas.operators import sphere as H
-from stratlas.session import materialise
+from stratlas.session import materialise, release
 
 
-MOST_CENTRES = 4096
-
 
 def density_clusters(world: DataFrame, side: float = 0.02, least_cell: int = 3, least_cluster: int = 20) -> DataFrame:
     """``(repo_id, cluster_id, is_noise)``: neighbouring dense cells hang together; small and sparse ones are noise.
 
-    Only cells are joined, never pairs of records, so a cell of any size costs one row. Noise (-1 at first) takes the cluster of
-    the nearest mean of the ``MOST_CENTRES`` largest clusters. Clusters are named by the smallest id they hold.
+    Only cells are joined, never pairs of records, so a cell of any size costs one row. Noise takes the cluster of
+    the nearest mean (-1 where there is none). Clusters are named by the smallest id they hold.
     """
     points = materialise(H.placed(world).select("repo_id", "x", "y", "z", *[F.floor(F.col(c) / side).alias(f"g{c}") for c in "xyz"]), "density-points")
     cell = [f"g{c}" for c in "xyz"]
@@ -31,8 +29,28 @@ def density_clusters(world: DataFrame, side: float = 0.02, least_cell: int = 3,
     kept = groups.join(sizes.select("component"), "component", "left_semi").select(*cell, F.col("component").alias("cluster_id"))
     rows = materialise(points.join(kept, cell, "left"), "density-rows")
     means = H.spherical_means(rows.where("cluster_id is not null"), "cluster_id").select("cluster_id", "mx", "my", "mz")
-    largest = rows.where("cluster_id is not null").groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "cluster_id").limit(MOST_CENTRES)
-    centres = means.join(largest.select("cluster_id"), "cluster_id", "left_semi").select(F.col("cluster_id").alias("c"), "mx", "my", "mz")
-    away = rows.where("cluster_id is null").join(F.broadcast(centres), F.lit(True))  # at most MOST_CENTRES rows travel
-    nearest = away.groupBy("repo_id").agg(F.max_by("c", F.struct(F.round(F.col("x") * F.col("mx") + F.col("y") * F.col("my") + F.col("z") * F.col("mz"), 12), -F.col("c"))).alias("near"))
-    return rows.join(nearest, "repo_id", "left").select("repo_id", F.coalesce("cluster_id", "near", F.lit(-1)).alias("cluster_id"), F.col("cluster_id").isNull().alias("is_noise"))
+    centres = materialise(means.select(F.col("cluster_id").alias("c"), "mx", "my", "mz"), "density-centres")
+    noise = rows.where("cluster_id is null").select("repo_id", "x", "y", "z")
+    near = nearest_centres(noise, centres, side)
+    return rows.join(near, "repo_id", "left").select("repo_id", F.coalesce("cluster_id", "near", F.lit(-1)).alias("cluster_id"), F.col("cluster_id").isNull().alias("is_noise"))
+
+
+def nearest_centres(points: DataFrame, centres: DataFrame, side: float) -> DataFrame:
+    """``(repo_id, near)``: each point's nearest centre, ties to the smaller, by a grid whose cells double in side.
+
+    In each round points meet the centres in the 27 cells around their own; one that lies within a cell's side is the
+    nearest of all. The others go on to the next round, the last of which has the whole sphere in its cells.
+    """
+    spark, found, rest = points.sparkSession, None, materialise(points, "density-rest")
+    around = F.explode(F.array([F.struct(*[F.lit(v).alias(f"d{c}") for v, c in zip((a, b, d), "xyz")]) for a in (-1, 0, 1) for b in (-1, 0, 1) for d in (-1, 0, 1)]))
+    gap = F.sqrt(sum(((F.col(c) - F.col(f"m{c}")) * (F.col(c) - F.col(f"m{c}")) for c in "xyz"), F.lit(0.0)))
+    while side < 4 and rest.limit(1).count():
+        cells = centres.withColumn("s", around).select("c", "mx", "my", "mz", *[(F.floor(F.col(f"m{c}") / side) + F.col(f"s.d{c}")).alias(f"g{c}") for c in "xyz"])
+        met = rest.select("*", *[F.floor(F.col(c) / side).alias(f"g{c}") for c in "xyz"]).join(cells, ["gx", "gy", "gz"]).withColumn("gap", F.round(gap, 12))
+        near = met.where(F.col("gap") <= side).groupBy("repo_id").agg(F.min(F.struct("gap", "c")).alias("m")).select("repo_id", F.col("m.c").alias("near"))
+        near = materialise(near, "density-near")
+        found = near if found is None else found.unionByName(near)
+        rest, before = materialise(rest.join(near, "repo_id", "left_anti"), "density-rest"), rest
+        release(before)
+        side *= 2
+    return found if found is not None else spark.createDataFrame([], "repo_id long, near long")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from stratlas.session import materialise
+from stratlas.session import materialise, release
 
 
 # -- edge layers ------------------------------------------------------------------------------------------
@@ -107,6 +107,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
     base = materialise(base.select("id", F.coalesce("pushing", F.lit(False)).alias("pushing")), "pagerank-nodes")
     ranks = base.select("id", "pushing", F.lit(1.0 / n).alias("rank"))
     dangling = base.agg(F.sum(F.when(F.col("pushing"), 0.0).otherwise(1.0 / n))).first()[0]
+    last = None
     for _ in range(most):
         got = ranks.join(pushes, F.col("id") == F.col("src")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
         fresh = ranks.join(got, F.col("id") == F.col("dst"), "left").select(
@@ -114,7 +115,9 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
         )
         fresh = materialise(fresh, "pagerank-step")
         step = fresh.agg(F.sum(F.abs(F.col("rank") - F.col("old"))), F.sum(F.when(F.col("pushing"), 0.0).otherwise(F.col("rank")))).first()
-        ranks, dangling = fresh.drop("old"), step[1]
+        if last is not None:
+            release(last)  # its successor is written
+        ranks, dangling, last = fresh.drop("old"), step[1], fresh
         if step[0] <= tolerance:
             break
     return ranks.select("id", "rank")
@@ -132,10 +135,11 @@ def importance_order(ranks: DataFrame, stars: DataFrame) -> DataFrame:
 # -- components, communities ------------------------------------------------------------------------------
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``(id, component)``: the smallest id connected with each node; isolated nodes are their own.
 
-    Each round takes the smallest label around and then jumps to that label's own label, so long chains halve.
+    Each round takes the smallest label around and then jumps to that label's own label, so long chains halve. Labels
+    only fall, so the rounds end: when none has moved.
     """
     nodes = nodes.select("id").where("id is not null").distinct()
     links = edges.where("src <> dst").select("src", "dst")
@@ -143,17 +147,18 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
     links = links.join(nodes.select(F.col("id").alias("src")), "src", "left_semi").join(nodes.select(F.col("id").alias("dst")), "dst", "left_semi")
     links = materialise(links, "component-links")
     labels = materialise(nodes.select("id", F.col("id").alias("component")), "component-labels")
-    for _ in range(most):
+    last = labels
+    while True:
         near = labels.join(links, F.col("id") == F.col("src")).groupBy("dst").agg(F.min("component").alias("near"))
         step = labels.join(near, F.col("id") == F.col("dst"), "left").select("id", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
         jump = step.select(F.col("id").alias("j"), F.col("low").alias("jumped"))
         step = step.join(jump, F.col("low") == F.col("j"), "left").select("id", "component", F.least("low", F.coalesce("jumped", "low")).alias("low"))
         step = materialise(step, "component-step")
         moved = step.where("low <> component").limit(1).count()
-        labels = step.select("id", F.col("low").alias("component"))
+        release(last)  # its successor is written
+        labels, last = step.select("id", F.col("low").alias("component")), step
         if not moved:
-            break
-    return labels
+            return labels
 
 
 def component_summary(labels: DataFrame) -> DataFrame:
@@ -208,7 +213,7 @@ def many_communities(nodes: DataFrame, edges: DataFrame, resolutions: dict[int,
         graph = graph.where(F.col("run").isin(*active))
         state = materialise(graph.groupBy("run", F.col("src").alias("id")).agg(F.sum("weight").alias("k")).select("run", "id", "k", F.col("id").alias("label")), "community-degree")
         score = _level_scores(graph, state, m2, resolutions)
-        kept = dict.fromkeys(active, state)
+        kept, written = dict.fromkeys(active, state), state
         going, turn = set(active), 0
         while going and turn != passes:
             state = state.where(F.col("run").isin(*going))
@@ -224,7 +229,10 @@ def many_communities(nodes: DataFrame, edges: DataFrame, resolutions: dict[int,
             stay = F.coalesce("stay", -penalty * F.col("k") * (F.col("own_total") - F.col("k")))
             turn_of = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(2)) == turn % 2
             label = F.when(turn_of & (F.col("gain") > stay + 1e-7), F.col("to")).otherwise(F.col("label"))
-            state = materialise(moved.select("run", "id", "k", label.alias("label")), "community-pass")
+            before, written = written, materialise(moved.select("run", "id", "k", label.alias("label")), "community-pass")
+            state = written
+            if not any(before is s for s in kept.values()):
+                release(before)  # its successor is written
             for r, now in _level_scores(graph, state, m2, resolutions).items():
                 if now > score[r] + 1e-7:
                     score[r], kept[r] = now, state

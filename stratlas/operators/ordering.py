@@ -1,8 +1,9 @@
-"""Global order without a single-task sort: range buckets, ranks and ordinals by prefix sums."""
+"""Global order without a single-task sort: rows are ranged over tasks, sorted there and numbered by prefix sums.
 
-from __future__ import annotations
+The number of tasks is the session's ``spark.sql.shuffle.partitions``, so a task's share follows that setting at any size.
+"""
 
-from functools import reduce
+from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,89 +11,52 @@ from pyspark.sql.window import Window as W
 
 from stratlas.session import materialise
 
-BUCKETS = 32
-
-
-def range_bounds(df: DataFrame, group: str, value: str, buckets: int = BUCKETS) -> dict[str, list[float]]:
-    """Approximate quantile cuts of ``value`` in each of a few groups; at most groups × buckets numbers reach the driver."""
-    cuts = [i / buckets for i in range(1, buckets)]
-    rows = df.groupBy(group).agg(F.percentile_approx(value, cuts, 1000).alias("cuts")).collect()
-    return {r[0]: sorted(set(r["cuts"] or [])) for r in rows}
-
 
-def bucket_number(value: Column, cuts: list[float]) -> Column:
-    """How many of the ascending cuts lie at or below ``value``, as a balanced tree of comparisons."""
+def in_order(df: DataFrame, *order: Column) -> DataFrame:
+    """``df`` sorted over all tasks, with its ``__task`` and its ``__row`` there (from 0); written, for ranges are drawn by sample."""
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(tasks, *order).sortWithinPartitions(*order).withColumn("__m", F.monotonically_increasing_id())
+    rows = materialise(rows, "ordered")
+    return rows.select(*df.columns, F.shiftright("__m", 33).alias("__task"), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1)).alias("__row"))
 
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(value < F.lit(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(cuts))
 
+def global_positions(df: DataFrame, key: str, *tiebreak: Column, out: str = "position") -> DataFrame:
+    """1, 2, … in descending order of the numeric ``key`` (nulls last), then by ``tiebreak``.
 
-def bucket_of(group: Column, value: Column, bounds: dict[str, list[float]]) -> Column:
-    """The range bucket of ``value`` in its group."""
-    branches = [(name, bucket_number(value, cuts)) for name, cuts in sorted(bounds.items())]
-    if not branches:
-        return F.lit(0)
-    first = F.when(group == branches[0][0], branches[0][1])
-    return reduce(lambda c, x: c.when(group == x[0], x[1]), branches[1:], first).otherwise(F.lit(0))
+    Rows that agree in all of these are numbered in any order, and lie in one task.
+    """
+    rows = in_order(df, F.col(key).desc_nulls_last(), *tiebreak)
+    sizes = rows.groupBy("__task").agg(F.count(F.lit(1)).alias("__n"))
+    starts = sizes.select("__task", F.coalesce(F.sum("__n").over(W.orderBy("__task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__start"))
+    numbered = rows.join(F.broadcast(starts), "__task")  # a row per task
+    return numbered.withColumn(out, (F.col("__start") + F.col("__row") + 1).cast("long")).select(*[c for c in df.columns if c != out], out)
 
 
-def global_positions(df: DataFrame, key: str, *tiebreak: Column, out: str = "position", buckets: int = BUCKETS) -> DataFrame:
-    """1, 2, … in descending order of the numeric ``key`` (nulls last), then by ``tiebreak``.
+def prefix_sums(counts: DataFrame, group: str, value: str, n: str = "n") -> DataFrame:
+    """``counts`` with ``before``, the sum of ``n`` over smaller values of the group, and ``all``, the group's total.
 
-    Each range bucket is sorted by itself; a window over the buckets' sizes (at most ``buckets``+1 rows) gives
-    where each begins. A value held by very many rows keeps them in one bucket, so the tie-break is used to cut
-    further where one of the cuts repeats: rows of such a value are spread over sub-buckets by the tie-break.
+    ``counts`` has each value of each of a few groups once, and no null value.
     """
-    tie = tiebreak[0]
-    cuts = df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 1000).alias("c")).first()["c"] or []
-    heavy = sorted({c for c, d in zip(cuts, cuts[1:]) if c == d})
-    value = F.coalesce(F.col(key).cast("double"), F.lit(float("-inf")))
-    ordered = sorted(set(cuts))
-    bucket = bucket_number(value, ordered)
-    work = df.withColumn("__b", -bucket)
-    if heavy:
-        spread = work.where(F.col(key).isin(heavy)).withColumn("__t", tie.cast("double")).groupBy(key)
-        rows = spread.agg(F.percentile_approx("__t", [i / buckets for i in range(1, buckets)], 1000).alias("c")).collect()
-        sub = {r[0]: sorted(set(r["c"] or [])) for r in rows}
-        expr = F.lit(-1)
-        for v in heavy:
-            expr = F.when(F.col(key) == F.lit(v), bucket_number(tie.cast("double"), sub.get(v, []))).otherwise(expr)
-        # rows of the heavy value come after those above it in the same bucket, hence its own bucket number
-        above = [F.when((bucket == ordered.index(v) + 1) & (F.col(key) > F.lit(v)), F.lit(0)) for v in heavy if v in ordered]
-        half = F.coalesce(*above, F.lit(1)) if above else F.lit(1)
-        work = work.withColumn("__h", half).withColumn("__s", expr)
-    else:
-        work = work.withColumn("__h", F.lit(1)).withColumn("__s", F.lit(-1))
-    parts = ["__b", "__h", "__s"]
-    sizes = work.groupBy(*parts).agg(F.count(F.lit(1)).alias("__n"))
-    before = W.orderBy(*parts).rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select(*parts, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    inside = W.partitionBy(*parts).orderBy(F.col(key).desc_nulls_last(), *tiebreak)
-    numbered = work.withColumn("__r", F.row_number().over(inside)).join(F.broadcast(starts), parts)
-    return numbered.withColumn(out, (F.col("__start") + F.col("__r")).cast("long")).drop(*parts, "__r", "__start")
+    rows = in_order(counts, F.col(group), F.col(value))
+    inside = W.partitionBy("__task", group).orderBy("__row").rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn("__inside", F.coalesce(F.sum(n).over(inside), F.lit(0)))
+    sizes = rows.groupBy(group, "__task").agg(F.sum(n).alias("__n"))  # at most tasks + groups rows
+    earlier = F.sum("__n").over(W.partitionBy(group).orderBy("__task").rowsBetween(W.unboundedPreceding, -1))
+    starts = sizes.select(F.col(group).alias("__g"), F.col("__task").alias("__t"), F.coalesce(earlier, F.lit(0)).alias("__start"), F.sum("__n").over(W.partitionBy(group)).alias("all"))
+    done = rows.join(F.broadcast(starts), F.col(group).eqNullSafe(F.col("__g")) & (F.col("__task") == F.col("__t")))
+    return done.select(*counts.columns, (F.col("__start") + F.col("__inside")).alias("before"), "all")
 
 
-def quantiles(df: DataFrame, value: str, shares: list[float], group: Column | None = None, discrete: bool = False, buckets: int = BUCKETS) -> DataFrame:
+def quantiles(df: DataFrame, value: str, shares: list[float], group: Column | None = None, discrete: bool = False) -> DataFrame:
     """``(g, q)``: exact quantiles of ``value`` per group (few groups), interpolated or, if ``discrete``, values that occur.
 
-    Distinct values with counts are ranked inside range buckets and the buckets' sizes summed up, so no task ever holds a
-    group's values. Null and NaN values don't count; a group without values has no row.
+    Distinct values with counts are ranked by prefix sums, so no task ever holds a group's values. Null and NaN
+    values don't count; a group without values has no row.
     """
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v)).select((group if group is not None else F.lit("")).cast("string").alias("g"), v.alias("v"))
-    counts = materialise(rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n")), "quantile-values")  # read twice, made once
-    placed = counts.withColumn("b", bucket_of(F.col("g"), F.col("v"), range_bounds(counts, "g", "v", buckets)))
-    sizes = placed.groupBy("g", "b").agg(F.sum("n").alias("size"))
-    ordered = W.partitionBy("g").orderBy("b").rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.select("g", "b", F.coalesce(F.sum("size").over(ordered), F.lit(0)).alias("start"), F.sum("size").over(W.partitionBy("g")).alias("all"))
-    inside = W.partitionBy("g", "b").orderBy("v").rowsBetween(W.unboundedPreceding, -1)
-    ranked = placed.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(starts), ["g", "b"])
-    ranked = ranked.select("g", "v", "all", (F.col("start") + F.col("before")).alias("lo"), (F.col("start") + F.col("before") + F.col("n") - 1).alias("hi"))
+    counts = rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranked = prefix_sums(counts, "g", "v").select("g", "v", "all", F.col("before").alias("lo"), (F.col("before") + F.col("n") - 1).alias("hi"))
     wanted = []
     for i, p in enumerate(shares):
         at = F.greatest(F.ceil(F.lit(p) * F.col("all")) - 1, F.lit(0)) if discrete else F.lit(p) * (F.col("all") - 1)

@@ -7,9 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
-from stratlas.operators.ordering import bucket_number, quantiles
+from stratlas.operators.ordering import prefix_sums, quantiles
 
 #: Rungs of the star ladder, weights of the composite, anchors of the dependents' percentile.
 LADDER = (0, 1, 2, 3, 5, 8, 12, 20, 30, 50, 75, 100, 150, 250, 400, 600, 1000, 1500, 2500, 4000, 6000, 10000, 15000, 25000, 40000, 60000, 100000, 150000, 250000)
@@ -162,12 +161,7 @@ def describe_rank(spark: SparkSession, stars: int, scale: list[tuple[int, int]],
 
 
 def percentile_of(ranks: DataFrame, values: DataFrame) -> DataFrame:
-    """``(id, percentile)`` of each value among ``ranks``: the share not above it, by range buckets and prefix sums."""
-    cuts = ranks.agg(F.percentile_approx("rank", [i / 32 for i in range(1, 32)], 1000).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))
-    counts = ranks.where("rank is not null").groupBy("rank").agg(F.count(F.lit(1)).alias("n")).withColumn("b", bucket_number(F.col("rank"), cuts))
-    sizes = counts.groupBy("b").agg(F.sum("n").alias("size"))
-    starts = sizes.select("b", F.coalesce(F.sum("size").over(W.orderBy("b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"), F.sum("size").over(W.partitionBy(F.lit(0))).alias("all"))
-    upto = F.sum("n").over(W.partitionBy("b").orderBy("rank"))
-    table = counts.withColumn("upto", upto).join(F.broadcast(starts), "b").select("rank", ((F.col("start") + F.col("upto")) / F.col("all")).alias("percentile"))
+    """``(id, percentile)`` of each value among ``ranks``: the share not above it, by prefix sums over distinct values."""
+    counts = ranks.where("rank is not null").groupBy("rank").agg(F.count(F.lit(1)).alias("n")).withColumn("g", F.lit(0))
+    table = prefix_sums(counts, "g", "rank").select("rank", ((F.col("before") + F.col("n")) / F.col("all")).alias("percentile"))
     return values.join(table, "rank").select("id", "percentile")

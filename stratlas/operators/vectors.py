@@ -12,7 +12,7 @@ from pyspark.sql.window import Window as W
 
 from stratlas.session import materialise
 
-QUERY_CHUNK, LIST_ROWS, TRIALS = 4096, 20_000, 100
+QUERY_CHUNK, LIST_ROWS, MOST_LISTS, TRIALS = 4096, 20_000, 3_000, 100
 
 
 def doubles(v: str | Column) -> Column:
@@ -206,10 +206,16 @@ class ListIndex:
     must lie in the lists looked into.
     """
 
-    def __init__(self, base: DataFrame, id_col: str, v: str, lists: int = 32, sample_rows: int = 20_000, probes: int | None = None, recall: float = 0.97):
-        """Fitted on ``sample_rows`` rows at most (a documented bound); every row with a vector is indexed."""
+    def __init__(self, base: DataFrame, id_col: str, v: str, lists: int | None = None, sample_rows: int = 20_000, probes: int | None = None, recall: float = 0.97):
+        """Fitted on a sample of ``sample_rows`` rows at most, or 16 for each list (documented bounds); every row with a vector is indexed.
+
+        Without ``lists`` there are about as many as the root of the number of rows, and ``MOST_LISTS`` at most, for the
+        driver fits them; beyond that lists grow and are searched in chunks of ``LIST_ROWS``.
+        """
         self.id_col, self.v = id_col, v
         n = max(1, base.count())
+        lists = lists or min(MOST_LISTS, max(8, round(n**0.5)))
+        sample_rows = max(sample_rows, 16 * lists)
         share = min(1.0, 1.1 * sample_rows / n)
         hit = F.pmod(F.xxhash64(id_col), F.lit(1 << 30)) < int(share * (1 << 30))
         sample = [r[0] for r in base.where(hit & F.col(v).isNotNull()).select(doubles(v)).limit(sample_rows).collect()]
@@ -276,9 +282,14 @@ def knn_edges(neighbours: DataFrame, most_distance: float, k: int) -> DataFrame:
     return both.where("n = 2").select("a", "b", F.round("c", 4).alias("weight"))
 
 
-def adopt(orphans: DataFrame, anchors: DataFrame, id_col: str, v: str, label: str) -> DataFrame:
-    """``(id, label)``: each orphan takes the label of its most similar anchor."""
-    best = nearest(orphans, anchors, id_col, v, 1).select(F.col("query").alias("id"), F.col("id").alias("anchor"))
+def adopt(orphans: DataFrame, anchors: DataFrame, id_col: str, v: str, label: str, index: ListIndex | None = None) -> DataFrame:
+    """``(id, label)``: each orphan takes the label of its most similar anchor.
+
+    Exact, in blocks of orphans against all anchors, for a bounded set of orphans; orphans that grow with the data go
+    through an ``index`` of the anchors instead, at its recall. Orphans and anchors without a vector take and give nothing.
+    """
+    found = index.nearest(orphans, 1) if index else nearest(orphans, anchors, id_col, v, 1)
+    best = found.select(F.col("query").alias("id"), F.col("id").alias("anchor"))
     return best.join(anchors.select(F.col(id_col).alias("anchor"), label), "anchor").select("id", label)
 
 

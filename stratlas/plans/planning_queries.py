@@ -86,7 +86,7 @@ def baseline_distance(world):
 
 @query("recommended_strip", "embeddings")
 def recommended_strip(e):
-    k, tried = V.recommended_strip(e, "embedding", 64, 4)
+    k, tried = V.recommended_strip(e, "embedding", 64)
     return e.sparkSession.createDataFrame([(k, i, float(c)) for i, c in enumerate(tried)], "chosen int, stripped int, cosine double")
 
 
@@ -119,6 +119,14 @@ def nation_trade_stability(customer, orders, lineitem, supplier, nation):
     return nation.sparkSession.createDataFrame([(1.0, round(value, 6))], "time double, stability double")
 
 
+@query("domain_stability", "world", "edge")
+def domain_stability(world, edge):
+    labels = world.where("domain is not null").select(F.col("repo_id").alias("id"), F.col("domain").alias("label"))
+    edges = materialise(edge.where("src <> dst").select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight")), "stability-edges")
+    rows = [(t, round(G.stability(edges, labels, t), 6)) for t in (0.5, 1.0, 2.0)]
+    return world.sparkSession.createDataFrame(rows, "time double, stability double")
+
+
 @query("nation_trade", "customer", "orders", "lineitem", "supplier", sql="""
 select c_nationkey as src, s_nationkey as dst, count(*) as weight from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey
 where c_nationkey <> s_nationkey group by 1, 2

@@ -63,18 +63,18 @@ def nearest_vectors(e):
     return rows.select("query", "id", F.round("cosine", 6).alias("cosine"), "r")
 
 
-@query("index_recall", "embeddings")
+@query("index_recall", "embeddings", sql="select true as enough, (select count(*) from embeddings where vec_id % 100 = 0) * 10 as wanted")
 def index_recall(e):
     asked = e.where("vec_id % 100 = 0")
     exact = V.nearest(asked, e, "vec_id", "embedding", 10).select("query", "id")
     found = V.ListIndex(e, "vec_id", "embedding").nearest(asked, 10).select("query", "id", F.lit(1).alias("hit"))
-    return exact.join(found, ["query", "id"], "left").agg(F.round(F.avg(F.coalesce("hit", F.lit(0))), 6).alias("recall"), F.count(F.lit(1)).alias("wanted"))
+    return exact.join(found, ["query", "id"], "left").agg((F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("enough"), F.count(F.lit(1)).alias("wanted"))
 
 
-@query("adopted_labels", "embeddings", sql=f"with {QUERYSET} select query as id, label from r join embeddings on vec_id = r.id where r = 1")
+@query("adopted_labels", "embeddings", sql=f"""with {UNIT}, c as (select q.vec_id as id, b.label, b.vec_id as anchor, round(list_dot_product(q.v, b.v), 9) as cosine from u q join u b on q.vec_id % 100 = 0 and b.vec_id % 100 <> 0)
+select id, arg_max(label, (cosine, -anchor)) as label from c group by 1""")
 def adopted_labels(e):
-    rows = V.nearest(e.where("vec_id % 100 = 0"), e, "vec_id", "embedding", 1).select(F.col("query").alias("id"), F.col("id").alias("anchor"))
-    return rows.join(e.select(F.col("vec_id").alias("anchor"), "label"), "anchor").select("id", "label")
+    return V.adopt(e.where("vec_id % 100 = 0"), e.where("vec_id % 100 <> 0"), "vec_id", "embedding", "label")
 
 
 @query("similar_edges", "embeddings")
@@ -84,7 +84,7 @@ def similar_edges(e):
 
 @query("vector_clusters", "embeddings")
 def vector_clusters(e):
-    return V.spherical_kmeans(e, "vec_id", "embedding", 10, WIDTH, rounds=8)[0]
+    return V.spherical_kmeans(e, "vec_id", "embedding", 10, WIDTH)[0]
 
 
 def _dense(spark, sf):

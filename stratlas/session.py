@@ -73,14 +73,16 @@ def clean(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset, as in tests on one
-    machine, is a folder of our own made.
+    It is the cluster's ``spark.checkpoint.dir``; only where that is unset and all runs in this machine's
+    one process, as in tests, is a folder of our own made. Executors elsewhere couldn't read such a folder, so there it is an error.
     """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if folder is None:
         folder = context.getCheckpointDir()
     if folder is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + os.path.join(tempfile.gettempdir(), f"stratlas-{os.getpid()}")
         context.setCheckpointDir(folder)
     return folder
@@ -96,4 +98,15 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = work_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    done = spark.read.schema(df.schema).parquet(path)
+    done.work_path = path
+    return done
+
+
+def release(df: DataFrame) -> None:
+    """Remove what ``materialise`` wrote for ``df``, once nothing reads it any more; other data frames are left alone."""
+    path = getattr(df, "work_path", None)
+    if path:
+        context = df.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
