@@ -12,6 +12,7 @@ from pyspark.sql.window import Window as W
 
 from stratlas.functions.bands import ACTIVITY_BANDS, STAR_BANDS, band_of, days_before
 from stratlas.functions.judgement import gives_popularity_away
+from stratlas.operators.ordering import quantiles
 
 #: Languages with a feature of their own.
 LANGUAGES = (
@@ -27,6 +28,10 @@ def ratio(a: Column, b: Column) -> Column:
     return F.greatest(F.lit(-MOST_RATIO), F.least(F.lit(MOST_RATIO), F.coalesce(value, F.lit(0.0))))
 
 
+def plain_name(language: str) -> str:
+    return language.replace(" ", "_").replace("+", "p").replace("#", "sharp").replace("-", "_")
+
+
 def features(repo: DataFrame, now: str) -> DataFrame:
     """``id`` and numeric features: sizes, ages, ratios and flags, one per language, other and missing.
 
@@ -52,8 +57,7 @@ def features(repo: DataFrame, now: str) -> DataFrame:
         "description_share": ratio(length("description"), length("clean_text")), "issues_per_fork": ratio(n("open_issues"), n("forks")), "idle_share": ratio(idle, age),
     }
     for name in LANGUAGES:
-        plain = name.replace(" ", "_").replace("+", "p").replace("#", "sharp").replace("-", "_")
-        columns[f"language_{plain}"] = F.coalesce(language == name, F.lit(False)).cast("double")
+        columns[f"language_{plain_name(name)}"] = F.coalesce(language == name, F.lit(False)).cast("double")
     columns["language_other"] = (F.coalesce(language, F.lit("")) != "").cast("double") * (~F.coalesce(language.isin(*LANGUAGES), F.lit(False))).cast("double")
     columns["language_missing"] = (F.coalesce(language, F.lit("")) == "").cast("double")
     return repo.select("id", *[c.cast("double").alias(name) for name, c in columns.items()])
@@ -116,7 +120,7 @@ def take_smallest(strata: DataFrame, keys: tuple[str, ...], places: dict[tuple,
     spark = strata.sparkSession
     types = {f.name: f.dataType.simpleString() for f in strata.schema}
     rows = spark.createDataFrame([(*k, n) for k, n in places.items() if n > 0] or [], ", ".join(f"{k} {types[k]}" for k in keys) + ", places long")
-    work = strata.join(F.broadcast(rows), list(keys)).withColumn("h", F.xxhash64("id", F.lit(seed))).withColumn("bucket", F.shiftright("h", 54))
+    work = strata.join(F.broadcast(rows), list(keys)).withColumn("h", F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{seed}")))).withColumn("bucket", F.substring("h", 1, 3))
     counts = work.groupBy(*keys, "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("places").alias("places"))
     before = F.coalesce(F.sum("n").over(W.partitionBy(*keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     last = counts.withColumn("before", before).where("before < places").groupBy(*keys).agg(F.max("bucket").alias("last"))
@@ -139,10 +143,11 @@ def split(strata: DataFrame, share: float = 0.2, seed: int = 42) -> DataFrame:
 
 
 def bin_edges(table: DataFrame, names: list[str], bins: int = 64) -> dict[str, list[float]]:
-    """Distinct quantile edges of each feature (approximate within 1/1000), ``bins`` - 1 at most."""
-    cuts = [i / bins for i in range(1, bins)]
-    one = table.agg(*[F.percentile_approx(f"`{c}`", cuts, 1000).alias(str(i)) for i, c in enumerate(names)]).first()
-    return {c: sorted(set(one[str(i)] or [])) for i, c in enumerate(names)}
+    """Distinct quantile edges of each feature, exact and interpolated, to six places; ``bins`` - 1 at most."""
+    long = table.select(F.inline(F.array(*[F.struct(F.lit(i).alias("feature"), F.col(f"`{c}`").cast("double").alias("value")) for i, c in enumerate(names)])))
+    rows = quantiles(long, "value", [i / bins for i in range(1, bins)], F.col("feature")).collect()  # a row per feature
+    found = {int(r["g"]): sorted({round(x, 6) for x in r["q"]}) for r in rows}
+    return {c: found.get(i, []) for i, c in enumerate(names)}
 
 
 class Boosted:

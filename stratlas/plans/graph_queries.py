@@ -88,21 +88,21 @@ def mutual_pairs(events):
     return G.mutual_top_k(_scores(events), "ppmi", 12).withColumn("ppmi", F.round("ppmi", 6))
 
 
-BRANDS = """
-d as (select distinct l_orderkey as actor, p_brand as item from lineitem join part on p_partkey = l_partkey),
+TOPICS = """
+d as (select distinct id as actor, item from (select id, unnest(topics) as item from repo) where item is not null),
 s as (select actor, count(*) n from d group by 1 having count(*) between 2 and 400), b as (select d.actor, item, 1 / ln(n + 1) as w from d join s using (actor)),
 p as (select x.item as a, y.item as b, sum(x.w) as w from b x join b y on x.actor = y.actor and x.item < y.item group by 1, 2),
 i as (select item, sum(w) as w from b group by 1), t as (select sum(w) as total from (select actor, any_value(w) as w from b group by 1)),
-m as (select p.a, p.b, ln((p.w / total) / ((ia.w / total) * pow(ib.w / total, 0.75))) as ppmi, trunc(p.w)::int as observations
-      from p join i ia on ia.item = p.a join i ib on ib.item = p.b, t where p.w >= 3)
+m as (select p.a, p.b, ln((p.w / total) / ((ia.w / total) * (ib.w / total))) as ppmi, trunc(p.w)::int as observations
+      from p join i ia on ia.item = p.a join i ib on ib.item = p.b, t where p.w >= 1)
 """
 
 
-@query("brand_co_use", "lineitem", "part", sql=f"""with {BRANDS}, {ENDS}
+@query("topic_co_use", "repo", sql=f"""with {TOPICS}, {ENDS}
 select x.item as a, x.other as b, round(x.ppmi, 6) as ppmi from r x join r y on x.item = y.other and x.other = y.item where x.r <= 12 and y.r <= 12 and x.item < x.other""")
-def brand_co_use(lineitem, part):
-    events = lineitem.join(part.select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    scores = G.ppmi(G.baskets(events, "l_orderkey", "p_brand")).withColumn("ppmi", F.round("ppmi", 9))
+def topic_co_use(repo):
+    events = repo.select("id", F.explode("topics").alias("topic"))
+    scores = G.ppmi(G.baskets(events, "id", "topic"), least=1.0, smoothing=1.0).withColumn("ppmi", F.round("ppmi", 9))
     return G.mutual_top_k(scores, "ppmi", 12).withColumn("ppmi", F.round("ppmi", 6))
 
 
@@ -151,11 +151,6 @@ def top_ranked(world):
     return world.where("rank is not null").select("repo_id", F.round("rank", 9).alias("rank")).orderBy(F.desc("rank"), "repo_id").limit(100)
 
 
-@query("components", "repo", "edge")
-def components(repo, edge):
-    return G.components(repo, edge.where("kind = 1"))
-
-
 COMPONENTS = """
 with recursive e as (select distinct src a, dst b from edge where kind = 1 and src <> dst and src in (select id from repo) and dst in (select id from repo) union select dst, src from edge where kind = 1 and src <> dst and src in (select id from repo) and dst in (select id from repo)),
 c(id, label) as (select id, id from repo union select e.b, c.label from c join e on e.a = c.id where c.label < e.b),
@@ -164,7 +159,15 @@ select count(*) as components, max(n) as largest, count(*) filter (n = 1) as iso
 """
 
 
-@query("component_summary", "repo", "edge")
+LABELS = COMPONENTS.split("s as (")[0].rstrip().rstrip(",")
+
+
+@query("components", "repo", "edge", sql=LABELS + " select id, component from l")
+def components(repo, edge):
+    return G.components(repo, edge.where("kind = 1"))
+
+
+@query("component_summary", "repo", "edge", sql=COMPONENTS)
 def component_summary(repo, edge):
     return G.component_summary(components(repo, edge))
 
@@ -180,7 +183,12 @@ def domain_modularity(edge, world):
     return G.modularity(edge, labels).withColumn("modularity", F.round("modularity", 9))
 
 
-@query("disconnected_domains", "edge", "world")
+@query("disconnected_domains", "edge", "world", sql="""
+with recursive w as (select repo_id as id, domain as label from world where domain is not null),
+i as (select distinct x.id a, y.id b from edge join w x on x.id = src join w y on y.id = dst where x.label = y.label and src <> dst), e as (select a, b from i union select b, a from i),
+c(id, low) as (select id, id from w union select e.b, c.low from c join e on e.a = c.id where c.low < e.b), l as (select id, min(low) as component from c group by 1)
+select label, count(distinct component) as parts, count(*) as size from l join w using (id) group by 1 having count(distinct component) > 1
+""")
 def disconnected_domains(edge, world):
     return G.disconnected_communities(edge, world.where("domain is not null").select(F.col("repo_id").alias("id"), F.col("domain").alias("label")))
 

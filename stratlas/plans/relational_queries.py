@@ -64,12 +64,15 @@ def find_by_names(repo, documents):
     return R.by_names(repo, documents.where("full_name is not null")).select("id", "full_name")
 
 
-@query("suspect_readmes", "repo", sql="""
-select id, readme_raw from repo where length(readme_raw) > 0 and length(readme_raw) < 200 and not contains(readme_raw, chr(10))
+@query("suspect_readmes", "documents", sql="""
+with r as (select doc_id as id, text as readme_raw from documents union all select doc_id, path from documents)
+select id, readme_raw from r where length(readme_raw) > 0 and length(readme_raw) < 200 and not contains(readme_raw, chr(10))
 and not contains(readme_raw, ' ') and (contains(readme_raw, '/') or contains(readme_raw, '.'))
 """)
-def suspect_readmes(repo):
-    return R.suspect_readme(repo).select("id", "readme_raw")
+def suspect_readmes(documents):
+    """Texts and paths, as if a fetch had landed the address for some."""
+    rows = documents.select(F.col("doc_id").alias("id"), F.col("text").alias("readme_raw")).unionByName(documents.select(F.col("doc_id").alias("id"), F.col("path").alias("readme_raw")))
+    return R.suspect_readme(rows).select("id", "readme_raw")
 
 
 @query("approachable", "repo", "repo_signals", sql="""
@@ -112,9 +115,9 @@ def domain_filter(world):
     return world.select("repo_id", (F.coalesce("domain", F.lit(0)) != 2).alias("dimmed"))
 
 
-@query("coverage_fill", "repo", "world", sql="select id, stars from repo where stars >= 1000 and id not in (select repo_id from world)")
+@query("coverage_fill", "repo", "world", sql="select id, stars from repo where stars >= 10 and id not in (select repo_id from world)")
 def coverage_fill(repo, world):
-    return repo.where("stars >= 1000").join(world.select(F.col("repo_id").alias("id")), "id", "left_anti").select("id", "stars")
+    return repo.where("stars >= 10").join(world.select(F.col("repo_id").alias("id")), "id", "left_anti").select("id", "stars")
 
 
 @query("enriched_world", "repo", "repo_signals", "world", sql="""

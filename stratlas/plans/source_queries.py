@@ -20,7 +20,16 @@ def _bands(world: DataFrame) -> DataFrame:
     return S.banded_sizes(banded).join(banded.select("id", "position"), "id")
 
 
-@query("tile_points", "world")
+TILED = f"""w as (select *, round(rank, 9) as rk from world where rank is not null and theta is not null and phi is not null),
+p as (select *, row_number() over (order by rk desc, ln(1 + greatest(coalesce(stars, 0), 0)) desc, repo_id) as position, count(*) over () as n from w),
+b as (select *, case when position <= round_even(n * 0.02, 0) then 0 when position <= round_even(n * 0.02, 0) + round_even(n * 0.18, 0) then 1 else 2 end as band from p),
+r as (select *, row_number() over (partition by band order by position) i, count(*) over (partition by band) m from b),
+t as (select band, position, round_even(theta * 32767 / pi(), 0)::int as theta, least(65535, round_even((phi - 2 * pi() * floor(phi / (2 * pi()))) * 65535 / (2 * pi()), 0)::int) as phi,
+round_even(65535 * ((case band when 0 then 0.60 when 1 then 0.36 else 0.17 end) + (case when m > 1 then 1 - (i - 1) / (m - 1) else 1 end) * (case band when 0 then 0.40 when 1 then 0.24 else 0.19 end)), 0)::int as size,
+coalesce(domain, 0) as domain, (coalesce(low_signal, false)::int | (coalesce(is_archived, false)::int << 1) | (coalesce(is_fork, false)::int << 2)) as flags, position as id from r)"""
+
+
+@query("tile_points", "world", sql=f"with {TILED} select * from t")
 def tile_points(world):
     return tiles.tile_rows(world, _bands(world))
 
@@ -30,17 +39,20 @@ def flag_bits(world):
     return world.select("repo_id", tiles.flags(F.col("low_signal"), F.col("is_archived"), F.col("is_fork")).alias("flags"))
 
 
-@query("tile_files", "world")
+@query("tile_files", "world", sql=f"with {TILED} select band, ((position - 1) // 1048576)::int as part, count(*) as points, (16 + 12 * count(*))::int as bytes from t group by 1, 2")
 def tile_files(world):
     rows = tiles.tile_rows(world, _bands(world))
     return tiles.write_tiles(rows, work_path(world.sparkSession, "tiles")).select("band", "part", "points", F.length("tile").alias("bytes"))
 
 
-@query("tile_sidecars", "world", "repo_signals")
+@query("tile_sidecars", "world", "repo_signals", sql=f"""with {TILED}, n as (select band, t.position, p.full_name, case when isnan(s.criticality) then null else s.criticality end as score from t join p using (position) left join (select distinct on (repo_id) * from repo_signals) s on s.repo_id = p.repo_id)
+select band, ((position - 1) // 1048576)::int as part, list(full_name order by position) as names, list(round(score, 9) order by position) as scores from n group by 1, 2""")
 def tile_sidecars(world, signals):
+    """The sidecars' JSON read back."""
     rows = world.select(F.col("repo_id").alias("id"), "full_name").join(_bands(world), "id")
     rows = rows.join(signals.select(F.col("repo_id").alias("id"), F.nanvl("criticality", F.lit(None)).alias("score")), "id", "left")
-    return tiles.sidecars(rows)
+    read_back = F.from_json("json", "names array<string>, scores array<double>")
+    return tiles.sidecars(rows).select("band", "part", read_back.alias("j")).select("band", "part", "j.names", F.transform("j.scores", lambda x: F.round(x, 9)).alias("scores"))
 
 
 @query("api_nodes", "repo", sql="""

@@ -154,9 +154,12 @@ def quantised_positions(world):
     return world.where("theta is not null and phi is not null and rank is not null").select("repo_id", t.alias("t"), p.alias("p"), s.alias("s"))
 
 
-@query("domain_viewport", "world")
+@query("domain_viewport", "world", sql=f"""with {POS}, d as (select * from p where domain = 1), a as (select avg(x) ax, avg(y) ay, avg(z) az from d), m as (select ax / r as mx, ay / r as my, az / r as mz from (select *, sqrt(ax*ax + ay*ay + az*az) r from a)),
+s as (select mx, my, mz, greatest(0.04, max(atan2(sqrt((y*mz - z*my)**2 + (z*mx - x*mz)**2 + (x*my - y*mx)**2), x*mx + y*my + z*mz))) as spread from d, m group by 1, 2, 3)
+select round(acos(my), 6) as theta, round(sin(atan2(mz, mx)), 6) as sin_phi, round(spread, 6) as spread, round(1.18 + 1.7 * spread, 6) as altitude from s""")
 def domain_viewport(world):
-    return H.viewport(H.placed(world.where("domain = 1")))
+    seen = H.viewport(H.placed(world.where("domain = 1")))
+    return seen.select(F.round("theta", 6).alias("theta"), F.round(F.sin("phi"), 6).alias("sin_phi"), F.round("spread", 6).alias("spread"), F.round("altitude", 6).alias("altitude"))
 
 
 @query("projected_vectors", "embeddings")

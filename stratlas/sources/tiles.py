@@ -17,6 +17,9 @@ TILE_HEAD, GRAPH_HEAD = "<IIHHI", "<IIIIH6x"
 TILE_TYPE = np.dtype([("theta", "<i2"), ("phi", "<u2"), ("id", "<u4"), ("size", "<u2"), ("domain", "u1"), ("flags", "u1")])
 
 
+PART = 1 << 20  # positions in a part of a band
+
+
 class BadFile(ValueError):
     """A binary file isn't what it should be."""
 
@@ -37,8 +40,8 @@ def tile_rows(world: DataFrame, sizes: DataFrame) -> DataFrame:
 def encode_tile(rows: list, band: int = 0) -> bytes:
     """A 16-byte header (magic, points, version, band), then each attribute's array, in order of position; id 0 is reserved."""
     data = np.zeros(len(rows), TILE_TYPE)
-    for name in TILE_TYPE.names:
-        data[name] = [r[name] for r in rows]
+    for name in TILE_TYPE.names:  # a table's columns are taken as they are
+        data[name] = rows[name].to_numpy() if hasattr(rows, "columns") else [r[name] for r in rows]
     if len(rows) and not data["id"].min():
         raise BadFile("id 0 stands for no point")
     return struct.pack(TILE_HEAD, TILE, len(rows), TILE_VERSION, band, 0) + b"".join(data[n].tobytes() for n in TILE_TYPE.names)
@@ -58,18 +61,22 @@ def decode_tile(raw: bytes) -> np.ndarray:
     return out
 
 
+def part_of(position):
+    return F.floor((position - 1) / F.lit(PART)).cast("int")
+
+
 def write_tiles(rows: DataFrame, path: str) -> DataFrame:
     """One tile a band as rows of ``(band, tile, points)``, written as Parquet; a band's rows meet in one task, for a file is one.
 
-    Bands of more than 2²⁴ points are cut into parts by position, so that no task holds more than 200 MB.
+    Bands are cut into parts of ``PART`` positions, so that no task holds more than those.
     """
-    part = F.floor((F.col("position") - 1) / F.lit(1 << 24)).cast("int")
+    part = part_of(F.col("position"))
 
     def build(key, group):
         import pandas as pd
 
         group = group.sort_values("position")
-        return pd.DataFrame([{"band": key[0], "part": key[1], "tile": encode_tile(group.to_dict("records"), key[0]), "points": len(group)}])
+        return pd.DataFrame([{"band": key[0], "part": key[1], "tile": encode_tile(group, key[0]), "points": len(group)}])
 
     rows.withColumn("part", part).groupBy("band", "part").applyInPandas(build, "band int, part int, tile binary, points long").write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.parquet(path)
@@ -123,9 +130,9 @@ def read_binary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def sidecars(rows: DataFrame) -> DataFrame:
-    """``(band, json)``: column-oriented names and scores of each band in order of position; unknown scores are null, not 0."""
+    """``(band, part, json)``: column-oriented names and scores of each part of a band in order of position; unknown scores are null, not 0."""
     ordered = F.array_sort(F.collect_list(F.struct("position", "full_name", "score")))
-    return rows.groupBy("band").agg(ordered.alias("s")).select("band", F.to_json(F.struct(F.transform("s", lambda x: x["full_name"]).alias("names"), F.transform("s", lambda x: x["score"]).alias("scores")), {"ignoreNullFields": "false"}).alias("json"))
+    return rows.groupBy("band", part_of(F.col("position")).alias("part")).agg(ordered.alias("s")).select("band", "part", F.to_json(F.struct(F.transform("s", lambda x: x["full_name"]).alias("names"), F.transform("s", lambda x: x["score"]).alias("scores")), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def manifest_json(points: list[int], clusters: list[dict], extra: dict | None = None) -> str:
