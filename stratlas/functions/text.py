@@ -108,6 +108,14 @@ def sections(text: str) -> list[tuple[int, str, list[tuple[str, bool]]]]:
     return out
 
 
+def family(parts: list[tuple[int, str, list[tuple[str, bool]]]], i: int) -> list[list[tuple[str, bool]]]:
+    """The lines of a section and of the sections under it."""
+    end = i + 1
+    while end < len(parts) and parts[end][0] > parts[i][0]:
+        end += 1
+    return [lines for _, _, lines in parts[i:end]]
+
+
 def is_link_dump(lines: list[tuple[str, bool]]) -> bool:
     items = [t for t, code in lines if not code and ITEM.match(t)]
     return len(items) >= 6 and sum(bool(LINKED.match(t)) for t in items) >= 0.7 * len(items)
@@ -161,8 +169,8 @@ def truncate(text: str, most: int = 6000) -> str:
     if len(text) <= most:
         return text
     head, floor = text[:most], int(most * 0.6)
-    for mark, keep in (("\n\n", 0), (". ", 1), (" ", 0)):
-        at = head.rfind(mark)
+    for marks, keep in ((("\n\n",), 0), ((". ", ".\n", "! ", "? "), 1), ((" ",), 0)):
+        at = max(head.rfind(mark) for mark in marks)
         if at >= floor:
             return head[: at + keep].rstrip()
     return head.rstrip()
@@ -178,12 +186,13 @@ def clean_readme(raw: str | None, description: str | None = None, most: int = 60
     """A page to capability text: no badges, tags, stop sections, link dumps, long code, links or marks.
 
     Null and empty pages give empty text. Sections under a stop heading go until a heading of the same or a
-    higher level. Text and description both under 120 characters make it low signal.
+    higher level, link dumps with the sections under them, whose lines count too. Text and description both under 120 characters make it low signal.
     """
     raw = raw or ""
     text = strip_html(strip_badges(raw.replace("\r\n", "\n").replace("\r", "\n")))
     kept: list[str] = []
     dropped: list[str] = []
+    left: list[tuple[int, str, list[tuple[str, bool]]]] = []
     stop = 0
     for level, title, lines in sections(text):
         if stop and level and level <= stop:
@@ -195,9 +204,17 @@ def clean_readme(raw: str | None, description: str | None = None, most: int = 60
             if level and key and key not in dropped:
                 dropped.append(key)
             continue
-        if is_link_dump(lines):
+        left.append((level, title, lines))
+    inside = 0  # the level of the link dump that the section is in
+    for i, (level, title, lines) in enumerate(left):
+        if inside and level <= inside:
+            inside = 0
+        if level and is_link_dump([x for part in family(left, i) for x in part]):
+            inside = inside or level
+            key = heading_key(title)
             if key and key not in dropped:
                 dropped.append(key)
+        if inside:
             continue
         if level:
             kept.append(title)

@@ -65,6 +65,23 @@ def point_update(target: DataFrame, key: str, values: DataFrame, column: str) ->
     return rows.select(*target.columns)
 
 
+def recleaned(repo: DataFrame, pages: DataFrame) -> DataFrame:
+    """``repo`` with the pages of ``(full_name, readme_raw)`` laid over it: raw page, clean text, flags, input and hash change together.
+
+    Only the name goes into the new input, for that is all a fetched page comes with. Names match in any case; a
+    page without text changes nothing; of several pages of a name the longest counts (ties to the larger).
+    """
+    from stratlas.functions import text as T
+
+    one = pages.where(F.length(F.trim("readme_raw")) > 0).groupBy(F.lower("full_name").alias("__k")).agg(F.max(F.struct(F.length("readme_raw").alias("n"), "readme_raw")).alias("p"))
+    rows = repo.select("id", "full_name", F.lower("full_name").alias("__k")).join(one, "__k")
+    none = F.lit(None).cast("string")
+    rows = rows.select("id", "full_name", F.col("p.readme_raw").alias("readme_raw"), T.cleaned(F.col("p.readme_raw"), none).alias("c"))
+    made = T.embedding_input(F.element_at(F.split("full_name", "/"), -1), none, none, F.array().cast("array<string>"), F.col("c.clean_text"))
+    fresh = rows.select("id", "readme_raw", "c.clean_text", "c.low_signal", "c.non_english", F.col("c.reduction").alias("clean_reduction"), F.col("c.dropped").alias("dropped_sections"), made.alias("embedding_input"))
+    return merge_upsert(repo, fresh.withColumn("content_hash", F.sha2("embedding_input", 256)), ["id"])
+
+
 def append_run(runs: DataFrame | None, spark, **values) -> DataFrame:
     """The run log with one more row; columns that a row lacks are null."""
     row = spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} {'boolean' if isinstance(v, bool) else 'long' if isinstance(v, int) else 'double' if isinstance(v, float) else 'string'}" for k, v in values.items()))

@@ -110,6 +110,37 @@ def enrich(repo: DataFrame, rank: DataFrame, place: DataFrame, signals: DataFram
     return rows.join(signals.select(F.col("repo_id").alias("id"), "pagerank_ratio"), "id", "left")
 
 
+def valid_scores(scores: DataFrame, repo: DataFrame) -> DataFrame:
+    """The scores that still stand: made of the content that the project has now, or of one that wasn't noted (``scored_hash`` null)."""
+    now = repo.where("id is not null").groupBy(F.col("id").alias("repo_id")).agg(F.max("content_hash").alias("__now"))
+    return scores.join(now, "repo_id").where(F.col("scored_hash").isNull() | (F.col("scored_hash") == F.col("__now"))).drop("__now")
+
+
+def alternatives(edge: DataFrame, ids: DataFrame, most: int = 200, kind: int = 1) -> DataFrame:
+    """``(centre, other, weight)``: of each centre's ``most`` strongest neighbours of any kind those of ``kind``; ties by id and kind.
+
+    The bound on row_number is applied before the shuffle, so a hub sends few rows.
+    """
+    from pyspark.sql.window import Window as W
+
+    rows = edge.where("src <> dst and weight is not null").select("src", "dst", "kind", "weight")
+    ends = rows.select(F.col("src").alias("centre"), F.col("dst").alias("other"), "kind", "weight").unionByName(rows.select(F.col("dst").alias("centre"), F.col("src").alias("other"), "kind", "weight"))
+    near = ends.join(ids.select(F.col("id").alias("centre")).distinct(), "centre", "left_semi").groupBy("centre", "other", "kind").agg(F.max("weight").alias("weight"))
+    order = W.partitionBy("centre").orderBy(F.desc("weight"), "other", "kind")
+    return near.withColumn("r", F.row_number().over(order)).where(F.col("r") <= most).where(F.col("kind") == kind).select("centre", "other", "weight")
+
+
+def identities(ordered: DataFrame) -> DataFrame:
+    """``(ordinal, org, name, full_name)`` of ``(position, full_name)`` rows: the name parted at its first slash, or, where there is none, one made of the ordinal."""
+    made = F.concat(F.lit("project-"), F.substring(F.md5(F.col("position").cast("string")), 1, 6))
+    named = F.length(F.trim("full_name")) > 0
+    slash = F.instr("full_name", "/")
+    org = F.when(~named | named.isNull(), F.lit("unnamed")).when(slash > 1, F.substring("full_name", F.lit(1), slash - 1)).otherwise(F.lit(""))
+    name = F.when(~named | named.isNull(), made).when(slash > 1, F.substring("full_name", slash + 1, F.length("full_name"))).otherwise(F.col("full_name"))
+    rows = ordered.select(F.col("position").alias("ordinal"), org.alias("org"), name.alias("name"))
+    return rows.withColumn("full_name", F.when(F.col("org") == "", F.col("name")).otherwise(F.concat_ws("/", "org", "name")))
+
+
 def neighbourhood(edge: DataFrame, repo: DataFrame, ids: DataFrame, kinds: tuple[int, ...], depth: int = 1, limit: int = 500) -> DataFrame:
     """Edges at up to ``depth`` hops around each of ``ids``, the ``limit`` heaviest per centre, with both names.
 

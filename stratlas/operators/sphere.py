@@ -137,6 +137,19 @@ def regions(world: DataFrame, k: int, domains: int = 12, rounds: int = 100) -> D
     return labels.select(F.col("id").alias("repo_id"), F.col("label").alias("region")).join(F.broadcast(named), "region")
 
 
+def community_domains(world: DataFrame, labels: DataFrame, domains: int = 12, rounds: int = 100) -> DataFrame:
+    """``(label, domain)``: communities grouped by place, their size-weighted mean positions by spherical k-means.
+
+    ``labels`` are ``(id, label)``; communities without a placed member have no domain. There is a row for each community.
+    """
+    from stratlas.operators.vectors import spherical_kmeans
+
+    rows = placed(world).join(labels.select(F.col("id").alias("repo_id"), "label"), "repo_id")
+    means = spherical_means(rows, "label").select(F.col("label").alias("id"), F.array("mx", "my", "mz").alias("v"), F.col("n").cast("double").alias("w"))
+    groups, _ = spherical_kmeans(means, "id", "v", max(1, min(domains, means.count())), 3, rounds, "w")
+    return groups.select(F.col("id").alias("label"), F.col("label").alias("domain"))
+
+
 def baseline_distance(world: DataFrame, seed: int = 5) -> DataFrame:
     """Mean angle between each record and a pseudorandom other: what a map without structure would give for any pair."""
     from stratlas.operators.ordering import global_positions

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -105,6 +107,39 @@ def whiten(df: DataFrame, v: str, mean: np.ndarray, directions: np.ndarray) -> D
     return df.where(F.col(v).isNotNull()).withColumn(v, run(v))
 
 
+@dataclass
+class Basis:
+    """A mean and the leading directions of a set of vectors, to be put to others, too."""
+
+    mean: np.ndarray
+    axes: np.ndarray
+
+    @classmethod
+    def fit(cls, df: DataFrame, v: str, width: int, k: int = 48) -> Basis:
+        """The ``k`` directions of largest variance, from the Gram matrix of all rows; a direction's largest entry is positive."""
+        mean, axes = fit_whitening(df, v, width, min(k, width))
+        sign = np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])
+        return cls(mean, axes * np.where(sign == 0, 1, sign)[:, None])
+
+    def reduce(self, df: DataFrame, v: str) -> DataFrame:
+        """``df`` with ``v`` less the mean along each direction; rows without a vector keep null, and one of another width raises."""
+        mean, axes = self.mean, self.axes
+
+        @F.pandas_udf("array<double>")
+        def run(s: pd.Series) -> pd.Series:
+            return pd.Series([None if x is None else (np.asarray(x, float) - mean) @ axes.T for x in s])
+
+        return df.withColumn(v, run(v))
+
+    def to_json(self) -> str:
+        return json.dumps({"mean": self.mean.tolist(), "axes": self.axes.tolist()})
+
+    @classmethod
+    def from_json(cls, text: str) -> Basis:
+        held = json.loads(text)
+        return cls(np.array(held["mean"]), np.array(held["axes"]))
+
+
 def sums_by(df: DataFrame, v: str, width: int, *keys: str) -> DataFrame:
     """``(keys, n, total, squares)``: count, vector sum and summed squared lengths; the sums combine on the map side."""
     cols = [F.sum(F.col(v)[i].cast("double")).alias(f"__{i}") for i in range(width)]

@@ -7,6 +7,7 @@ from stratlas.plans import (  # noqa: F401
     incremental_queries,
     learn_queries,
     planning_queries,
+    record_queries,
     relational_queries,
     scoring_queries,
     source_queries,

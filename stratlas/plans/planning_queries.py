@@ -105,8 +105,8 @@ def graph_checks(repo, world, edge):
     ordered = G.importance_order(ranks, repo)
     links = G.unit_weights(edge.where("src <> dst and weight is not null").groupBy("src", "dst", "kind").agg(F.max("weight").alias("weight")))
     raw = tiles.graph_file(ordered, links, G.backbone(links, ranks))
-    bad = tiles.check_graph(tiles.decode_graph(raw))
-    return repo.sparkSession.createDataFrame([(len(raw), len(bad), ", ".join(bad))], "bytes long, faults int, what string")
+    facts = tiles.graph_facts(tiles.decode_graph(raw))
+    return repo.sparkSession.createDataFrame([(name, bool(ok)) for name, ok in facts.items()], "check string, ok boolean")
 
 
 @query("nation_trade_stability", "customer", "orders", "lineitem", "supplier", "nation")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections import OrderedDict
 
@@ -12,15 +13,41 @@ from stratlas.operators import relational as R
 from stratlas.operators import search as L
 from stratlas.operators import vectors as V
 
+#: How long a client may keep an answer, by what it is.
+KEEP = {"tile": "public, max-age=31536000, immutable", "page": "public, max-age=300", "search": "public, max-age=60", "health": "no-store"}
 KINDS = {"dependency": (0, 2), "all": (0, 1, 2)}
 
 
+class Locks:
+    """Locks by key in this process, each with an end."""
+
+    def __init__(self, clock=time.monotonic):
+        self.clock, self.ends, self.guard = clock, {}, threading.Lock()
+
+    def add(self, key, seconds: float) -> bool:
+        with self.guard:
+            now = self.clock()
+            if self.ends.get(key, now) > now:
+                return False
+            self.ends[key] = now + seconds
+            return True
+
+    def release(self, key) -> None:
+        with self.guard:
+            self.ends.pop(key, None)
+
+
 class Kept:
     """At most ``most`` answers, none older than ``seconds``."""
 
     def __init__(self, seconds: float, most: int = 1000, clock=time.monotonic):
         self.seconds, self.most, self.clock, self.rows = seconds, most, clock, OrderedDict()
 
+    def peek(self, key, default=None):
+        """The value kept for a key, else the default."""
+        held = self.rows.get(key)
+        return held[1] if held and self.clock() - held[0] < self.seconds else default
+
     def get(self, key, make):
         now = self.clock()
         if key in self.rows and now - self.rows[key][0] < self.seconds:
@@ -33,6 +60,30 @@ class Kept:
         return value
 
 
+class SingleFlight:
+    """One maker for each key at a time: the first caller makes the value, the others wait for it and take it.
+
+    ``locks`` is any store with ``add(key, seconds)``, true for the first until it is released or its time is up, so that a
+    caller that died doesn't block a key for ever, and ``release(key)``.
+    """
+
+    def __init__(self, kept: Kept, locks: Locks | None = None, seconds: float = 60.0, pause: float = 0.05, sleep=time.sleep):
+        self.kept, self.locks, self.seconds, self.pause, self.sleep = kept, locks or Locks(), seconds, pause, sleep
+
+    def get(self, key, make):
+        missing = object()
+        while True:
+            value = self.kept.peek(key, missing)
+            if value is not missing:
+                return value
+            if self.locks.add(key, self.seconds):
+                try:
+                    return self.kept.get(key, make)
+                finally:
+                    self.locks.release(key)
+            self.sleep(self.pause)
+
+
 class Server:
     """Answers over the catalogue's tables; ``vectors`` (id, v) and an ``embed`` function for queries are optional."""
 

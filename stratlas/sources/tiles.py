@@ -125,6 +125,43 @@ def check_graph(g: dict[str, np.ndarray]) -> list[str]:
     return bad
 
 
+def graph_facts(g: dict[str, np.ndarray], most_arcs: int = 900, per_node: int = 4) -> dict[str, bool]:
+    """What should hold of a decoded graph, each by its name."""
+    n, rank, at = len(g["rank"]), g["rank"].astype(float), g["offsets"].astype(np.int64)
+    rows, targets, packed = np.repeat(np.arange(n), np.diff(at)), g["targets"].astype(np.int64), g["weights"].astype(np.int64)
+    out, kind, level = packed >> 15, packed >> 13 & 3, packed & 8191
+    ends = g["ambient"].astype(np.int64).reshape(-1, 2)
+    inside = (targets < n).all() and (ends < n).all()
+    entry = np.stack([rows, targets, kind, level, out], 1)
+    mirror = np.stack([targets, rows, kind, level, 1 - out], 1)
+    same = lambda a, b: a.shape == b.shape and (a[np.lexsort(a.T)] == b[np.lexsort(b.T)]).all()
+    pairs = np.sort(ends, axis=1)
+    return {
+        "ranks are positive": bool((rank > 0).all()), "ranks sum to 1": not n or abs(rank.sum() - 1) <= 1e-3, "ranks don't rise": n < 2 or not (np.diff(g["rank"]) > 1e-9).any(),
+        "ranks spread": n < 100 or rank.max() > 10 * rank.min(), "offsets begin at 0": at[0] == 0, "offsets don't fall": bool((np.diff(at) >= 0).all()), "offsets end with the targets": at[-1] == len(targets),
+        "ends are nodes": bool(inside), "each entry has its mirror": bool(same(entry, mirror)), "no loops": not (rows == targets).any(), "no entry twice": len(np.unique(entry, axis=0)) == len(entry),
+        "kinds are known": bool((kind <= 2).all()), "as many in as out": int(out.sum()) * 2 == len(out), "arcs are few": len(ends) <= most_arcs, "no arc twice": len(np.unique(pairs, axis=0)) == len(pairs),
+        "arcs spread over nodes": not len(ends) or int(np.bincount(ends.ravel(), minlength=1).max()) <= per_node, "arcs join strong nodes": not len(ends) or not inside or rank[ends.ravel()].mean() >= rank.mean(),
+    }
+
+
+def tile_checks(rows: DataFrame) -> DataFrame:
+    """``(check, ok)`` of tile rows: ranges, unique ids, positions without gaps, bands in order and of their sizes; one pass and no join."""
+    one = rows.agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.min("position").alias("first"), F.max("position").alias("last"), F.count_distinct("position").alias("positions"),
+        F.min("theta").alias("t0"), F.max("theta").alias("t1"), F.min("phi").alias("p0"), F.max("phi").alias("p1"), F.min("size").alias("s0"), F.max("size").alias("s1"), F.min("domain").alias("d0"), F.max("domain").alias("d1"), F.min("flags").alias("f0"), F.max("flags").alias("f1"),
+        *[f(F.when(F.col("band") == b, F.col(c))).alias(f"{n}{b}_{c}") for b in range(3) for c in ("position", "size") for n, f in (("lo", F.min), ("hi", F.max))], *[F.count_if(F.col("band") == b).alias(f"n{b}") for b in range(3)],
+    )
+    c = F.col
+    checks = {
+        "ids are unique": c("ids") == c("n"), "positions have no gap": (c("first") == 1) & (c("last") == c("n")) & (c("positions") == c("n")), "theta in range": c("t0").between(0, 32767) & c("t1").between(0, 32767),
+        "phi in range": c("p0").between(0, 65535) & c("p1").between(0, 65535), "size in range": c("s0").between(0, 65535) & c("s1").between(0, 65535), "domain fits": c("d0").between(0, 255) & c("d1").between(0, 255), "flags fit": c("f0").between(0, 7) & c("f1").between(0, 7),
+        "bands follow one another": (c("hi0_position") < c("lo1_position")) & (c("hi1_position") < c("lo2_position")), "sizes fall by band": (c("lo0_size") >= c("hi1_size")) & (c("lo1_size") >= c("hi2_size")),
+        "first band is a fiftieth": c("n0") == F.rint(c("n") * 0.02), "second band is 18 of 100": c("n1") == F.rint(c("n") * 0.18), "bands are all": c("n0") + c("n1") + c("n2") == c("n"),
+    }
+    return one.select(F.inline(F.array(*[F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(False)).alias("ok")) for k, v in checks.items()])))
+
+
 def read_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content", "length")
 
