@@ -107,7 +107,7 @@ def test_quantiles_are_exact(spark, discrete):
     rng = random.Random(6)
     rows = [(rng.choice("ab"), rng.choice([None, float("nan"), 0.0, 0.0, 0.0, rng.gauss(0, 9)])) for _ in range(700)]
     shares = [0.0, 0.01, 0.5, 0.99, 1.0]
-    got = {r.g: r.q for r in quantiles(spark.createDataFrame(rows, "k string, v double"), "v", shares, F.col("k"), discrete, 8).collect()}
+    got = {r.g: r.q for r in quantiles(spark.createDataFrame(rows, "k string, v double"), "v", shares, F.col("k"), discrete).collect()}
     for key in "ab":
         values = np.array([v for k, v in rows if k == key and v is not None and v == v])
         assert np.allclose(got[key], np.quantile(values, shares, method="inverted_cdf" if discrete else "linear"))
