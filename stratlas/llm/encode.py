@@ -32,7 +32,6 @@ def encode_ids(
     their names, are ignored; an empty table gives an empty table. Strings of special tokens in a text are
     ordinary text.
     """
-    path = vocabulary or vocabulary_path()
     narrow = docs.select(docs[id_col], docs[text_col].cast("string"))
     schema = T.StructType(
         [
@@ -42,7 +41,7 @@ def encode_ids(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(path)
+        bpe = encoder(vocabulary or vocabulary_path())
         for batch in batches:
             for at in range(0, batch.num_rows, 2_000):
                 part = batch.slice(at, 2_000)

@@ -46,12 +46,11 @@ def token_blocks(docs: DataFrame, sources: list[str], block_len: int = 4096, voc
     loses tokens: long ones run over several blocks, short ones share one. The blocks are written once to the
     shared folder, for their numbers must not change when an executor is lost.
     """
-    path = vocabulary or vocabulary_path()
     wanted = docs.select(source_key(F.col("source")).alias("source"), F.col("text").cast("string").alias("text"))
     wanted = wanted.where(F.col("source").isin(sources) & (F.col("text") != "")).withColumn("task", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, open_, seq, task = encoder(path), {}, {}, 0
+        bpe, open_, seq, task = encoder(vocabulary or vocabulary_path()), {}, {}, 0
 
         def out(rows: list[tuple[str, np.ndarray]]) -> pa.RecordBatch:
             numbers = []

@@ -129,7 +129,9 @@ def candidates(texts: DataFrame, members: DataFrame) -> DataFrame:
     again = chosen.join(seen.where("owner <> last").select("hash", "owner"), "hash")
     again = again.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     lists = again.groupBy("doc_id").agg(F.collect_set(F.struct("pos", "owner")).alias("at"))  # at most a text's length
-    one = texts.groupBy("doc_id").agg(F.min_by("text", F.unhex(F.md5("text"))).alias("text"))
+    lists = materialise(lists, "span-lists")
+    # only the texts that are cut are shuffled, and none where the list of their ids is small enough to travel
+    one = texts.join(lists.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by("text", F.unhex(F.md5("text"))).alias("text"))
     start = F.greatest(F.col("p.pos") - SIDE, F.lit(0))
     cut = one.join(lists, "doc_id").select("doc_id", "text", F.length("text").alias("size"), F.explode("at").alias("p"))
     cut = cut.where(F.col("p.pos") + PHRASE <= F.col("size"))

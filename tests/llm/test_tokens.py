@@ -45,6 +45,16 @@ def test_long_words_of_few_letters(both, text):
     assert ids(bpe, [text, word]) == [known.encode(t, add_special_tokens=False).ids for t in (text, word)]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_long_words_of_many_letters(both, seed):
+    """Words over the bound of the matrices, of letters, digits or signs: all occurrences of a pair merge in one round there."""
+    bpe, known = both
+    rng = np.random.default_rng(seed)
+    alphabet = ["etaoinshrdlu", "abcdefghijklmnopqrstuvwxyzäöüß", "0123456789", "-=_*#.", "日本語文書解析器可以读取", "aab"][seed]
+    words = ["".join(rng.choice(list(alphabet), rng.integers(150, 2500))) for _ in range(12)]
+    assert ids(bpe, words) == [e.ids for e in known.encode_batch(words, add_special_tokens=False)]
+
+
 def test_round_trip(both):
     bpe, known = both
     assert [known.decode(x, skip_special_tokens=False) for x in ids(bpe, TEXTS[:-1])] == TEXTS[:-1]
