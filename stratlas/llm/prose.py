@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from unicodedata import normalize
 
 TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->")
 HEADING = re.compile(r"\s*(?:#{1,6}\s|={1,6}[^=].*=\s*$|\\(?:sub)*section|\\(?:title|chapter|paragraph)\b|<h[1-6]\b|<title\b|[=~-]{3,}\s*$|\|)", re.I)
@@ -56,5 +57,7 @@ def sentences(text: str) -> list[str]:
         for part in END.split(line):
             part = part.strip(" \t\r*_'\"»«>)-")
             if part:
+                if not part.isascii():
+                    part = normalize("NFKC", part)  # letters made of several signs, or of mathematical ones, as one plain letter
                 (out if part[-1] in LAST or part.count(" ") >= 8 else short).append(part)
     return out or short

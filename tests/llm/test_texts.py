@@ -78,6 +78,13 @@ def test_a_foreign_language_is_none_of_the_eleven(model):
         assert len(parts) == 1 and parts[0].argmax() == len(L.LANGS)
 
 
+def test_letters_in_other_forms_are_the_same_letters():
+    import unicodedata
+
+    plain = "Für größere Dateien genügt ein einfacher Aufruf."
+    assert sentences(unicodedata.normalize("NFD", plain)) == [plain] and sentences("𝐁𝐨𝐥𝐝 words are words.") == ["Bold words are words."]
+
+
 def test_a_line_of_names_makes_no_segment(model):
     text = SAID["en"] + "\n\n" + SAID["zh"] + "\n\n[famuda](docs/famuda.md)."
     assert [L.LANGS[p[:11].argmax()] for p in L.segments(model.score([sentences(text)])[0])] == ["en", "zh"]
