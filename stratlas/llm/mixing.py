@@ -34,6 +34,9 @@ BLOCKS = T.StructType(
 )
 
 
+MOST_STARTS = 500_000  # rows of three short values
+
+
 def source_key(column):
     """Sources count regardless of case and outer blanks."""
     return F.lower(F.trim(column))
@@ -98,11 +101,15 @@ def token_blocks(docs: DataFrame, sources: list[str], block_len: int = 4096, voc
 def numbered(blocks: DataFrame) -> DataFrame:
     """Blocks with ``block_no``, 0, 1, … within their source.
 
-    The prefix sum runs over one row per (source, task): at most the mix's sources times the scan's tasks.
+    The prefix sum runs over one row per (source, task): at most the mix's sources times the scan's tasks. While these are
+    at most ``MOST_STARTS`` they travel to the blocks, which are then not shuffled for their numbers; more are joined by key.
     """
     counts = blocks.groupBy("source", "task").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("source").orderBy("task").rowsBetween(W.unboundedPreceding, -1)
     starts = counts.select("source", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    starts = materialise(starts, "mix-starts")
+    if starts.count() <= MOST_STARTS:
+        starts = F.broadcast(starts)
     return blocks.join(starts, ["source", "task"]).withColumn("block_no", F.col("start") + F.col("seq")).drop("start")
 
 
