@@ -154,8 +154,8 @@ def baseline_distance(world: DataFrame, seed: int = 5) -> DataFrame:
     """Mean angle between each record and a pseudorandom other: what a map without structure would give for any pair."""
     from stratlas.operators.ordering import global_positions
 
-    rows = placed(world).select(F.col("repo_id").alias("id"), "x", "y", "z").withColumn("h", F.xxhash64("id", F.lit(seed)) / F.lit(float(2**63)))
-    numbered = global_positions(rows, "h", F.col("id"), out="i")
+    rows = placed(world).select(F.col("repo_id").alias("id"), "x", "y", "z").withColumn("h", F.lit(0))
+    numbered = global_positions(rows, "h", F.md5(F.concat(F.col("id").cast("string"), F.lit(f"-{seed}"))), F.col("id"), out="i")
     n = numbered.agg(F.count(F.lit(1)).alias("n"))
     a = numbered.join(F.broadcast(n), F.lit(True)).select(F.struct("x", "y", "z").alias("a"), (F.col("i") % F.col("n") + 1).alias("j"))
     b = numbered.select(F.struct("x", "y", "z").alias("b"), F.col("i").alias("j"))

@@ -133,9 +133,17 @@ def pagerank_5(repo, edge):
     return G.pagerank(repo, layers(edge), tolerance=0.0, most=5).withColumn("rank", F.round("rank", 12))
 
 
-@query("pagerank", "repo", "edge")
+PAGERANK = f"""with recursive {LAYER_SQL}, c as (select count(*)::double as n from repo), k as (select src, dst, sum(weight) as weight from l where src in (select id from repo) and dst in (select id from repo) and weight <> 0 group by 1, 2),
+o as (select src, sum(weight) as s from k group by 1), h as (select k.src, dst, weight / s as share from k join o using (src)),
+r(i, id, rank) as (select 0, id, 1 / n from repo, c union all
+  select x.i + 1, x.id, 0.15 / n + 0.85 * (coalesce(got, 0) + m / n) from r x left join (select h.dst as id, sum(r.rank * h.share) as got from r join h on h.src = r.id group by 1) g using (id), c,
+  (select coalesce(sum(rank), 0) as m from r where id not in (select src from o)) d where x.i < 170)
+select id, round(rank, 7) as rank from r where i = 170"""
+
+
+@query("pagerank", "repo", "edge", sql=PAGERANK)
 def pagerank(repo, edge):
-    return G.pagerank(repo, layers(edge), tolerance=1e-8)
+    return G.pagerank(repo, layers(edge)).withColumn("rank", F.round("rank", 7))
 
 
 @query("importance_order", "repo", "world", sql="""
@@ -227,10 +235,18 @@ def focus_arcs(edge, pairs):
     return ends.join(pairs.select(F.col("repo_a").alias("centre")).distinct(), "centre", "left_semi")
 
 
-@query("backbone", "edge", "world")
+@query("backbone", "edge", "world", sql="""
+with recursive k as (select repo_id as id, rank from world where rank is not null), s as (select src, dst, coalesce(weight, 0) * sqrt(x.rank * y.rank) as score from edge join k x on x.id = src join k y on y.id = dst where src <> dst),
+a as (select row_number() over (order by score desc, src, dst) as i, src, dst, score from s),
+g(i, ends, pairs, taken) as (select 0::bigint, []::bigint[], []::varchar[], false union all
+  select a.i, case when ok then list_concat(ends, [src, dst]) else ends end, case when ok then list_append(pairs, pair) else pairs end, ok from
+  (select g.i as at, ends, pairs, a.*, least(src, dst) || '-' || greatest(src, dst) as pair, len(list_filter(ends, lambda e: e = src)) < 4 and len(list_filter(ends, lambda e: e = dst)) < 4 and not list_contains(pairs, least(src, dst) || '-' || greatest(src, dst)) as ok
+   from g join a on a.i = g.i + 1 where len(pairs) < 900) a)
+select src, dst, round(score, 9) as score from g join a using (i) where taken
+""")
 def backbone(edge, world):
     ranks = world.where("rank is not null").select(F.col("repo_id").alias("id"), "rank")
-    return G.backbone(edge.select("src", "dst", "weight"), ranks)
+    return G.backbone(edge.select("src", "dst", "weight"), ranks).withColumn("score", F.round("score", 9))
 
 
 @query("star_score_disagreement", "repo_signals", sql="""

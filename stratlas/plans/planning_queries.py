@@ -19,7 +19,17 @@ def text_embeddings(repo):
     return clients.embed(repo, "id", "embedding_input", 64).select("id", F.round(V.norm(F.col("v")), 4).alias("norm"))
 
 
-@query("density_clusters", "world")
+@query("density_clusters", "world", sql="""
+with recursive p as (select repo_id, sin(theta) * cos(phi) x, cos(theta) y, sin(theta) * sin(phi) z from world where theta is not null and phi is not null),
+q as (select *, floor(x / 0.02)::bigint gx, floor(y / 0.02)::bigint gy, floor(z / 0.02)::bigint gz from p),
+c as (select gx, gy, gz, count(*) n, min(repo_id) id from q group by 1, 2, 3 having count(*) >= 3),
+e as (select a.id a, b.id b from c a join c b on abs(a.gx - b.gx) <= 1 and abs(a.gy - b.gy) <= 1 and abs(a.gz - b.gz) <= 1 and a.id <> b.id),
+w(id, low) as (select id, id from c union select e.b, w.low from w join e on e.a = w.id where w.low < e.b), l as (select id, min(low) as component from w group by 1),
+s as (select component from l join c using (id) group by 1 having sum(n) >= 20), t as (select q.*, component from q left join (c join l using (id) join s using (component)) using (gx, gy, gz)),
+m as (select component, ax / r mx, ay / r my, az / r mz from (select *, sqrt(ax*ax + ay*ay + az*az) r from (select component, avg(x) ax, avg(y) ay, avg(z) az from t where component is not null group by 1))),
+f as (select repo_id, arg_min(m.component, (round(sqrt((x - mx) * (x - mx) + (y - my) * (y - my) + (z - mz) * (z - mz)), 12), m.component)) as near from t, m where t.component is null group by 1)
+select repo_id, coalesce(component, near, -1) as cluster_id, component is null as is_noise from t left join f using (repo_id)
+""")
 def density_clusters(world):
     return density.density_clusters(world)
 
@@ -79,7 +89,11 @@ def regions(world):
     return sphere.regions(world, max(1, min(400, sphere.placed(world).count() // 20)))
 
 
-@query("baseline_distance", "world")
+@query("baseline_distance", "world", sql="""
+with p as (select repo_id, sin(theta) * cos(phi) x, cos(theta) y, sin(theta) * sin(phi) z from world where theta is not null and phi is not null),
+o as (select *, row_number() over (order by md5(repo_id || '-5'), repo_id) i, count(*) over () n from p)
+select round(avg(atan2(sqrt((a.y*b.z - a.z*b.y)**2 + (a.z*b.x - a.x*b.z)**2 + (a.x*b.y - a.y*b.x)**2), a.x*b.x + a.y*b.y + a.z*b.z)), 6) as mean_distance, count(*) as pairs from o a join o b on b.i = a.i % a.n + 1
+""")
 def baseline_distance(world):
     return sphere.baseline_distance(world)
 
