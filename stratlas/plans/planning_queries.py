@@ -14,7 +14,7 @@ from stratlas.session import materialise, read
 from stratlas.sources import clients, tiles
 
 
-@query("text_embeddings", "repo")
+@query("text_embeddings", "repo", sql="select id, 1.0::double as norm from repo where length(trim(embedding_input)) > 0")
 def text_embeddings(repo):
     return clients.embed(repo, "id", "embedding_input", 64).select("id", F.round(V.norm(F.col("v")), 4).alias("norm"))
 
@@ -129,7 +129,18 @@ def graph_checks(repo, world, edge):
     return repo.sparkSession.createDataFrame([(name, bool(ok)) for name, ok in facts.items()], "check string, ok boolean")
 
 
-@query("nation_trade_stability", "customer", "orders", "lineitem", "supplier", "nation")
+STABILITY = """
+b as (select src, dst, sum(w) as w from (select src, dst, w from links where src <> dst union all select dst, src, w from links where src <> dst) group by 1, 2), o as (select src, sum(w) as k from b group by 1),
+w as (select b.src, dst, w / k as p from b join o using (src)), a as (select o.src as id, label, k / (select sum(k) from o) as pi from o join labels on labels.id = o.src),
+t(time, n, id, c, x) as (select time, 0, id, label, 1.0::double from a, times union all
+  select time, n + 1, id, c, x from (select time, n, id, c, sum(x) * time / (n + 1) as x from (select t.time, t.n, w.src as id, t.c, p * x as x from w join t on t.id = w.dst union all select time, n, id, c, -x from t) where n < 12 group by 1, 2, 3, 4)),
+z as (select time, sum(pi * x) as kept from t join a using (id) where c = label group by 1), u as (select sum(s * s) as chance from (select sum(pi) as s from a group by label))
+select times.time, round(coalesce(kept, 0) - coalesce(chance, 0), 6) as stability from times left join z using (time), u
+"""
+
+
+@query("nation_trade_stability", "customer", "orders", "lineitem", "supplier", "nation", sql=f"""with recursive links as (select c_nationkey as src, s_nationkey as dst, count(*)::double as w from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join supplier on s_suppkey = l_suppkey where c_nationkey <> s_nationkey group by 1, 2),
+labels as (select n_nationkey as id, n_regionkey as label from nation), times as (select 1.0::double as time), {STABILITY}""")
 def nation_trade_stability(customer, orders, lineitem, supplier, nation):
     trade = lineitem.join(orders.select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")), "l_orderkey")
     trade = trade.join(customer.select("c_custkey", F.col("c_nationkey").alias("src")), "c_custkey").join(supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst")), "l_suppkey")
@@ -139,7 +150,8 @@ def nation_trade_stability(customer, orders, lineitem, supplier, nation):
     return nation.sparkSession.createDataFrame([(1.0, round(value, 6))], "time double, stability double")
 
 
-@query("domain_stability", "world", "edge")
+@query("domain_stability", "world", "edge", sql=f"""with recursive links as (select src, dst, coalesce(weight, 1.0)::double as w from edge), labels as (select repo_id as id, domain as label from world where domain is not null),
+times as (select unnest([0.5, 1.0, 2.0])::double as time), {STABILITY}""")
 def domain_stability(world, edge):
     labels = world.where("domain is not null").select(F.col("repo_id").alias("id"), F.col("domain").alias("label"))
     edges = materialise(edge.where("src <> dst").select("src", "dst", F.coalesce("weight", F.lit(1.0)).alias("weight")), "stability-edges")

@@ -123,7 +123,10 @@ def fused_search(repo, signals):
     return L.hybrid(repo, TEXT_QUERY, dense)
 
 
-@query("approachable_search", "repo", "repo_signals")
+@query("approachable_search", "repo", "repo_signals", sql=f"""with {LEX}
+l as (select id, row_number() over (order by score desc, stars desc, id) as r from s qualify r <= 100),
+a as (select r.id from repo r join repo_signals g on g.repo_id = r.id where not coalesce(is_archived, false) and license is not null and pushed_at > timestamp '2024-01-01' and g.criticality >= 0.01 and not isnan(g.criticality))
+select id, round(1.0 / (60 + r), 12) as score from l where id in (select id from a) order by score desc, id limit 50""")
 def approachable_search(repo, signals):
     ease = signals.where(~F.isnan("criticality")).select(F.col("repo_id").alias("id"), F.col("criticality").alias("ease"))
     return L.hybrid(repo, TEXT_QUERY, None, 50, R.approachable(repo, ease, NOW, 0.01))
