@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -335,7 +336,7 @@ def spherical_kmeans(df: DataFrame, id_col: str, v: str, k: int, width: int, rou
     it gets the worst rows in bounded pools: new centres only bring rows nearer, so the worst of a pool is the worst of all
     while it is no better than the pool's last was.
     """
-    rows = materialise(df.where(F.col(v).isNotNull()).select(F.col(id_col).alias("id"), normalised(F.col(v)).alias("v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")), "kmeans-rows")
+    rows = materialise(df.where(F.col(v).isNotNull()).select(F.col(id_col).cast("long").alias("id"), normalised(F.col(v)).alias("v"), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")), "kmeans-rows")
     first = rows.orderBy("id").limit(1).collect()
     if not first:
         return rows.select("id", F.lit(0).alias("label")), np.empty((0, width))
@@ -355,21 +356,46 @@ def spherical_kmeans(df: DataFrame, id_col: str, v: str, k: int, width: int, rou
 
     pool = max(1000, 60_000 // width)
     while len(centres) < k:
-        far = placed(centres).orderBy(F.round("cosine", 9), "id").limit(pool).collect()
-        v, cosine, ids = np.array([r["v"] for r in far]), np.array([r["cosine"] for r in far]), np.array([r["id"] for r in far])
-        last = (round(far[-1]["cosine"], 9), far[-1]["id"])
+        far = placed(centres).orderBy(F.round("cosine", 9), "id").limit(pool).select("id", "v", "cosine").toArrow().combine_chunks()
+        v, cosine, ids = matrix_of(pa.concat_arrays(far["v"].chunks), width), np.round(far["cosine"].to_numpy(), 9), far["id"].to_numpy()
+        last = (cosine[-1], ids[-1])
         while len(centres) < k:
-            at = np.lexsort((ids, np.round(cosine, 9)))[0]
-            if len(far) == pool and (round(float(cosine[at]), 9), ids[at]) > last:
+            worst_of = np.flatnonzero(cosine == cosine.min())
+            at = worst_of[ids[worst_of].argmin()]
+            if len(far) == pool and (cosine[at], ids[at]) > last:
                 break
             centres = np.vstack([centres, v[at]])
-            cosine = np.maximum(cosine, v @ v[at])
+            cosine = np.maximum(cosine, np.round(v @ v[at], 9))
+    names = [f"s{i}" for i in range(width)]
+
+    def sums(c: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(c), width))
+            seen = np.zeros(len(c), bool)
+            for batch in batches:
+                m, w = matrix_of(batch.column(1), width), batch.column(2).to_numpy(zero_copy_only=False)
+                label = (m @ c.T).argmax(1)
+                seen[label] = True
+                for i in range(width):
+                    total[:, i] += np.bincount(label, weights=m[:, i] * w, minlength=len(c))
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(total[at, i]) for i in range(width)]], names=["label", *names])
+
+        return rows.mapInArrow(run, "label int, " + ", ".join(f"{n} double" for n in names)).groupBy("label").agg(*[F.sum(n).alias(n) for n in names])
+
+    def labels(c: np.ndarray) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                label = (matrix_of(batch.column(1), width) @ c.T).argmax(1)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(label, pa.int32())], names=["id", "label"])
+
+        return rows.mapInArrow(run, "id long, label int")
+
     for _ in range(rounds):
-        sums = [F.sum(F.col("v")[i] * F.col("w")).alias(f"s{i}") for i in range(width)]
         fresh = centres.copy()
         seen = set()
-        for r in placed(centres).groupBy("label").agg(*sums).collect():
-            total = np.array([r[f"s{i}"] for i in range(width)])
+        for r in sums(centres).collect():  # a row per centre; each task sends as many
+            total = np.array([r[n] for n in names])
             size = np.linalg.norm(total)
             seen.add(r["label"])
             if size > 1e-12:
@@ -380,7 +406,12 @@ def spherical_kmeans(df: DataFrame, id_col: str, v: str, k: int, width: int, rou
         centres = fresh
         if moved < 1e-9:
             break
-    return placed(centres).select("id", "label"), centres
+    return labels(centres), centres
+
+
+def matrix_of(column: pa.Array, width: int) -> np.ndarray:
+    """Vectors of an Arrow list column, none of them null, as the rows of a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
 def recommended_strip(df: DataFrame, v: str, width: int, most: int = 8, enough: float = 0.02) -> tuple[int, list[float]]:
