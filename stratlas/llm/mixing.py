@@ -219,16 +219,20 @@ def mix_slots(plan: DataFrame, shard_blocks: int = 64, seed: int = 7) -> DataFra
     return slots.select("shard", "slot", "source", "repeat", place(F.expr("slot % held_blocks"), "held_blocks", "key").alias("block_no"))
 
 
-def mix(docs: DataFrame, targets: DataFrame, block_len: int = 4096, shard_blocks: int = 64, seed: int = 7) -> tuple[DataFrame, DataFrame]:
-    """The plan and the mix itself: one row per slot with its block's ids.
+def planned(docs: DataFrame, targets: DataFrame, block_len: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """The blocks of the wanted sources and the plan over them.
 
     Sources of ``targets`` are few (a control table): their names are collected to prune the scan.
     """
     names = [r[0] for r in targets.select(source_key(F.col("source"))).distinct().collect() if r[0] is not None]
     blocks = token_blocks(docs, names, block_len)
-    plan = materialise(mix_plan(blocks, targets), "mix-plan")
-    placed = mix_slots(plan, shard_blocks, seed)
-    return plan, placed.join(numbered(blocks), ["source", "block_no"])
+    return blocks, materialise(mix_plan(blocks, targets), "mix-plan")
+
+
+def mix(docs: DataFrame, targets: DataFrame, block_len: int = 4096, shard_blocks: int = 64, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+    """The plan and the mix itself: one row per slot with its block's ids."""
+    blocks, plan = planned(docs, targets, block_len)
+    return plan, mix_slots(plan, shard_blocks, seed).join(numbered(blocks), ["source", "block_no"])
 
 
 def mix_report(plan: DataFrame, mixed: DataFrame) -> DataFrame:

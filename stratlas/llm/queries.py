@@ -77,7 +77,7 @@ def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf: str) -> DataFrame:
-    plan, _ = mixing.mix(read(spark, sf, "documents"), read(spark, sf, "mix_target"))
+    _, plan = mixing.planned(read(spark, sf, "documents"), read(spark, sf, "mix_target"))
     return plan.where("short").select("source")
 
 
