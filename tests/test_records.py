@@ -217,3 +217,16 @@ def test_faults_of_a_graph_are_named():
     assert all(tiles.graph_facts(good).values())
     bad = tiles.decode_graph(tiles.encode_graph(np.array([0.2, 0.4]), np.array([0, 1, 2]), np.array([1, 1]), np.array([0, 1]), np.array([entry(1, 5), entry(1, 5)])))
     assert {k for k, ok in tiles.graph_facts(bad).items() if not ok} >= {"ranks sum to 1", "ranks don't rise", "no loops", "each entry has its mirror", "as many in as out"}
+
+
+def test_orphans_are_adopted_exactly_or_through_an_index(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=8).tolist(), f"g{i % 5}") for i in range(300)] + [(900, None, "none")]
+    df = spark.createDataFrame(rows, "id long, v array<double>, label string")
+    orphans, anchors = df.where("id % 10 = 0"), df.where("id % 10 <> 0")
+    exact = {r.id: r.label for r in vectors.adopt(orphans, anchors, "id", "v", "label").collect()}
+    assert set(exact) == set(range(0, 300, 10))
+    index = vectors.ListIndex(anchors, "id", "v", probes=1000)
+    assert len(index.centres) == round(anchors.count() ** 0.5)
+    through = {r.id: r.label for r in vectors.adopt(orphans, anchors, "id", "v", "label", index).collect()}
+    assert through == exact  # all lists are looked into
