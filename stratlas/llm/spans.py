@@ -240,14 +240,26 @@ def matches(found: DataFrame) -> DataFrame:
     names = ["doc_a", "doc_b", "pos_a", "pos_b", "before", "after"]
 
     def compare(group: list[tuple], out: list[tuple]) -> None:
-        for x, (_, i, j, own_x, doc_x, pos_x, left_x, right_x) in enumerate(group):
-            for _, _, _, own_y, doc_y, pos_y, left_y, right_y in group[x + 1 :]:
-                if doc_x == doc_y or (i != j and own_x == own_y):
+        apart = group[0][1] != group[0][2]  # of two blocks: those of one block meet elsewhere
+        alike: dict[tuple[str, str], list[tuple[int, int, int]]] = {}
+        for _, _, _, own, doc, pos, left, right in group:
+            alike.setdefault((left, right), []).append((own, doc, pos))
+        kinds = list(alike)  # surroundings that agree are compared once, however many occurrences have them
+        for x, (left_x, right_x) in enumerate(kinds):
+            for y in range(x, len(kinds)):
+                left_y, right_y = kinds[y]
+                before, after = (len(left_x), len(right_x)) if x == y else (common_end(left_x, left_y), common_start(right_x, right_y))
+                if before + PHRASE + after < MIN:
                     continue
-                before, after = common_end(left_x, left_y), common_start(right_x, right_y)
-                if before + PHRASE + after >= MIN:
-                    a, b = sorted([(doc_x, pos_x), (doc_y, pos_y)])
-                    out.append((a[0], b[0], a[1], b[1], before, after))
+                some, others = alike[kinds[x]], alike[kinds[y]]
+                for n, (own_x, doc_x, pos_x) in enumerate(some):
+                    for own_y, doc_y, pos_y in others[n + 1 :] if x == y else others:
+                        if doc_x == doc_y or (apart and own_x == own_y):
+                            continue
+                        if (doc_x, pos_x) < (doc_y, pos_y):
+                            out.append((doc_x, doc_y, pos_x, pos_y, before, after))
+                        else:
+                            out.append((doc_y, doc_x, pos_y, pos_x, before, after))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
