@@ -167,6 +167,22 @@ def test_unknown_messages_count_only_where_they_recur(spark):
     assert {r.row_id for r in residue.kept(texts).collect()} == {50}
 
 
+def test_any_number_of_messages_is_read(spark):
+    many = [f"The {a}{b} server refused to connect." for a in "abcdef" for b in "vwxyz"]  # 30 of weaker hints
+    residue_ = ["404 Not Found\n" * 25, "404 Not Found. " * 300, "tool\n\n" + "404 Not Found\n\n502 Bad Gateway\n\n" * 40, "\n".join(many), "A parser for you and your files.\n" + "\n".join(many)]
+    content = ["404 Not Found\n" * 30 + SAID["en"], "\n".join(many) + "\nA parser for you and your files.", "\n".join(["A parser for you and your files.", *many, "It is small."])]
+    single = "\n".join(f"The {a}{b} kettle refused to connect." for a in "abcdef" for b in "vwxyz")  # none of these recurs
+    texts = [("ab"[k % 2], t) for t in residue_ for k in range(12)]
+    assert waste_of(spark, [*texts, *(("a", t) for t in [*content, single])]) == set(range(len(texts)))
+
+
+def test_copies_of_messages_are_left_out_in_order():
+    parts = read_text("404 Not Found\n" * 5000 + "A parser for you and your files.\n" + "Error 503. Go back. " * 5000)
+    assert [(p.body, p.line, p.follows) for p in parts] == [
+        ("0 not found", 0, True), ("0 not found", 1, True), ("", 5000, False), ("error 0.", 5001, False), ("error 0.", 5001, True), ("error 0.", 5001, True),
+    ]
+
+
 @given(st.text(max_size=300))
 @settings(max_examples=150, deadline=None)
 def test_any_text_is_read_and_converted(text):
