@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from stratlas.operators import moving
 from stratlas.session import materialise, release
 
 
@@ -194,22 +196,40 @@ def communities(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, lev
     return many_communities(nodes, edges.withColumn("run", F.lit(0)), {0: resolution}, levels, passes, seed).select("id", "label")
 
 
-def many_communities(nodes: DataFrame, edges: DataFrame, resolutions: dict[int, float], levels: int = 10, passes: int | None = None, seed: int = 5) -> DataFrame:
+#: Pairs of a graph whose passes one task runs as arrays (some 130 bytes a pair); larger ones pass by joins until their levels are that small.
+IN_TASK = 1 << 22
+
+
+def many_communities(nodes: DataFrame, edges: DataFrame, resolutions: dict[int, float], levels: int = 10, passes: int | None = None, seed: int = 5, in_task: int = IN_TASK) -> DataFrame:
     """``(run, id, label)``: ``communities`` of several runs in the same passes; ``edges`` have a ``run``, each with its resolution.
 
-    A run rests as soon as its own modularity stops rising, and keeps its own best state of each level.
+    A run rests as soon as its own modularity stops rising, and keeps its own best state of each level. A level's graph of
+    ``in_task`` pairs or fewer, and the levels after it, are left to one task a run, which makes the same moves.
     """
-    rows = edges.where("src <> dst").select("run", "src", "dst", F.coalesce("weight", F.lit(1.0)).cast("double").alias("weight"))
-    both = rows.unionByName(rows.select("run", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
-    graph = materialise(both.groupBy("run", "src", "dst").agg(F.sum("weight").alias("weight")), "community-graph")
     runs = F.explode(F.array(*[F.lit(r) for r in resolutions]))
-    mapping = materialise(nodes.select("id").distinct().select(runs.alias("run"), "id", F.col("id").alias("label")), "community-map")
-    m2 = {r["run"]: r["m2"] for r in graph.groupBy("run").agg(F.sum("weight").alias("m2")).collect() if r["m2"]}
-    if not m2:
+    mapping = nodes.select("id").distinct().select(runs.alias("run"), "id", F.col("id").alias("label"))
+    pairs = _turned(_pairs(edges, "run"), seed)
+    sizes = {r["run"]: r for r in pairs.groupBy("run").agg(F.sum("weight").alias("m"), F.count(F.lit(1)).alias("n")).collect() if r["m"]}
+    m2 = {r: 2 * x["m"] for r, x in sizes.items()}
+    few = {r for r, x in sizes.items() if x["n"] <= in_task}
+    if few:
+        mapping = _named(mapping, _labels_in_tasks(pairs, {r: (r, resolutions[r], m2[r], None) for r in few}, levels, passes))
+    active, best = set(m2) - few, {}
+    if not active:
         return mapping
+    mapping = materialise(mapping, "community-map")
     penalty = F.element_at(F.create_map(*[F.lit(x) for r, m in m2.items() for x in (r, resolutions[r] / m)]), F.col("run"))
-    active, best = set(m2), {}
+    rows = pairs.where(F.col("run").isin(*active))
+    graph = materialise(rows.select("run", F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(rows.select("run", F.col("b").alias("src"), F.col("a").alias("dst"), "weight")), "community-graph")
     for level in range(levels):
+        if level:
+            small = {r["run"] for r in graph.groupBy("run").agg(F.count_if(F.col("src") <= F.col("dst")).alias("n")).collect() if r["n"] <= in_task}
+            if small:
+                rows = _turned(graph.where(F.col("run").isin(*small) & (F.col("src") <= F.col("dst"))).select("run", F.col("src").alias("a"), F.col("dst").alias("b"), "weight"), seed)
+                mapping = materialise(_named(mapping, _labels_in_tasks(rows, {r: (r, resolutions[r], m2[r], best[r]) for r in small}, levels - level, passes)), "community-map")
+                active -= small
+            if not active:
+                break
         graph = graph.where(F.col("run").isin(*active))
         state = materialise(graph.groupBy("run", F.col("src").alias("id")).agg(F.sum("weight").alias("k")).select("run", "id", "k", F.col("id").alias("label")), "community-degree")
         score = _level_scores(graph, state, m2, resolutions)
@@ -245,8 +265,7 @@ def many_communities(nodes: DataFrame, edges: DataFrame, resolutions: dict[int,
             whole = part if whole is None else whole.unionByName(part)
         low = whole.groupBy("run", "label").agg(F.min("id").alias("name"))
         named = materialise(whole.join(low, ["run", "label"]).select("run", F.col("id").alias("was"), F.col("name").alias("now")), "community-names")
-        mapping = mapping.join(named.withColumnRenamed("was", "label"), ["run", "label"], "left").select("run", "id", F.coalesce("now", "label").alias("label"))
-        mapping = materialise(mapping, "community-map")
+        mapping = materialise(_named(mapping, named), "community-map")
         active = {r for r in active if r not in best or score[r] > best[r] + 1e-7}
         if not active:
             break
@@ -257,6 +276,69 @@ def many_communities(nodes: DataFrame, edges: DataFrame, resolutions: dict[int,
     return mapping
 
 
+def _pairs(edges: DataFrame, *by: str) -> DataFrame:
+    """``(*by, a, b, weight)``, a < b: the weight between two nodes, in whichever direction; null weights count as 1."""
+    rows = edges.where("src <> dst").select(*by, F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.coalesce("weight", F.lit(1.0)).cast("double").alias("weight"))
+    return rows.groupBy(*by, "a", "b").agg(F.sum("weight").alias("weight"))
+
+
+def _turned(pairs: DataFrame, seed: int) -> DataFrame:
+    """Written, with the ends' turns as ``bits``."""
+    turn = lambda end: F.pmod(F.xxhash64(end, F.lit(seed)), F.lit(2)).cast("int")
+    return materialise(pairs.withColumn("bits", turn("a").bitwiseOR(F.shiftleft(turn("b"), 1))), "community-pairs")
+
+
+def _named(mapping: DataFrame, named: DataFrame) -> DataFrame:
+    """``mapping`` with the labels that ``(run, was, now)`` renames."""
+    return mapping.join(named.withColumnRenamed("was", "label"), ["run", "label"], "left").select("run", "id", F.coalesce("now", "label").alias("label"))
+
+
+def _in_tasks(pairs: DataFrame, layer: str, runs: dict, each, schema: str) -> DataFrame:
+    """What ``each(run, graph)`` yields (record batches) of every run's graph, each in a task of its own.
+
+    ``pairs`` have ``a, b, weight, bits`` and a ``layer``; ``runs`` are ``(layer, ...)`` by run. Pairs travel as compressed
+    blocks, so that many runs can share a layer.
+    """
+
+    def blocks(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            of, columns = batch.column(layer).to_numpy(), {name: batch.column(name).to_numpy() for name, _ in moving.PAIR}
+            for one in dict.fromkeys(of.tolist()):
+                at = of == one
+                yield pa.RecordBatch.from_pydict({"layer": pa.array([one], pa.int32()), "block": pa.array([moving.pack({k: v[at] for k, v in columns.items()})], pa.binary())})
+
+    def settle(batches):
+        got: dict[int, list[bytes]] = {}
+        for batch in batches:
+            for run, block in zip(batch.column("run").to_pylist(), batch.column("block").to_pylist()):
+                got.setdefault(run, []).append(block)
+        for run in sorted(got):
+            yield from each(run, moving.Graph(got.pop(run)))
+
+    spark = pairs.sparkSession
+    wanted = F.broadcast(spark.createDataFrame([(i, r, x[0]) for i, (r, x) in enumerate(runs.items())], "task int, run int, layer int"))
+    packed = materialise(pairs.select(F.col(layer).cast("int").alias(layer), *[name for name, _ in moving.PAIR]).mapInArrow(blocks, "layer int, block binary"), "community-blocks")
+    dealt = packed.join(wanted, "layer").repartitionById(len(runs), F.col("task")).select("run", "block")
+    return dealt.mapInArrow(settle, schema)
+
+
+def _labels_in_tasks(pairs: DataFrame, runs: dict, levels: int, passes: int | None) -> DataFrame:
+    """``(run, was, now)``: the names that the nodes of runs ``(layer, resolution, m2, best so far)`` get, one task a run."""
+
+    def each(run, g):
+        import pyarrow as pa
+
+        _, resolution, m2, best = runs[run]
+        label = moving.communities(g, m2, resolution, levels, passes, best)
+        for i in range(0, len(label), 1 << 16):
+            was, now = g.ids[i : i + (1 << 16)], g.ids[label[i : i + (1 << 16)]]
+            yield pa.RecordBatch.from_pydict({"run": pa.array(np.full(len(was), run, np.int32)), "was": pa.array(was), "now": pa.array(now)})
+
+    return materialise(_in_tasks(pairs, "run", runs, each, "run int, was long, now long"), "community-names")
+
+
 def _level_scores(graph: DataFrame, state: DataFrame, m2: dict[int, float], resolutions: dict[int, float]) -> dict[int, float]:
     """Modularity of each run that ``state`` has."""
     a, b = state.select("run", F.col("id").alias("src"), F.col("label").alias("a")), state.select("run", F.col("id").alias("dst"), F.col("label").alias("b"))
@@ -350,18 +432,47 @@ def backbone(edges: DataFrame, ranks: DataFrame, most: int = 900, per_node: int
     return spark.createDataFrame(rows, "src long, dst long, score double")
 
 
-def sweep(nodes: DataFrame, sources: dict[str, DataFrame], resolutions: tuple[float, ...], levels: int = 10, passes: int | None = None) -> DataFrame:
-    """``(source, resolution, communities, largest, modularity)`` over edge sources and resolutions, modularity at that resolution."""
-    runs = [(name, float(r)) for name in sorted(sources) for r in resolutions]
+def sweep(nodes: DataFrame, sources: dict[str, DataFrame], resolutions: tuple[float, ...], levels: int = 10, passes: int | None = None, seed: int = 5, in_task: int = IN_TASK) -> DataFrame:
+    """``(source, resolution, communities, largest, modularity)`` over edge sources and resolutions, modularity at that resolution.
+
+    Sources of ``in_task`` pairs or fewer are packed once for all resolutions, and each run's task counts its own communities.
+    """
+    names = sorted(sources)
+    runs = {i: (names.index(name), float(r)) for i, (name, r) in enumerate((name, r) for name in names for r in resolutions)}
     layers = None
-    for name in sorted(sources):
-        own = F.explode(F.array(*[F.lit(i) for i, (source, _) in enumerate(runs) if source == name]))
-        layer = sources[name].select(own.alias("run"), "src", "dst", "weight")
+    for i, name in enumerate(names):
+        layer = sources[name].select(F.lit(i).alias("layer"), "src", "dst", "weight")
         layers = layer if layers is None else layers.unionByName(layer)
-    labels = many_communities(nodes, layers, {i: r for i, (_, r) in enumerate(runs)}, levels, passes)
-    sizes = {r["run"]: r for r in labels.groupBy("run", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("run").agg(F.count(F.lit(1)).alias("many"), F.max("n").alias("largest")).collect()}
-    rows = []
-    for i, (name, r) in enumerate(runs):
-        score = modularity(sources[name], labels.where(F.col("run") == i), r).first()[0]
-        rows.append((name, r, sizes[i]["many"], sizes[i]["largest"], None if score is None else round(float(score), 6)) if i in sizes else (name, r, 0, 0, None))
+    ids = materialise(nodes.select("id").distinct(), "sweep-nodes")
+    many = ids.count()
+    pairs = _pairs(layers, "layer")
+    for end, bit in (("a", 4), ("b", 8)):  # an end that isn't a node takes part, but isn't counted
+        there = ids.select(F.col("id").alias(end), F.lit(bit).alias(f"node_{end}"))
+        pairs = pairs.join(there, end, "left")
+    pairs = _turned(pairs, seed).withColumn("bits", F.col("bits").bitwiseOR(F.coalesce("node_a", F.lit(0))).bitwiseOR(F.coalesce("node_b", F.lit(0))))
+    sizes = {r["layer"]: r for r in pairs.groupBy("layer").agg(F.sum("weight").alias("m"), F.count(F.lit(1)).alias("n")).collect()}
+    found: dict[int, tuple] = {i: (many, min(many, 1), None) for i, (layer, _) in runs.items() if layer not in sizes or not sizes[layer]["m"]}  # nothing moves
+    few = {i: (layer, r, 2 * sizes[layer]["m"]) for i, (layer, r) in runs.items() if i not in found and sizes[layer]["n"] <= in_task}
+
+    def each(run, g):
+        import pyarrow as pa
+
+        _, resolution, m2 = few[run]
+        got = moving.tally(g, moving.communities(g, m2, resolution, levels, passes), m2, resolution)
+        yield pa.RecordBatch.from_pylist([{"run": run, **got}], pa.schema([("run", pa.int32()), ("nodes", pa.int64()), ("many", pa.int64()), ("largest", pa.int64()), ("modularity", pa.float64())]))
+
+    if few:
+        for r in _in_tasks(pairs, "layer", few, each, "run int, nodes long, many long, largest long, modularity double").collect():
+            alone = many - r["nodes"]
+            found[r["run"]] = (r["many"] + alone, max(r["largest"], min(alone, 1)), r["modularity"])
+    large = {i: x for i, x in runs.items() if i not in found}
+    if large:
+        own = F.explode(F.element_at(F.create_map(*[x for layer in {layer for layer, _ in large.values()} for x in (F.lit(layer), F.array(*[F.lit(i) for i, y in large.items() if y[0] == layer]))]), F.col("layer")))
+        rows = layers.where(F.col("layer").isin(*{layer for layer, _ in large.values()})).select(own.alias("run"), "src", "dst", "weight")
+        labels = materialise(many_communities(ids, rows, {i: r for i, (_, r) in large.items()}, levels, passes, seed, in_task), "sweep-labels")
+        counted = {r["run"]: r for r in labels.groupBy("run", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("run").agg(F.count(F.lit(1)).alias("many"), F.max("n").alias("largest")).collect()}
+        for i, (layer, r) in large.items():
+            score = modularity(sources[names[layer]], labels.where(F.col("run") == i).select("id", "label"), r).first()[0]
+            found[i] = (counted[i]["many"], counted[i]["largest"], score) if i in counted else (0, 0, None)
+    rows = [(names[layer], r, found[i][0], found[i][1], None if found[i][2] is None else round(float(found[i][2]), 6)) for i, (layer, r) in runs.items()]
     return nodes.sparkSession.createDataFrame(rows, "source string, resolution double, communities long, largest long, modularity double")

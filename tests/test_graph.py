@@ -137,3 +137,32 @@ def test_community_sweep_runs_every_source_and_resolution(spark, data):
     for source in ("all", "deps", "similar"):
         many = [r.communities for r in sorted(rows, key=lambda r: -r.resolution) if r.source == source]
         assert many[0] >= many[-1]
+
+
+def test_community_sweep_takes_few_jobs(spark, data):
+    from stratlas.plans.catalogue import QUERIES
+
+    spark.sparkContext.setJobGroup("sweep", "jobs of the sweep")
+    rows = QUERIES["community_sweep"](spark, data).collect()
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("sweep")
+    spark.sparkContext.setJobGroup("", "")
+    assert len(rows) == 18 and len(jobs) < 60  # passes of small graphs are no jobs
+
+
+def test_runs_in_tasks_move_as_those_by_joins(spark):
+    rng = random.Random(7)
+    rows = [(i, j, rng.choice([None, 0.0, rng.random()])) for i in range(60) for j in range(60) if rng.random() < (0.25 if i // 12 == j // 12 else 0.02)]
+    some, known = edges(spark, rows), nodes(spark, 70).where("id <> 5").unionByName(spark.createDataFrame([(None,), (3,)], "id long"))  # 5 is an end but no node, 3 stands twice
+    sources = {"all": some, "none": some.limit(0), "zero": edges(spark, [(1, 2, 0.0)])}
+    whole = [tuple(r) for r in G.sweep(known, sources, (3.0, 0.5)).collect()]
+    assert whole == [tuple(r) for r in G.sweep(known, sources, (3.0, 0.5), in_task=0).collect()]
+    assert [r[2:] for r in whole if r[0] != "all"] == [(70, 1, None)] * 4
+    for loose in (0, 40):  # all levels by joins; those after the first in a task
+        got = G.many_communities(known, some.withColumn("run", G.F.lit(0)), {0: 1.0}, in_task=loose)
+        assert sorted((r.id or 0, r.label or 0) for r in got.collect()) == sorted((r.id or 0, r.label or 0) for r in G.communities(known, some).collect())
+
+
+def test_sizes_of_a_sweep_in_tasks_count_lone_nodes(spark):
+    pair = edges(spark, [(0, 1, 2.0), (1, 0, 1.0), (8, 9)])
+    rows = G.sweep(nodes(spark, 6), {"x": pair}, (1.0,)).collect()
+    assert [tuple(r) for r in rows] == [("x", 1.0, 5, 2, 0.0)]  # 2 to 5 alone; 8 and 9 are no nodes
