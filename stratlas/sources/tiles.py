@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratlas.operators import sphere
+from stratlas.session import materialise
 
 #: Magic words, layout versions, bytes a point, headers and the order of the arrays.
 TILE, GRAPH, TILE_VERSION, GRAPH_VERSION, POINT = 0x47475431, 0x47474731, 1, 2, 12
@@ -85,7 +86,7 @@ def write_tiles(rows: DataFrame, path: str) -> DataFrame:
 def encode_graph(rank: np.ndarray, offsets: np.ndarray, targets: np.ndarray, ambient: np.ndarray, weights: np.ndarray) -> bytes:
     """A 24-byte header, then ranks, row offsets, targets, backbone ends and packed weights."""
     head = struct.pack(GRAPH_HEAD, GRAPH, len(rank), len(targets), len(ambient) // 2, GRAPH_VERSION)
-    return head + rank.astype("<f4").tobytes() + offsets.astype("<u4").tobytes() + targets.astype("<u4").tobytes() + ambient.astype("<u4").tobytes() + weights.astype("<u2").tobytes()
+    return b"".join([head, *[np.ascontiguousarray(x, kind) for x, kind in ((rank, "<f4"), (offsets, "<u4"), (targets, "<u4"), (ambient, "<u4"), (weights, "<u2"))]])
 
 
 def decode_graph(raw: bytes) -> dict[str, np.ndarray]:
@@ -125,22 +126,50 @@ def check_graph(g: dict[str, np.ndarray]) -> list[str]:
     return bad
 
 
+BLOCK = 1 << 20  # entries that a check holds at once, or those of one node
+
+
+def _entry_facts(at: np.ndarray, targets: np.ndarray, packed: np.ndarray) -> tuple[bool, bool, bool]:
+    """Whether each entry has its mirror, none is a loop, and none stands twice; a block of rows at a time.
+
+    The entries of a block's rows are set against the mirrors of all entries that lead there.
+    """
+    n, mirrored, straight, single = len(at) - 1, True, True, True
+    if (np.diff(at) < 0).any() or at[0] or at[-1] != len(targets):
+        return False, False, False  # no entry has a row
+    low = 0
+    while low < n:
+        high = min(n, max(low + 1, int(np.searchsorted(at, at[low] + BLOCK, "right")) - 1))
+        rows, own = np.repeat(np.arange(low, high), np.diff(at[low : high + 1])).astype(np.uint64), targets[at[low] : at[high]]
+        there = np.flatnonzero((targets >= low) & (targets < high))
+        back = (np.searchsorted(at, there, "right") - 1).astype(np.uint64)
+        keys, bits = _sorted_entries(rows << 32 | own, packed[at[low] : at[high]])
+        mirrors, mirror_bits = _sorted_entries(targets[there].astype(np.uint64) << 32 | back, packed[there] ^ 32768)
+        mirrored &= np.array_equal(keys, mirrors) and np.array_equal(bits, mirror_bits)
+        straight &= not (rows == own).any()
+        single &= not ((keys[1:] == keys[:-1]) & (bits[1:] == bits[:-1])).any()
+        low = high
+    return mirrored, straight, single
+
+
+def _sorted_entries(keys: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((bits, keys))
+    return keys[order], bits[order]
+
+
 def graph_facts(g: dict[str, np.ndarray], most_arcs: int = 900, per_node: int = 4) -> dict[str, bool]:
-    """What should hold of a decoded graph, each by its name."""
+    """What should hold of a decoded graph, each by its name; beside the graph, only blocks of its entries are held."""
     n, rank, at = len(g["rank"]), g["rank"].astype(float), g["offsets"].astype(np.int64)
-    rows, targets, packed = np.repeat(np.arange(n), np.diff(at)), g["targets"].astype(np.int64), g["weights"].astype(np.int64)
-    out, kind, level = packed >> 15, packed >> 13 & 3, packed & 8191
+    targets, packed = g["targets"], g["weights"]
     ends = g["ambient"].astype(np.int64).reshape(-1, 2)
     inside = (targets < n).all() and (ends < n).all()
-    entry = np.stack([rows, targets, kind, level, out], 1)
-    mirror = np.stack([targets, rows, kind, level, 1 - out], 1)
-    same = lambda a, b: a.shape == b.shape and (a[np.lexsort(a.T)] == b[np.lexsort(b.T)]).all()
+    mirrored, straight, single = _entry_facts(at, targets, packed)
     pairs = np.sort(ends, axis=1)
     return {
         "ranks are positive": bool((rank > 0).all()), "ranks sum to 1": not n or abs(rank.sum() - 1) <= 1e-3, "ranks don't rise": n < 2 or not (np.diff(g["rank"]) > 1e-9).any(),
         "ranks spread": n < 100 or rank.max() > 10 * rank.min(), "offsets begin at 0": at[0] == 0, "offsets don't fall": bool((np.diff(at) >= 0).all()), "offsets end with the targets": at[-1] == len(targets),
-        "ends are nodes": bool(inside), "each entry has its mirror": bool(same(entry, mirror)), "no loops": not (rows == targets).any(), "no entry twice": len(np.unique(entry, axis=0)) == len(entry),
-        "kinds are known": bool((kind <= 2).all()), "as many in as out": int(out.sum()) * 2 == len(out), "arcs are few": len(ends) <= most_arcs, "no arc twice": len(np.unique(pairs, axis=0)) == len(pairs),
+        "ends are nodes": bool(inside), "each entry has its mirror": mirrored, "no loops": straight, "no entry twice": single,
+        "kinds are known": bool(((packed >> 13 & 3) <= 2).all()), "as many in as out": int((packed >> 15).sum()) * 2 == len(packed), "arcs are few": len(ends) <= most_arcs, "no arc twice": len(np.unique(pairs, axis=0)) == len(pairs),
         "arcs spread over nodes": not len(ends) or int(np.bincount(ends.ravel(), minlength=1).max()) <= per_node, "arcs join strong nodes": not len(ends) or not inside or rank[ends.ravel()].mean() >= rank.mean(),
     }
 
@@ -180,23 +209,57 @@ class TooLarge(ValueError):
     """A client's file would not fit one."""
 
 
+def _row_parts(batches):
+    """Rows' numbers and ranks as bytes."""
+    import pyarrow as pa
+
+    for b in batches:
+        row, rank = b.column("row").to_numpy(), b.column("rank").to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_pydict({"row": pa.array([row.astype("<u4").tobytes()], pa.binary()), "rank": pa.array([rank.astype("<f4").tobytes()], pa.binary())})
+
+
+def _entry_parts(batches):
+    """Sorted entries as bytes, with the first of their rows, a number within the task, and how many entries each row has here."""
+    import pyarrow as pa
+
+    for number, b in enumerate(batches):
+        if b.num_rows:
+            rows, many = np.unique(b.column("row").to_numpy(), return_counts=True)
+            raw = (rows.astype("<u4"), many.astype("<u4"), b.column("target").to_numpy().astype("<u4"), b.column("packed").to_numpy().astype("<u2"))
+            head = {"first": pa.array([int(rows[0])], pa.int64()), "number": pa.array([number], pa.int32()), "size": pa.array([b.num_rows], pa.int64())}
+            yield pa.RecordBatch.from_pydict(head | {name: pa.array([x.tobytes()], pa.binary()) for name, x in zip(("rows", "many", "targets", "packed"), raw)})
+
+
 def graph_file(ordered: DataFrame, edges: DataFrame, arcs: DataFrame, most_nodes: int = 2_000_000, most_entries: int = 20_000_000) -> bytes:
     """The binary graph of ``(id, rank, position)`` nodes, weighted kinds of edges, and backbone arcs.
 
-    One file for a client, so it is made in one place; graphs over the bounds raise. Ids become row numbers by joins before that.
+    One file for a client, so it is put together in one place; graphs over the bounds raise. Ids become row numbers by joins,
+    entries are sorted and encoded by ranges of rows in the tasks, and the driver gets those bytes part by part.
     """
     from stratlas.operators.graph import packed_entries
 
-    rows = ordered.select("id", "rank", (F.col("position") - 1).alias("row"))
+    rows = materialise(ordered.select("id", "rank", (F.col("position") - 1).alias("row")), "graph-rows")
     names = rows.select("id", "row")
     a, b = names.select(F.col("id").alias("src"), F.col("row").alias("s")), names.select(F.col("id").alias("dst"), F.col("row").alias("d"))
-    inside = edges.join(a, "src").join(b, "dst").where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst"), "kind", "weight")
-    entries = packed_entries(inside)
+    inside = edges.join(a, "src").join(b, "dst").where("s <> d").select(F.col("s").alias("src"), F.col("d").alias("dst"), F.coalesce("kind", F.lit(3)).alias("kind"), "weight")  # 3 is no kind
+    entries = materialise(packed_entries(inside), "graph-entries")
     n, e = rows.count(), entries.count()
     if n > most_nodes or e > most_entries:
         raise TooLarge(f"{n} nodes and {e} entries")
-    table = entries.orderBy("row", "target", "packed").toPandas()
-    ranks = rows.orderBy("row").select("rank").toPandas()["rank"].to_numpy(float)
-    ends = arcs.join(a, "src").join(b, "dst").orderBy(F.desc("score"), "s", "d").select("s", "d").toPandas().to_numpy().ravel()
-    offsets = np.r_[0, np.cumsum(np.bincount(table["row"].to_numpy(np.int64), minlength=n))] if n else np.zeros(1)
-    return encode_graph(ranks, offsets, table["target"].to_numpy(), ends, table["packed"].to_numpy())
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = entries.repartitionByRange(tasks, "row").sortWithinPartitions("row", "target", "packed")
+    parts = materialise(ranged.mapInArrow(_entry_parts, "first long, number int, size long, rows binary, many binary, targets binary, packed binary"), "graph-parts")
+    starts, at = {}, 0
+    for p in sorted(parts.select("first", "number", "size").collect()):  # a row's entries lie in one task, so these are in the file's order
+        starts[p["first"], p["number"]] = at
+        at += p["size"]
+    degrees, targets, packed = np.zeros(n, np.int64), np.zeros(e, "<u4"), np.zeros(e, "<u2")
+    for p in parts.toLocalIterator():
+        place = slice(starts[p["first"], p["number"]], starts[p["first"], p["number"]] + p["size"])
+        targets[place], packed[place] = np.frombuffer(p["targets"], "<u4"), np.frombuffer(p["packed"], "<u2")
+        degrees[np.frombuffer(p["rows"], "<u4")] += np.frombuffer(p["many"], "<u4")
+    ranks = np.zeros(n, "<f4")
+    for p in rows.mapInArrow(_row_parts, "row binary, rank binary").toLocalIterator():
+        ranks[np.frombuffer(p["row"], "<u4")] = np.frombuffer(p["rank"], "<f4")
+    ends = np.array([(r["s"], r["d"]) for r in arcs.join(a, "src").join(b, "dst").orderBy(F.desc("score"), "s", "d").select("s", "d").collect()], np.int64).ravel()
+    return encode_graph(ranks, np.r_[0, np.cumsum(degrees)], targets, ends, packed)

@@ -219,6 +219,57 @@ def test_faults_of_a_graph_are_named():
     assert {k for k, ok in tiles.graph_facts(bad).items() if not ok} >= {"ranks sum to 1", "ranks don't rise", "no loops", "each entry has its mirror", "as many in as out"}
 
 
+def test_a_graph_file_is_put_together_from_parts(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    rng = np.random.default_rng(3)
+    pairs = sorted({(int(a), int(b), int(k)) for a, b, k in zip(rng.integers(0, 60, 900), rng.integers(0, 60, 900), rng.integers(0, 3, 900))} | {(7, i, 0) for i in range(60)})  # 7 is in more parts than one
+    links = [(a, b, k, (a * 60 + b) / 3600) for a, b, k in pairs]
+    order = rng.permutation(60)  # the id at each position
+    row = {int(i): p for p, i in enumerate(order)}
+    want = sorted((s, t, int(w * 8191) | k << 13 | o << 15) for a, b, k, w in links if a != b for s, t, o in ((row[a], row[b], 1), (row[b], row[a], 0)))
+    rank = np.linspace(2, 1, 60) / 90
+    offsets = np.searchsorted([e[0] for e in want], np.arange(61))
+    whole = tiles.encode_graph(rank, offsets, np.array([e[1] for e in want]), np.array([row[1], row[2], row[3], row[4]]), np.array([e[2] for e in want]))
+    ordered = spark.createDataFrame([(int(i), float(rank[p]), p + 1) for p, i in enumerate(order)], "id long, rank double, position long")
+    edges, arcs = spark.createDataFrame(links, "src long, dst long, kind int, weight double"), spark.createDataFrame([(3, 4, 0.5), (1, 2, 0.9)], "src long, dst long, score double")
+    monkeypatch.setattr(DataFrame, "toPandas", lambda *_: pytest.fail("the whole table on the driver"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
+    try:
+        assert tiles.graph_file(ordered, edges, arcs) == whole
+        bare = tiles.decode_graph(tiles.graph_file(ordered, edges.limit(0), arcs.limit(0)))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(bare["targets"]) == 0 and not bare["offsets"].any() and all(tiles.graph_facts(bare).values())
+    with pytest.raises(tiles.TooLarge):
+        tiles.graph_file(ordered, edges, arcs, most_entries=10)
+
+
+def test_facts_of_a_graph_hold_blocks_only(monkeypatch):
+    import tracemalloc
+
+    n, e = 40_000, 1_000_000  # a ring where each node is joined with the 25 after it
+    at = np.arange(n)
+    src, dst = np.repeat(at, 25), (np.repeat(at, 25) + np.tile(np.arange(1, 26), n)) % n
+    row, target, packed = np.r_[src, dst], np.r_[dst, src], np.r_[np.full(e, 32768 + 9), np.full(e, 9)]
+    order = np.lexsort((packed, target, row))
+    target, packed = target[order], packed[order]
+    encode = lambda t, p: tiles.decode_graph(tiles.encode_graph(np.full(n, 1 / n) * np.linspace(1.9, 0.1, n), np.arange(n + 1) * 50, t, np.array([0, 1]), p))
+    good = encode(target, packed)
+    monkeypatch.setattr(tiles, "BLOCK", 1 << 16, raising=False)
+    tracemalloc.start()
+    facts = tiles.graph_facts(good)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(facts.values()) and peak < 40e6
+    for place, change, fault in ((3, lambda t, p: (t, p ^ 32768), "each entry has its mirror"), (999_999, lambda t, p: (t + 1, p), "each entry has its mirror"), (5, lambda t, p: (0, p), "no loops"), (60, lambda t, p: (n + 5, p), "ends are nodes"), (7, lambda t, p: (target[6], packed[6]), "no entry twice")):
+        t, p = target.copy(), packed.copy()
+        t[place], p[place] = change(t[place], p[place])
+        assert not tiles.graph_facts(encode(t, p))[fault], fault
+    crossed = dict(good, offsets=np.r_[0, 70, 60, good["offsets"][3:]].astype("<u4"))
+    assert not tiles.graph_facts(crossed)["offsets don't fall"]
+
+
 def test_orphans_are_adopted_exactly_or_through_an_index(spark):
     rng = np.random.default_rng(9)
     rows = [(i, rng.normal(size=8).tolist(), f"g{i % 5}") for i in range(300)] + [(900, None, "none")]
